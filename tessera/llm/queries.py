@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import secret_scan
+from tessera.llm import secret_scan, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op10_simhash_groups": simhash.op10_simhash_groups,
     }
 
 
