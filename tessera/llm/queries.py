@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_codec, secret_scan, simhash, token_counts
+from tessera.llm import bpe_codec, packing, secret_scan, simhash, token_counts, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_token_store": token_store.op5_token_store,
         "op6_bpe_codec": bpe_codec.op6_bpe_codec,
         "op7_token_counts": token_counts.op7_token_counts,
         "op10_simhash_groups": simhash.op10_simhash_groups,
