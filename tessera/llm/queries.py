@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_codec, packing, secret_scan, simhash, token_counts, token_store, topk
+from tessera.llm import bpe_codec, chat_format, packing, secret_scan, simhash, token_counts, token_store, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_store": token_store.op5_token_store,
         "op6_bpe_codec": bpe_codec.op6_bpe_codec,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_chat_format": chat_format.op8_chat_format,
         "op9_exact_top_k": topk.op9_exact_top_k,
         "op10_simhash_groups": simhash.op10_simhash_groups,
     }
@@ -24,5 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scan": secret_scan.OP1_SQL,
+        "op8_chat_format": chat_format.OP8_SQL,
         "op9_exact_top_k": topk.OP9_SQL,
     }
