@@ -1,11 +1,83 @@
-"""The corpus pipeline; its stages are added as the operators are built."""
+"""The corpus pipeline: five stages from documents to packed training sequences.
 
-STAGES: list = []
+Each stage is ``(spark, docs, sf_dir) -> DataFrame``; between stages the rows are written as Parquet and read again. All
+but the last return the columns of ``documents``. What a stage decides takes effect: the classifier and the rules drop
+rows, of near-duplicate groups one document stays, secrets are masked in the text, and packing places what is left.
+
+Models are learned from the labelled rows of ``sf_dir``. The rules' stage reads a bounded sample of the labelled
+documents anew (``labelled.MOST_LABELS``), since the stage before has dropped most of the bad examples among its input.
+
+Defined cases: a null text counts as empty, and stays null where no stage changes it; equal rows are treated alike, and
+of rows with one doc_id near-duplicate removal keeps one; an empty table passes through; further columns are carried to the last stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import packing, quality_model, quality_rules, secret_scan, simhash
+from tessera.llm.common import new_path, written
+from tessera.llm.labelled import labelled_texts, usable
+from tessera.llm.text_stats import shares, with_stats
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose quality score is below the classifier's cut."""
+    labels = usable(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = written(with_stats(docs), "stats")
+    x = F.array(*shares(F.col("stats")).values())
+    model = quality_model.fit(rows.select("doc_id", x.alias("x")).join(labels, "doc_id"))
+    return rows.filter(quality_model.score(x, model) >= quality_model.CUT).drop("stats")
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the base thresholds or the learned decision list reject."""
+    texts = labelled_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rules = quality_rules.learn_rules(with_stats(texts).select("doc_id", "stats", "label"))
+    return quality_rules.judged(with_stats(docs), rules).filter("kept").drop("stats", "base_failed", "kept")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret in a text; ``n_chars`` follows the text."""
+    found = secret_scan.scan_secrets(docs, keep=tuple(docs.columns))
+    text = secret_scan.redact(F.col("text"), F.col("secrets"))
+    masked = found.withColumn("text", text)
+    return masked.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece with its place in a sequence."""
+    import public_tokenizers
+
+    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    return packing.pack(written(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"))
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", apply_rules),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("secret scans", mask_secrets),
+    ("best-fit packing", pack),
+]
+
+#: The stages learn models, hash and tokenize, which SQL cannot state.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            path = new_path(spark, f"stage{number}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

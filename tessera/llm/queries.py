@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_codec, chat_format, packing, secret_scan, simhash, token_counts, token_store, topk
+from tessera.llm import bpe_codec, chat_format, packing, quality_model, quality_rules, secret_scan, simhash, token_counts, token_store, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op2_quality_classifier": quality_model.op2_quality_classifier,
+        "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_token_store": token_store.op5_token_store,
         "op6_bpe_codec": bpe_codec.op6_bpe_codec,
