@@ -56,6 +56,13 @@ def encode(text: str | None, codec: tiktoken.Encoding) -> list[int]:
     return ids
 
 
+def id_lists(lists: pa.ListArray) -> Iterator[list[int]]:
+    """The lists of an Arrow column of ids, by way of its flat numbers; a null list is empty."""
+    flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+    for at, to in zip(offsets, offsets[1:]):
+        yield flat[at:to].tolist()
+
+
 def encoded(docs: DataFrame, rank_file: str, pattern: str, *, text: str = "text", to: str = "ids") -> DataFrame:
     """The rows with the token ids of their texts, ``array<int>``."""
     small_batches(docs.sparkSession)
@@ -74,7 +81,7 @@ def decoded(ids: Column, rank_file: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def raw(lists: pa.Array) -> pa.Array:
         codec = encoding(rank_file, pattern)
-        return pa.array((codec.decode_bytes(x.as_py() or []) for x in lists), pa.binary())
+        return pa.array(map(codec.decode_bytes, id_lists(lists)), pa.binary())
 
     return raw(ids)
 
@@ -88,7 +95,7 @@ def op6_bpe_codec(spark, sf_dir: str) -> DataFrame:
 
     @F.arrow_udf("string")
     def ids_hash(lists: pa.Array) -> pa.Array:
-        return pa.array(hashlib.sha256(" ".join(map(str, x.as_py())).encode()).hexdigest() for x in lists)
+        return pa.array(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() for ids in id_lists(lists))
 
     return out.select(
         "doc_id",
