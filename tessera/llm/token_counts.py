@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches
+from tessera.llm.pretoken import word_finder
 
 #: Words whose count a worker remembers.
 MOST_WORDS = 400_000
@@ -43,7 +44,7 @@ class MergeCounter:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.rank = {pair: n for n, pair in enumerate(merges)}
         self.letters = byte_letters()
-        self.words = regex.compile(pattern).findall
+        self.words = word_finder(pattern)
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.known: dict[str, int] = {}

@@ -1,27 +1,32 @@
 """Encoding with the tokenizers library, each word of a byte-level pre-tokenizer once a worker.
 
 A byte-level tokenizer without a normalizer encodes every word of its pre-tokenizer by itself, so the ids of a text are
-those of its words in turn. Words that a worker has met are looked up; new ones go to the library, all those of a batch
-together. Any other kind of tokenizer gets the whole texts.
+those of its words in turn. Words that a worker has met are looked up; new ones go to the library, those of many texts together. Any
+other kind of tokenizer gets the whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import regex
 
-MOST_WORDS = 300_000
+from tessera.llm.pretoken import word_finder
+
+#: Words that a worker remembers in each of two generations, some 200 bytes each.
+MOST_WORDS = 600_000
+#: Texts whose new words go to the library together.
+TOGETHER = 128
 
 
 class WordEncoder:
     def __init__(self, path: str, pattern: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -30,41 +35,80 @@ class WordEncoder:
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         before = spec.get("pre_tokenizer") or {}
         by_words = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
-        self.words = regex.compile(pattern).findall if by_words and pattern else None
-        special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.words = word_finder(pattern) if by_words and pattern else None
+        self.strings = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
+        self.special = regex.compile("(" + "|".join(map(regex.escape, self.strings)) + ")")
+        line_end = self.library.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else None
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.older: dict[str, bytes] = {}
 
     def _words(self, text: str) -> list[str]:
-        if self.special is None or not self.special.search(text):
+        if not any(s in text for s in self.strings):
             return self.words(text)
         parts = self.special.split(text)  # special strings stand at the odd places
         return [w for n, part in enumerate(parts) for w in ([part] if n % 2 else self.words(part))]
 
+    def _learn(self, words: list[str]) -> None:
+        """Asks the library for words; when the table is full, those not met for a generation are forgotten."""
+        if len(self.known) + len(words) > MOST_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older.get
+        new, apart = [], []
+        for w in words:
+            if (ids := older(w)) is not None:
+                known[w] = ids
+            elif w.isspace() or w in self.strings:
+                apart.append(w)
+            else:
+                new.append(w)
+        for at in range(0, len(new), 2048):
+            part = new[at : at + 2048]
+            got = self._ask_joined(part)
+            if got is None:
+                apart += part
+            else:
+                known.update(zip(part, got))
+        for w, e in zip(apart, self.library.encode_batch_fast(apart, add_special_tokens=False)):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _ask_joined(self, words: list[str]) -> list[bytes] | None:
+        """The ids of words without white space but for a leading space, asked for as lines of one text.
+
+        A line end between two such words is a word of its own, and its id stands nowhere else. None if that does not hold.
+        """
+        if self.line_end is None:
+            return None
+        ids = np.array(self.library.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == self.line_end)
+        if len(cuts) != len(words) - 1:
+            return None
+        raw = ids.tobytes()
+        starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
+        return [raw[i:j] for i, j in zip(starts, ends)]
+
+    def _together(self, texts: list[str | None]) -> Iterator[bytes]:
+        get = self.known.get
+        words = [self._words(t) if t else [] for t in texts]
+        found = [list(map(get, w)) for w in words]
+        holes = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
+        new = {w[i] for w, h in zip(words, holes) for i in h}
+        if new:
+            self._learn(list(new))
+        for w, f, h in zip(words, found, holes):
+            for i in h:
+                f[i] = self.known[w[i]]
+            yield b"".join(f)
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; a null text has none."""
-        for text in texts:
-            if not text:
-                yield b""
-            elif self.words is None:
-                yield np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        texts = iter(texts)
+        while part := list(islice(texts, TOGETHER)):
+            if self.words is None:
+                for e in self.library.encode_batch_fast([t or "" for t in part], add_special_tokens=False):
+                    yield np.array(e.ids, "<u4").tobytes()
             else:
-                words = self._words(text)
-                try:
-                    yield b"".join(map(self.known.__getitem__, words))
-                except KeyError:
-                    self._learn(set(words))
-                    yield b"".join(map(self.known.__getitem__, words))
+                yield from self._together(part)
 
 
 @lru_cache(maxsize=2)
