@@ -83,7 +83,7 @@ def totals(searches: DataFrame, columns: tuple[str, ...] = COUNTERS) -> DataFram
 def overview(stored: DataFrame, last: DataFrame, configured: DataFrame) -> DataFrame:
     """A12, A13, A40, SO1: a row for every source stored, configured or run, with zeros where it has none.
 
-    ``stored``: source, open, extracted, in_joblens-like flag ``published``, posted_at, fetched_at; ``last``: source, listed,
+    ``stored``: source, open, extracted, a flag ``published``, posted_at, fetched_at; ``last``: source, listed,
     dutch, out_of_scope; ``configured``: source, enabled.
     """
     counts = stored.groupBy("source").agg(F.count("*").alias("stored"), F.count_if("open").alias("open"), F.count_if("extracted").alias("extracted"), F.count_if("published").alias("published"), F.max("posted_at").alias("newest"), F.max("fetched_at").alias("last_fetched"))
