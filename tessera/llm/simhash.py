@@ -50,8 +50,8 @@ def simhash(text: str | None, words: int = 3, lanes: int = 1, once: bool = False
         counts = np.zeros(64, np.int64)
         for at in range(0, len(hashed), 4096):
             part = hashed[at : at + 4096]
-            if lane:  # further lanes mix the same hash by an odd factor and a fold
-                part = (part ^ (part >> np.uint64(31 - lane))) * np.uint64(0x9E3779B97F4A7C15 + 2 * lane)
+            if lane:  # further lanes mix the same hash, each from another start
+                part = (part + np.uint64(lane)) * np.uint64(0x9E3779B97F4A7C15)
                 part = (part ^ (part >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 part = part ^ (part >> np.uint64(32))
             counts += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -133,8 +133,12 @@ def _finer(blocks: list[list[int]], width: int, parts: int):
     return rows
 
 
-def _run_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked pairs of a spanning forest of each run of equal keys (rows are sorted by key)."""
+def _run_links(keys: np.ndarray, fps: np.ndarray, most: int, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of linked pairs in runs of equal keys (rows are sorted by key), and whether each is sure.
+
+    Of the pairs that differ in at most ``sure`` bits a spanning forest of each run is kept; of those up to ``most`` all
+    that lead from one tree to another.
+    """
     n = len(keys)
     parent = np.arange(n)
 
@@ -144,23 +148,31 @@ def _run_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray
             i = parent[i]
         return i
 
-    left, right = [], []
+    left, right, loose = [], [], []
     at, shift = np.arange(n - 1), 1
     while len(at):
         at = at[at + shift < n]
         at = at[keys[at] == keys[at + shift]]
-        near = at[np.bitwise_count(fps[at] ^ fps[at + shift]).sum(1) <= most]
-        for i in near.tolist():
+        apart = np.bitwise_count(fps[at] ^ fps[at + shift]).sum(1)
+        for i in at[apart <= sure].tolist():
             a, b = root(i), root(i + shift)
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 left.append(i)
                 right.append(i + shift)
+        if most > sure:
+            open_ = at[(apart > sure) & (apart <= most)]
+            loose.append(np.column_stack([open_, open_ + shift]))
         shift += 1
-    return np.array(left, np.int64), np.array(right, np.int64)
+    pairs = np.concatenate(loose) if loose else np.empty((0, 2), np.int64)
+    if len(pairs):
+        trees = np.array([root(i) for i in range(n)])
+        pairs = pairs[trees[pairs[:, 0]] != trees[pairs[:, 1]]]
+    a, b = np.concatenate([np.array(left, np.int64), pairs[:, 0]]), np.concatenate([np.array(right, np.int64), pairs[:, 1]])
+    return a, b, np.arange(len(a)) < len(left)
 
 
-def _compare(most: int):
+def _compare(most: int, sure: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for pdf in batches:
@@ -170,24 +182,27 @@ def _compare(most: int):
             last = pdf["key"].iloc[-1]
             whole = int(np.searchsorted((pdf["key"] == last).to_numpy(), True))  # runs that ended for sure
             if whole:
-                yield _linked(pdf.iloc[:whole], most)
+                yield _linked(pdf.iloc[:whole], most, sure)
             held = pdf.iloc[whole:]
         if held is not None:
-            yield _linked(held, most)
+            yield _linked(held, most, sure)
 
     return rows
 
 
-def _linked(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
+def _linked(pdf: pd.DataFrame, most: int, sure: int) -> pd.DataFrame:
     fps = _stack(pdf["fp"])
-    a, b = _run_links(pd.factorize(pdf["key"])[0], fps, most)
-    return pd.DataFrame({"a": list(fps[a].view(np.int64)), "b": list(fps[b].view(np.int64))}, dtype=object)
+    a, b, certain = _run_links(pd.factorize(pdf["key"])[0], fps, most, sure)
+    out = pd.DataFrame({"a": list(fps[a].view(np.int64)), "b": list(fps[b].view(np.int64))}, dtype=object)
+    out["sure"] = certain.astype(bool)
+    return out
 
 
-def link_fingerprints(fps: DataFrame, blocks: list[list[int]], most: int, *, lanes: int = 1, run_limit: int = 4096) -> DataFrame:
-    """Links ``(a, b)`` between distinct fingerprints that differ in at most ``most`` bits.
+def link_fingerprints(fps: DataFrame, blocks: list[list[int]], most: int, *, lanes: int = 1, sure: int | None = None, run_limit: int = 4096) -> DataFrame:
+    """Links ``(a, b, sure)`` between distinct fingerprints that differ in at most ``most`` bits.
 
-    Every connection by such links stays, though not every link: of each block's run a spanning forest is kept.
+    Every connection by such links stays, though not every link: of each block's run a spanning forest is kept. With ``sure``,
+    links of more bits than that are marked as not sure, and all that lead from one tree to another are kept.
     """
     width = 64 * lanes
     keyed = fps.select("fp").distinct().mapInPandas(_keys(blocks), "key string, fp array<bigint>")
@@ -197,7 +212,7 @@ def link_fingerprints(fps: DataFrame, blocks: list[list[int]], most: int, *, lan
     usual = shared.filter(F.col("count") <= run_limit).select("key", "fp")
     finer = shared.filter(F.col("count") > run_limit).select("key", "fp").mapInPandas(_finer(blocks, width, most + 1), "key string, fp array<bigint>")
     rows = usual.unionByName(finer)
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(_compare(most), "a array<bigint>, b array<bigint>")
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(_compare(most, most if sure is None else sure), "a array<bigint>, b array<bigint>, sure boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -235,16 +250,25 @@ def group_documents(fps: DataFrame, links: DataFrame) -> DataFrame:
     return fps.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, lanes: int = 4, width: int = 18, blocks: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Groups of texts whose sets of ``words``-word shingles are about ``similarity`` alike or more (Jaccard).
+def near_duplicates(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, lanes: int = 4, fine_lanes: int = 32, width: int = 16, blocks: int = 48, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Groups of texts whose sets of ``words``-word shingles are ``similarity`` alike or more (Jaccard).
 
-    Of two sets with Jaccard similarity J the cosine is about 2J / (1 + J), and their SimHashes differ in
-    about arccos of that / pi of the bits; pairs up to that share are linked.
+    Of two sets with Jaccard similarity J the cosine is about 2J / (1 + J), and their SimHashes differ in about arccos
+    of that / pi of the bits. The first ``lanes`` words of a fingerprint of ``fine_lanes`` find pairs: two standard deviations below that
+    share a pair is linked, up to two above it is looked at again with all bits, whose deviation is a third or less.
     """
-    most = int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * 64 * lanes)
-    fps = written(fingerprints(docs, words=words, lanes=lanes, once=True, doc_id=doc_id, text=text), "fingerprints")
-    links = link_fingerprints(fps, overlapping_blocks(64 * lanes, width, blocks), most, lanes=lanes)
-    return group_documents(fps, links)
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * lanes
+    spread = 2 * float(np.sqrt(share * (1 - share) * bits))
+    fine = written(fingerprints(docs, words=words, lanes=fine_lanes, once=True, doc_id=doc_id, text=text), "fingerprints")
+    fps = fine.select("doc_id", F.slice("fp", 1, lanes).alias("fp"))
+    links = written(link_fingerprints(fps, overlapping_blocks(bits, width, blocks), int(share * bits + spread), lanes=lanes, sure=int(share * bits - spread)), "pairs")
+    open_ = links.filter("not sure").select("a", "b").distinct()
+    whole = fine.groupBy(F.slice("fp", 1, lanes).alias("short")).agg(F.min("fp").alias("long"))
+    wide = open_.join(whole.select(F.col("short").alias("a"), F.col("long").alias("x")), "a").join(whole.select(F.col("short").alias("b"), F.col("long").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, c: n + c)
+    checked = wide.filter(apart <= int(share * 64 * fine_lanes)).select("a", "b")
+    return group_documents(fps, links.filter("sure").select("a", "b").unionByName(checked))
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
