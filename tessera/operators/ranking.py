@@ -93,13 +93,11 @@ def pooled(found: DataFrame) -> DataFrame:
 
 
 def pooled_by_owner(found: DataFrame, owners: DataFrame) -> DataFrame:
-    """V5: each owner's best chunk for each query; owners without a chunk score minus infinity.
+    """V5: each owner's best chunk for each query. ``owners``: ``doc_id``, ``owner``.
 
-    ``owners``: ``doc_id`` (null for an owner without chunks), ``owner``.
+    An owner without chunks has no row, which stands for a score of minus infinity: it comes after every other.
     """
-    best = found.join(owners.filter("doc_id is not null"), "doc_id").groupBy("query_id", "owner").agg(F.max("score").alias("score"))
-    every = found.select("query_id").distinct().join(F.broadcast(owners.groupBy("owner").agg(F.max("doc_id").alias("d")).filter("d is null").select("owner")), how="cross")
-    return best.unionByName(every.withColumn("score", F.lit(float("-inf"))))
+    return found.join(owners, "doc_id").groupBy("query_id", "owner").agg(F.max("score").alias("score"))
 
 
 def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
