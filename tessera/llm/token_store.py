@@ -7,7 +7,7 @@ signed 64-bit numbers (nulls sort first and their count is in the manifest). Nam
 of tasks that succeeded get into the manifest, so a task may run again at any time. The manifest has a row for each
 part; a part's base, the ids in all parts before it, is the prefix sum of their counts.
 
-Defined cases: a null or empty text has only the end id; rows with equal doc_id stand side by side, by text; null
+Defined cases: a null or empty text has only the end id; rows with equal doc_id stand side by side, by a hash of the text; null
 doc_ids come first; an empty table makes a store without ids; other columns are ignored.
 """
 
@@ -67,7 +67,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, pattern: str | No
         types = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["part", "name", "n_docs", "n_null", "n_tokens", "width"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))  # Spark samples the keys: no texts in them
     made = rows.mapInArrow(write, MANIFEST)
     made.write.parquet(f"{folder}/manifest")
     return manifest(docs.sparkSession, folder)
