@@ -3,8 +3,8 @@
 Labelled documents become transformed statistics, and each statistic a bin among cut points taken from its quantiles. A
 rule is a conjunction of thresholds for label 0. It grows on two thirds of the rows, condition by condition with the
 largest information gain; every step is one grouped count over (statistic, bin) of the rows still covered. On the last
-third the rule is cut back to the prefix with the best share of label 0 and taken if that share and its support are high enough;
-rows it covers leave, and the next rule is grown. The list becomes one Spark conditional expression. What reaches the driver are counts: at most statistics times bins.
+third the rule is cut back to the prefix with the best share of label 0, and taken if its shares there and overall and its support are high enough;
+rows it covers leave either way, and the next rule is grown, until three have not been taken. The list becomes one Spark conditional expression. What reaches the driver are counts: at most statistics times bins.
 
 Defined cases: a null text counts as empty; equal rows are each judged; a null doc_id is judged and never learned from; no
 usable labels give an empty list that keeps everything; an empty table gives an empty result; other columns are ignored.
@@ -47,7 +47,7 @@ def rejected(rules: list[Rule], values: dict[str, Column]) -> Column:
     return reduce(lambda rest, fits: F.when(fits, True).otherwise(rest), reversed(each), F.lit(False))
 
 
-def learn_rules(rows: DataFrame, *, most_rules: int = 12, most_conditions: int = 4, cuts: int = 24, least_share: float = 0.9, least_support: int = 4) -> list[Rule]:
+def learn_rules(rows: DataFrame, *, most_rules: int = 12, most_conditions: int = 4, cuts: int = 24, least_share: float = 0.9, least_pruned: float = 0.75, least_support: int = 4, most_failures: int = 3) -> list[Rule]:
     """``rows``: a struct ``stats`` and ``label``."""
     names = list(shares(F.col("stats")))
     wide = written(rows.select(F.struct(*[v.alias(k) for k, v in shares(F.col("stats")).items()]).alias("x"), (F.col("label") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0).alias("grow")), "labelled")
@@ -86,21 +86,24 @@ def learn_rules(rows: DataFrame, *, most_rules: int = 12, most_conditions: int =
         return found[1]
 
     rules: list[Rule] = []
-    while len(rules) < most_rules:
-        left = binned.filter(~reduce(lambda a, b: a | b, map(fits, rules))) if rules else binned
+    tried: list[Rule] = []
+    while len(rules) < most_rules and len(tried) - len(rules) < most_failures:
+        left = binned.filter(~reduce(lambda a, b: a | b, map(fits, tried))) if tried else binned
         rule: Rule = ()
         while len(rule) < most_conditions and (c := best_condition(left, rule)):
             rule += (c,)
         if not rule:
             break
         prefixes = [rule[:k] for k in range(1, len(rule) + 1)]
-        seen = left.filter(~F.col("grow")).agg(*[F.count_if(fits(r) & kind).alias(f"{name}{k}") for k, r in enumerate(prefixes) for name, kind in (("p", F.col("bad")), ("n", ~F.col("bad")))]).first()
+        pruning = ~F.col("grow")
+        seen = left.agg(*[F.count_if(fits(r) & kind & where).alias(f"{name}{k}") for k, r in enumerate(prefixes) for name, kind, where in (("p", F.col("bad"), pruning), ("n", ~F.col("bad"), pruning), ("all_p", F.col("bad"), F.lit(True)), ("all_n", ~F.col("bad"), F.lit(True)))]).first()
         worth = [((seen[f"p{k}"] - seen[f"n{k}"]) / max(1, seen[f"p{k}"] + seen[f"n{k}"]), -k) for k in range(len(prefixes))]
         k = -max(worth)[1]
         p, n = seen[f"p{k}"], seen[f"n{k}"]
-        if p < max(1, least_support // 2) or p < least_share * (p + n):
-            break
-        rules.append(prefixes[k])
+        tried.append(prefixes[k])
+        all_p, all_n = seen[f"all_p{k}"], seen[f"all_n{k}"]
+        if p >= max(1, least_support // 2) and p >= least_pruned * (p + n) and all_p >= least_share * (all_p + all_n):
+            rules.append(prefixes[k])
     return rules
 
 
