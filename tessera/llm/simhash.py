@@ -136,8 +136,8 @@ def _finer(blocks: list[list[int]], width: int, parts: int):
 def _run_links(keys: np.ndarray, fps: np.ndarray, most: int, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of linked pairs in runs of equal keys (rows are sorted by key), and whether each is sure.
 
-    Of the pairs that differ in at most ``sure`` bits a spanning forest of each run is kept; of those up to ``most`` all
-    that lead from one tree to another.
+    Of the pairs that differ in at most ``sure`` bits a spanning forest of each run is kept; of those up to ``most`` the
+    nearest that join its trees further. So a run of n rows leaves fewer than n links.
     """
     n = len(keys)
     parent = np.arange(n)
@@ -153,7 +153,7 @@ def _run_links(keys: np.ndarray, fps: np.ndarray, most: int, sure: int) -> tuple
     while len(at):
         at = at[at + shift < n]
         at = at[keys[at] == keys[at + shift]]
-        apart = np.bitwise_count(fps[at] ^ fps[at + shift]).sum(1)
+        apart = np.bitwise_count(fps[at] ^ fps[at + shift]).sum(1).astype(np.int64)
         for i in at[apart <= sure].tolist():
             a, b = root(i), root(i + shift)
             if a != b:
@@ -162,14 +162,20 @@ def _run_links(keys: np.ndarray, fps: np.ndarray, most: int, sure: int) -> tuple
                 right.append(i + shift)
         if most > sure:
             open_ = at[(apart > sure) & (apart <= most)]
-            loose.append(np.column_stack([open_, open_ + shift]))
+            loose.append(np.column_stack([open_, open_ + shift, apart[(apart > sure) & (apart <= most)]]))
         shift += 1
-    pairs = np.concatenate(loose) if loose else np.empty((0, 2), np.int64)
+    certain = len(left)
+    pairs = np.concatenate(loose) if loose else np.empty((0, 3), np.int64)
     if len(pairs):
         trees = np.array([root(i) for i in range(n)])
         pairs = pairs[trees[pairs[:, 0]] != trees[pairs[:, 1]]]
-    a, b = np.concatenate([np.array(left, np.int64), pairs[:, 0]]), np.concatenate([np.array(right, np.int64), pairs[:, 1]])
-    return a, b, np.arange(len(a)) < len(left)
+        for i, j in pairs[np.argsort(pairs[:, 2], kind="stable"), :2].tolist():
+            a, b = root(i), root(j)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                left.append(i)
+                right.append(j)
+    return np.array(left, np.int64), np.array(right, np.int64), np.arange(len(left)) < certain
 
 
 def _compare(most: int, sure: int):
@@ -201,28 +207,56 @@ def _linked(pdf: pd.DataFrame, most: int, sure: int) -> pd.DataFrame:
 def link_fingerprints(fps: DataFrame, blocks: list[list[int]], most: int, *, lanes: int = 1, sure: int | None = None, run_limit: int = 4096) -> DataFrame:
     """Links ``(a, b, sure)`` between distinct fingerprints that differ in at most ``most`` bits.
 
-    Every connection by such links stays, though not every link: of each block's run a spanning forest is kept. With ``sure``,
-    links of more bits than that are marked as not sure, and all that lead from one tree to another are kept.
+    Every connection by such links stays, though not every link: of each block's run a spanning forest is kept. With ``sure``, links of more bits than that are marked as not sure.
     """
     width = 64 * lanes
     keyed = fps.select("fp").distinct().mapInPandas(_keys(blocks), "key string, fp array<bigint>")
     keyed = written(keyed, "blocks")
-    counts = keyed.groupBy("key").count().filter("count > 1")
-    shared = keyed.join(counts, "key")
-    usual = shared.filter(F.col("count") <= run_limit).select("key", "fp")
-    finer = shared.filter(F.col("count") > run_limit).select("key", "fp").mapInPandas(_finer(blocks, width, most + 1), "key string, fp array<bigint>")
+    hot = keyed.groupBy("key").count().filter(F.col("count") > run_limit).select("key", F.lit(True).alias("hot"))
+    marked = keyed.join(hot, "key", "left")
+    usual = marked.filter("hot is null").select("key", "fp")
+    finer = marked.filter("hot").select("key", "fp").mapInPandas(_finer(blocks, width, most + 1), "key string, fp array<bigint>")
     rows = usual.unionByName(finer)
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(_compare(most, most if sure is None else sure), "a array<bigint>, b array<bigint>, sure boolean")
 
 
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links of one part as stars: each node with the smallest that the part's links reach, which joins the same nodes."""
+    parent: dict = {}
+
+    def root(x):
+        top = x
+        while parent[top] != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    lists = False
+    for pdf in batches:
+        for a, b in zip(pdf["a"], pdf["b"]):
+            lists = lists or isinstance(a, np.ndarray)
+            a, b = (tuple(a.tolist()), tuple(b.tolist())) if lists else (a, b)
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    nodes = [n for n in parent if root(n) != n]
+    for at in range(0, len(nodes), 10_000):
+        part = nodes[at : at + 10_000]
+        roots = [root(n) for n in part]
+        yield pd.DataFrame({"a": [list(r) for r in roots] if lists else roots, "b": [list(n) for n in part] if lists else part})
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node that has a link: the smallest node that links reach.
 
-    Rounds of the large-star and small-star steps: each node passes its smallest neighbour on to the others,
-    so chains shorten by half or more a round; edges stay as many as the links at most.
+    Each part of the links first becomes stars by itself. Rounds of the large-star and small-star steps join them: each
+    node passes its smallest neighbour on to the others, so chains shorten by half or more a round; edges stay as many as
+    the links at most.
     """
-    small = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    edges = written(links.filter("a <> b").select(*small).distinct(), "links")
+    stars = written(links.select("a", "b"), "links").mapInPandas(_stars, links.select("a", "b").schema)  # a part's links at a time
+    edges = written(stars.distinct(), "links")
     sign = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = sign(edges)
     while before[0]:
