@@ -22,33 +22,46 @@ from tessera.llm.labelled import labelled_texts, usable
 from tessera.llm.text_stats import shares, with_stats
 
 
+def slim(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and the other columns in one struct ``rest``, where their names clash with nothing."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others or [F.lit(0).alias("none")]).alias("rest"))
+
+
+def whole(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns again in their old order."""
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in columns])
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose quality score is below the classifier's cut."""
     labels = usable(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = written(with_stats(docs), "stats")
+    rows = written(with_stats(slim(docs)), "stats")
     x = F.array(*shares(F.col("stats")).values())
     model = quality_model.fit(rows.select("doc_id", x.alias("x")).join(labels, "doc_id"))
-    return rows.filter(quality_model.score(x, model) >= quality_model.CUT).drop("stats")
+    return whole(rows.filter(quality_model.score(x, model) >= quality_model.CUT), docs.columns)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base thresholds or the learned decision list reject."""
     texts = labelled_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rules = quality_rules.learn_rules(with_stats(texts).select("doc_id", "stats", "label"))
-    return quality_rules.judged(with_stats(docs), rules).filter("kept").drop("stats", "base_failed", "kept")
+    return whole(quality_rules.judged(with_stats(slim(docs)), rules).filter("kept"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near copies."""
-    return simhash.keep_one(docs)
+    return whole(simhash.keep_one(slim(docs)), docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret in a text; ``n_chars`` follows the text."""
-    found = secret_scan.scan_secrets(docs, keep=tuple(docs.columns))
-    text = secret_scan.redact(F.col("text"), F.col("secrets"))
-    masked = found.withColumn("text", text)
-    return masked.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Replaces every secret in a text; ``n_chars``, if there, follows the text."""
+    found = secret_scan.scan_secrets(slim(docs), keep=("text", "rest"))
+    masked = found.withColumn("text", secret_scan.redact(F.col("text"), F.col("secrets")))
+    if "n_chars" in docs.columns:
+        length = F.when(F.size("secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars"))
+        masked = masked.withColumn("rest", F.col("rest").withField("n_chars", length))
+    return whole(masked, docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,3 +21,14 @@ def test_stages(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_awkward_tables(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    odd = docs.withColumns({"stats": F.lit(1), "secrets": F.lit("s"), "kept": F.lit(True), "rest": F.lit(2), "__id": F.lit(3)})
+    odd = odd.unionByName(odd.limit(1).withColumns({"text": F.lit(None).cast("string"), "doc_id": F.lit(None).cast("bigint"), "n_chars": F.lit(None).cast("bigint")}))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd.limit(0), FOLDER).count() == 0
+        odd = stage(spark, odd, FOLDER)
+        assert odd.columns[-5:] == ["stats", "secrets", "kept", "rest", "__id"] and odd.filter("rest = 2").count() == odd.count()
+    corpus_pipeline.STAGES[-1][1](spark, odd, FOLDER).collect()
