@@ -9,7 +9,7 @@ inside it the remaining bits again differ in at most r places, so the same argum
 ``components`` then joins links to groups by rounds of neighbourhood minima, each round written to the shared folder.
 
 For fingerprints of texts whose similarity may be as low as 0.8, r is too large for disjoint blocks of
-useful width; ``near_duplicates`` then takes 40 overlapping blocks of 18 of 256 bits. Up to 13 differing bits the
+useful width; ``near_duplicates`` then takes 48 overlapping blocks of 16 of 256 bits. Up to 15 differing bits the
 pigeonhole still holds strictly; beyond, the share of pairs found is measured in the tests and the README.
 
 Defined cases: a null or wordless text has fingerprint zero, and such texts link like any other; equal rows fall
@@ -31,6 +31,8 @@ from tessera.llm.common import small_batches, written
 
 SEED = 42
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
+#: So many open pairs of a task's runs are held before the rows they belong to are marked.
+OPEN_PAIRS = 1 << 20
 
 
 def simhash(text: str | None, words: int = 3, lanes: int = 1, once: bool = False) -> list[int]:
@@ -133,14 +135,24 @@ def _finer(blocks: list[list[int]], width: int, parts: int):
     return rows
 
 
-def _run_links(keys: np.ndarray, fps: np.ndarray, most: int, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of linked pairs in runs of equal keys (rows are sorted by key), and whether each is sure.
+def _roots(parent: np.ndarray) -> np.ndarray:
+    """Each position's root; the parents are shortened to it."""
+    while True:
+        up = parent[parent]
+        if (up == parent).all():
+            return parent
+        parent[:] = up
 
-    Of the pairs that differ in at most ``sure`` bits a spanning forest of each run is kept; of those up to ``most`` the
-    nearest that join its trees further. So a run of n rows leaves fewer than n links.
+
+def _run_links(keys: np.ndarray, fps: np.ndarray, most: int, sure: int, fine: np.ndarray | None = None, fine_most: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of linked pairs in runs of equal keys (rows are sorted by key), and which rows have open pairs.
+
+    Without ``fine``, the links are a spanning forest of each run's pairs of at most ``sure`` bits; a row is open if it differs from one
+    of another tree in more bits than that, up to ``most``. With ``fine``, the open pairs are decided: the links are those that differ
+    in at most ``fine_most`` bits there and join two trees. So a run of n rows leaves fewer than n links, and no link that fails.
     """
     n = len(keys)
-    parent = np.arange(n)
+    parent, trees, open_ = np.arange(n), np.bincount(keys, minlength=1), np.zeros(n, bool)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -148,37 +160,46 @@ def _run_links(keys: np.ndarray, fps: np.ndarray, most: int, sure: int) -> tuple
             i = parent[i]
         return i
 
-    left, right, loose = [], [], []
+    left, right, loose, held = [], [], [], 0
+
+    def join(at: np.ndarray, shift: int, kept: bool) -> None:
+        for i in at[parent[at] != parent[at + shift]].tolist():
+            a, b = root(i), root(i + shift)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                trees[keys[i]] -= 1
+                if kept:
+                    left.append(i)
+                    right.append(i + shift)
+
+    def mark() -> None:
+        top = _roots(parent)
+        for pairs in loose:
+            pairs = pairs[top[pairs[:, 0]] != top[pairs[:, 1]]]
+            open_[pairs.ravel()] = True
+        loose.clear()
+
     at, shift = np.arange(n - 1), 1
     while len(at):
         at = at[at + shift < n]
-        at = at[keys[at] == keys[at + shift]]
+        at = at[(keys[at] == keys[at + shift]) & (trees[keys[at]] > 1)]
         apart = np.bitwise_count(fps[at] ^ fps[at + shift]).sum(1).astype(np.int64)
-        for i in at[apart <= sure].tolist():
-            a, b = root(i), root(i + shift)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                left.append(i)
-                right.append(i + shift)
-        if most > sure:
-            open_ = at[(apart > sure) & (apart <= most)]
-            loose.append(np.column_stack([open_, open_ + shift, apart[(apart > sure) & (apart <= most)]]))
+        join(at[apart <= sure], shift, fine is None)
+        between = at[(apart > sure) & (apart <= most)]
+        if len(between) and fine is not None:
+            join(between[np.bitwise_count(fine[between] ^ fine[between + shift]).sum(1, dtype=np.int64) <= fine_most], shift, True)
+        elif len(between):
+            loose.append(np.column_stack([between, between + shift]))
+            held += len(between)
+            if held > OPEN_PAIRS:
+                mark()
+                held = 0
         shift += 1
-    certain = len(left)
-    pairs = np.concatenate(loose) if loose else np.empty((0, 3), np.int64)
-    if len(pairs):
-        trees = np.array([root(i) for i in range(n)])
-        pairs = pairs[trees[pairs[:, 0]] != trees[pairs[:, 1]]]
-        for i, j in pairs[np.argsort(pairs[:, 2], kind="stable"), :2].tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                left.append(i)
-                right.append(j)
-    return np.array(left, np.int64), np.array(right, np.int64), np.arange(len(left)) < certain
+    mark()
+    return np.array(left, np.int64), np.array(right, np.int64), open_
 
 
-def _compare(most: int, sure: int):
+def _by_run(linked):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for pdf in batches:
@@ -188,26 +209,41 @@ def _compare(most: int, sure: int):
             last = pdf["key"].iloc[-1]
             whole = int(np.searchsorted((pdf["key"] == last).to_numpy(), True))  # runs that ended for sure
             if whole:
-                yield _linked(pdf.iloc[:whole], most, sure)
+                yield linked(pdf.iloc[:whole])
             held = pdf.iloc[whole:]
         if held is not None:
-            yield _linked(held, most, sure)
+            yield linked(held)
 
     return rows
 
 
-def _linked(pdf: pd.DataFrame, most: int, sure: int) -> pd.DataFrame:
-    fps = _stack(pdf["fp"])
-    a, b, certain = _run_links(pd.factorize(pdf["key"])[0], fps, most, sure)
-    out = pd.DataFrame({"a": list(fps[a].view(np.int64)), "b": list(fps[b].view(np.int64))}, dtype=object)
-    out["sure"] = certain.astype(bool)
-    return out
+def _compare(most: int, sure: int):
+    """Links ``(a, b)`` with a null key, and a row (key, a) for each member of a run with open pairs."""
+
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        fps = _stack(pdf["fp"])
+        a, b, open_ = _run_links(pd.factorize(pdf["key"])[0], fps, most, sure)
+        left, right = [*fps[a].view(np.int64), *fps[open_].view(np.int64)], [*fps[b].view(np.int64), *[None] * int(open_.sum())]
+        return pd.DataFrame({"key": [*[None] * len(a), *pdf["key"].to_numpy()[open_]], "a": left, "b": right}, dtype=object)
+
+    return _by_run(linked)
+
+
+def _decide(most: int, sure: int, fine_most: int):
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        fps = _stack(pdf["fp"])
+        a, b, _ = _run_links(pd.factorize(pdf["key"])[0], fps, most, sure, _stack(pdf["fine"]), fine_most)
+        return pd.DataFrame({"a": list(fps[a].view(np.int64)), "b": list(fps[b].view(np.int64))}, dtype=object)
+
+    return _by_run(linked)
 
 
-def link_fingerprints(fps: DataFrame, blocks: list[list[int]], most: int, *, lanes: int = 1, sure: int | None = None, run_limit: int = 4096) -> DataFrame:
-    """Links ``(a, b, sure)`` between distinct fingerprints that differ in at most ``most`` bits.
+def link_fingerprints(fps: DataFrame, blocks: list[list[int]], most: int, *, lanes: int = 1, sure: int | None = None, fine: DataFrame | None = None, fine_most: int = 0, run_limit: int = 4096) -> DataFrame:
+    """Links ``(a, b)`` between distinct fingerprints that differ in at most ``most`` bits.
 
-    Every connection by such links stays, though not every link: of each block's run a spanning forest is kept. With ``sure``, links of more bits than that are marked as not sure.
+    Every connection by such links stays, though not every link: of each block's run a spanning forest is kept. With ``sure``, pairs of
+    more bits than that are links only if their fingerprints in ``fine`` (``fp, fine``) differ in at most ``fine_most`` bits. They are looked
+    up for the members of such pairs alone and compared in the same runs, so that nothing is left out for a link that fails.
     """
     width = 64 * lanes
     keyed = fps.select("fp").distinct().mapInPandas(_keys(blocks), "key string, fp array<bigint>")
@@ -217,7 +253,15 @@ def link_fingerprints(fps: DataFrame, blocks: list[list[int]], most: int, *, lan
     usual = marked.filter("hot is null").select("key", "fp")
     finer = marked.filter("hot").select("key", "fp").mapInPandas(_finer(blocks, width, most + 1), "key string, fp array<bigint>")
     rows = usual.unionByName(finer)
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(_compare(most, most if sure is None else sure), "a array<bigint>, b array<bigint>, sure boolean")
+    sure = most if sure is None else sure
+    runs = lambda rows: rows.repartition("key").sortWithinPartitions("key")
+    found = runs(rows).mapInPandas(_compare(most, sure), "key string, a array<bigint>, b array<bigint>")
+    if sure >= most:
+        return found.select("a", "b")
+    found = written(found, "pairs")
+    wide = found.filter("key is not null").select("key", F.col("a").alias("fp")).join(fine.select("fp", "fine"), "fp")
+    decided = runs(wide).mapInPandas(_decide(most, sure, fine_most), "a array<bigint>, b array<bigint>")
+    return found.filter("key is null").select("a", "b").unionByName(decided)
 
 
 def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,13 +340,9 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity:
     spread = 2 * float(np.sqrt(share * (1 - share) * bits))
     fine = written(fingerprints(docs, words=words, lanes=fine_lanes, once=True, doc_id=doc_id, text=text), "fingerprints")
     fps = fine.select("doc_id", F.slice("fp", 1, lanes).alias("fp"))
-    links = written(link_fingerprints(fps, overlapping_blocks(bits, width, blocks), int(share * bits + spread), lanes=lanes, sure=int(share * bits - spread)), "pairs")
-    open_ = links.filter("not sure").select("a", "b").distinct()
-    whole = fine.groupBy(F.slice("fp", 1, lanes).alias("short")).agg(F.min("fp").alias("long"))
-    wide = open_.join(whole.select(F.col("short").alias("a"), F.col("long").alias("x")), "a").join(whole.select(F.col("short").alias("b"), F.col("long").alias("y")), "b")
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, c: n + c)
-    checked = wide.filter(apart <= int(share * 64 * fine_lanes)).select("a", "b")
-    return group_documents(fps, links.filter("sure").select("a", "b").unionByName(checked))
+    whole = fine.groupBy(F.slice("fp", 1, lanes).alias("short")).agg(F.min("fp").alias("fine")).withColumnRenamed("short", "fp")
+    links = link_fingerprints(fps, overlapping_blocks(bits, width, blocks), int(share * bits + spread), lanes=lanes, sure=int(share * bits - spread), fine=whole, fine_most=int(share * 64 * fine_lanes))
+    return group_documents(fps, links)
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:

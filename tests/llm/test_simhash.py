@@ -92,3 +92,14 @@ def test_near_copies(spark):
     assert all(got[i] % 3 == 0 and got[i] == i - i % 3 for i in got)
     kept = s.keep_one(frame.withColumn("fp", frame.doc_id))
     assert sorted(r.doc_id for r in kept.collect()) == [v[0] for v in base.values()] and "fp" in kept.columns
+
+
+def test_a_pair_between_failing_pairs_is_found(spark, monkeypatch):
+    block = s.overlapping_blocks(256, 16, 1)[0]
+    free = [b for b in range(256) if b not in block]
+    bits = lambda on, rest: np.packbits([b in on for b in range(256)]).view(">u8").astype(np.uint64).view(np.int64).tolist() + [rest] * 28
+    one, two, three = set(), set(free[:29]), set(free[14:45])  # 29, 30 and 31 bits apart; the second differs everywhere else
+    made = spark.createDataFrame([(0, bits(one, 0)), (1, bits(two, -1)), (2, bits(three, 0))], "doc_id bigint, fp array<bigint>")
+    monkeypatch.setattr(s, "fingerprints", lambda docs, **settings: made)
+    got = {r.doc_id: r.component_id for r in s.near_duplicates(made, blocks=1).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
