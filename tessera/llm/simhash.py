@@ -5,7 +5,8 @@ most r bits agree on one of r + 1 disjoint blocks of bits; ``link_fingerprints``
 fingerprints to their blocks, and each block's run is compared inside its task, so no table of pairs is
 ever made: a run leaves only the links of a spanning forest, at most one a member, which keep every
 connection. A block that holds more than ``run_limit`` distinct fingerprints is dealt to finer blocks first:
-inside it the remaining bits again differ in at most r places, so the same argument splits it without loss.
+inside it the remaining bits again differ in at most r places, so the same argument splits it without loss, as often as it
+takes. Where blocks are too narrow to help, the run is cut into chunks, and each two of them are a run (``runs_of``).
 ``components`` then joins links to groups by rounds of neighbourhood minima, each round written to the shared folder.
 
 For fingerprints of texts whose similarity may be as low as 0.8, r is too large for disjoint blocks of
@@ -118,6 +119,15 @@ def _keys(blocks: list[list[int]]):
     return rows
 
 
+def _free(path: str, blocks: list[list[int]], width: int, parts: int) -> np.ndarray:
+    """The bits that a path of a block and of parts of the bits then free leaves."""
+    first, *rest = map(int, path.split("/"))
+    free = np.setdiff1d(np.arange(width), blocks[first])
+    for j in rest:
+        free = np.setdiff1d(free, np.array_split(free, parts)[j])
+    return free
+
+
 def _finer(blocks: list[list[int]], width: int, parts: int):
     """Splits rows of one block path by the pigeonhole over the bits that the path leaves free."""
 
@@ -126,15 +136,44 @@ def _finer(blocks: list[list[int]], width: int, parts: int):
             if not len(pdf):
                 continue
             bits = _bit_matrix(_stack(pdf["fp"]))
-            for number, group in pdf.groupby(pdf["key"].str.split(":").str[0], sort=False):
-                free = [b for b in range(width) if b not in set(blocks[int(number)])]
-                for j, sub in enumerate(np.array_split(np.array(free), parts)):
+            for path, group in pdf.groupby(pdf["key"].str.split(":").str[0], sort=False):
+                for j, sub in enumerate(np.array_split(_free(path, blocks, width, parts), parts)):
                     values = _block_values(bits[group.index], sub.tolist())
-                    yield pd.DataFrame({"key": [f"{k}/{j}:{v:x}" for k, v in zip(group["key"], values)], "fp": group["fp"]})
+                    yield pd.DataFrame({"key": [f"{path}/{j}{k[len(path):]},{v:x}" for k, v in zip(group["key"], values)], "fp": group["fp"]})
 
     return rows
 
 
+def _chunk_pairs(hot: DataFrame, run_limit: int) -> DataFrame:
+    """Rows (key, fp) of runs that hold each pair of rows of a longer run: its chunks, two at a time. ``hot``: key, fp, count."""
+    dealt = hot.withColumn("__c", F.ceil(3 * F.col("count") / run_limit).cast("int")).withColumn("__mine", F.expr("cast(pmod(xxhash64(fp), __c) as int)"))
+    each = dealt.withColumn("__other", F.explode(F.expr("sequence(0, __c - 1)"))).filter("__other <> __mine")
+    return each.select(F.concat_ws("+", "key", F.least("__mine", "__other"), F.greatest("__mine", "__other")).alias("key"), "fp")
+
+
+def runs_of(fps: DataFrame, blocks: list[list[int]], most: int, *, lanes: int = 1, run_limit: int = 4096) -> DataFrame:
+    """Rows (key, fp): every two fingerprints that share a block and differ in at most ``most`` bits share a key.
+
+    A key of more than ``run_limit`` rows is split by finer blocks again and again, as long as these are wide enough to part more
+    than they repeat (``2**bits`` of four values or more for each part); then by pairs of chunks, which part any rows. No run is
+    longer than about the limit; the pairs of a run of near copies that nothing parts stay all pairs, but over many tasks.
+    """
+    width, parts = 64 * lanes, most + 1
+    keyed = written(fps.select("fp").distinct().mapInPandas(_keys(blocks), "key string, fp array<bigint>"), "blocks")
+    free, done = width - max(map(len, blocks)), None
+    while True:
+        hot = written(keyed.groupBy("key").count().filter(F.col("count") > run_limit), "hot")
+        if not hot.head(1):
+            return keyed if done is None else done.unionByName(keyed)
+        marked = keyed.join(hot, "key", "left")
+        usual, over = marked.filter("`count` is null").select("key", "fp"), marked.filter("`count` is not null")
+        done = usual if done is None else done.unionByName(usual)
+        if 2 ** (free // parts) < 4 * parts:
+            return done.unionByName(_chunk_pairs(over, run_limit))
+        keyed = written(over.select("key", "fp").mapInPandas(_finer(blocks, width, parts), "key string, fp array<bigint>"), "finer")
+        free -= -(-free // parts)
+
+
 def _roots(parent: np.ndarray) -> np.ndarray:
     """Each position's root; the parents are shortened to it."""
     while True:
@@ -245,17 +284,9 @@ def link_fingerprints(fps: DataFrame, blocks: list[list[int]], most: int, *, lan
     more bits than that are links only if their fingerprints in ``fine`` (``fp, fine``) differ in at most ``fine_most`` bits. They are looked
     up for the members of such pairs alone and compared in the same runs, so that nothing is left out for a link that fails.
     """
-    width = 64 * lanes
-    keyed = fps.select("fp").distinct().mapInPandas(_keys(blocks), "key string, fp array<bigint>")
-    keyed = written(keyed, "blocks")
-    hot = keyed.groupBy("key").count().filter(F.col("count") > run_limit).select("key", F.lit(True).alias("hot"))
-    marked = keyed.join(hot, "key", "left")
-    usual = marked.filter("hot is null").select("key", "fp")
-    finer = marked.filter("hot").select("key", "fp").mapInPandas(_finer(blocks, width, most + 1), "key string, fp array<bigint>")
-    rows = usual.unionByName(finer)
     sure = most if sure is None else sure
     runs = lambda rows: rows.repartition("key").sortWithinPartitions("key")
-    found = runs(rows).mapInPandas(_compare(most, sure), "key string, a array<bigint>, b array<bigint>")
+    found = runs(runs_of(fps, blocks, most, lanes=lanes, run_limit=run_limit)).mapInPandas(_compare(most, sure), "key string, a array<bigint>, b array<bigint>")
     if sure >= most:
         return found.select("a", "b")
     found = written(found, "pairs")

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import duckdb
@@ -103,3 +104,20 @@ def test_a_pair_between_failing_pairs_is_found(spark, monkeypatch):
     monkeypatch.setattr(s, "fingerprints", lambda docs, **settings: made)
     got = {r.doc_id: r.component_id for r in s.near_duplicates(made, blocks=1).collect()}
     assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_runs_stay_below_the_limit(spark):
+    rng = random.Random(7)
+    for lanes, most, flips, blocks in ((1, 2, 3, s.disjoint_blocks(64, 3)), (4, 50, 40, s.overlapping_blocks(256, 16, 3))):
+        fps = [set(rng.sample(range(64 * lanes), rng.randrange(flips))) for _ in range(700)]
+        longs = sorted({tuple(np.packbits([b in on for b in range(64 * lanes)]).view(">u8").astype(np.uint64).view(np.int64).tolist()) for on in fps})
+        frame = spark.createDataFrame([(list(x),) for x in longs], "fp array<bigint>")
+        got = {}
+        for r in s.runs_of(frame, blocks, most, lanes=lanes, run_limit=60).collect():
+            got.setdefault(r.key, []).append(tuple(r.fp))
+        assert max(map(len, got.values())) <= 60 < len(longs)
+        together = {p for run in got.values() for p in itertools.combinations(sorted(run), 2)}
+        for a, b in itertools.combinations(longs, 2):
+            bits = sum(((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() for x, y in zip(a, b))
+            share = any(all((a[i // 64] ^ b[i // 64]) >> (63 - i % 64) & 1 == 0 for i in block) for block in blocks)
+            assert bits > most or not share or (a, b) in together
