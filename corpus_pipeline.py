@@ -8,7 +8,7 @@ Models are learned from the labelled rows of ``sf_dir``. The rules' stage reads
 documents anew (``labelled.MOST_LABELS``), since the stage before has dropped most of the bad examples among its input.
 
 Defined cases: a null text counts as empty, and stays null where no stage changes it; equal rows are treated alike, and
-of rows with one doc_id near-duplicate removal keeps one; an empty table passes through; further columns are carried to the last stage.
+near-duplicate removal keeps one of each group, whatever rows share a doc_id or have none; an empty table passes through; further columns are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies."""
+    """Keeps the document with the smallest doc_id of each group of near copies (a null one if there is no other)."""
     return whole(simhash.keep_one(slim(docs)), docs.columns)
 
 

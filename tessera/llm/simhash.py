@@ -350,17 +350,22 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def group_documents(fps: DataFrame, links: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest doc_id of all documents that links and equal fingerprints reach."""
+def group_fingerprints(fps: DataFrame, links: DataFrame) -> DataFrame:
+    """``fp, component_id`` for each distinct fingerprint: the smallest doc_id of all documents that links and equal fingerprints reach."""
     ids = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     number = written(components(links.select(F.col("a"), F.col("b"))), "groups")
     placed = ids.join(number, ids.fp == number.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("fp").alias("__fp"), "component_id")
+    return placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+
+
+def group_documents(fps: DataFrame, links: DataFrame) -> DataFrame:
+    """``doc_id, fp, component_id``: each document with the smallest doc_id of its group."""
+    named = group_fingerprints(fps, links).withColumnRenamed("fp", "__fp")
     return fps.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, lanes: int = 4, fine_lanes: int = 32, width: int = 16, blocks: int = 48, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Groups of texts whose sets of ``words``-word shingles are ``similarity`` alike or more (Jaccard).
+def _fingerprints_and_links(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, lanes: int = 4, fine_lanes: int = 32, width: int = 16, blocks: int = 48, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The fingerprints, and their links, of texts whose sets of ``words``-word shingles are ``similarity`` alike or more (Jaccard).
 
     Of two sets with Jaccard similarity J the cosine is about 2J / (1 + J), and their SimHashes differ in about arccos
     of that / pi of the bits. The first ``lanes`` words of a fingerprint of ``fine_lanes`` find pairs: two standard deviations below that
@@ -373,15 +378,25 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity:
     fps = fine.select("doc_id", F.slice("fp", 1, lanes).alias("fp"))
     whole = fine.groupBy(F.slice("fp", 1, lanes).alias("short")).agg(F.min("fp").alias("fine")).withColumnRenamed("short", "fp")
     links = link_fingerprints(fps, overlapping_blocks(bits, width, blocks), int(share * bits + spread), lanes=lanes, sure=int(share * bits - spread), fine=whole, fine_most=int(share * 64 * fine_lanes))
-    return group_documents(fps, links)
+    return fps, links
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """One document of each group stays: that with the smallest doc_id; of equal rows with that id, one."""
-    group = near_duplicates(docs, **settings)
-    kept = group.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(F.col("__id"))).drop("__id")
-    return rows.dropDuplicates(["doc_id"])
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """Groups of texts whose shingles are alike: ``doc_id, fp, component_id``. The settings are those of ``_fingerprints_and_links``."""
+    return group_documents(*_fingerprints_and_links(docs, **settings))
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """One document of each group stays: that with the smallest doc_id, a null one only if there is no other.
+
+    Rows are told apart by doc_id and the text's MD5, so unrelated texts stay although they share an id or have none; of
+    rows with the same id and text, which are always of one group, one stays.
+    """
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text"))
+    keyed = docs.withColumn("__keep_key", key)
+    kept = group_fingerprints(*_fingerprints_and_links(keyed, doc_id="__keep_key", text=text, **settings)).select(F.col("component_id").alias("__kept_key")).distinct()
+    rows = keyed.join(kept, F.col("__keep_key") == F.col("__kept_key")).drop("__kept_key")
+    return rows.dropDuplicates(["__keep_key"]).drop("__keep_key")
 
 
 # ---------------------------------------------------------------- the registered query

@@ -121,3 +121,12 @@ def test_runs_stay_below_the_limit(spark):
             bits = sum(((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() for x, y in zip(a, b))
             share = any(all((a[i // 64] ^ b[i // 64]) >> (63 - i % 64) & 1 == 0 for i in block) for block in blocks)
             assert bits > most or not share or (a, b) in together
+
+
+def test_keep_one_with_null_and_shared_ids(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0]), (5, texts[3]), (7, texts[4]), (7, texts[5]), (7, texts[5]), (8, texts[6]), (9, texts[6]), (None, None), (None, "")]
+    got = s.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (7, texts[4]), (7, texts[5]), (8, texts[6]), (None, "")]
+    assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted((str(d), t) for d, t in want)
