@@ -7,8 +7,8 @@ every query, scores block after block, and drops a query once its next bound is
 may still hold a tie with a smaller id, so it is scored). A first pass over one block that each query starts from gives
 a floor for the k-th score, so most tasks send on little.
 
-The query set is a stated part of the rows; it passes through in slabs of at most ``slab`` vectors, each broadcast by
-itself, so nothing that is broadcast grows with the table.
+The query set is a stated part of the rows; it passes through in slabs of at most ``slab`` vectors. A slab is read, broadcast,
+answered, written and dropped before the next is read, so neither the driver nor a broadcast holds more as the table grows.
 
 Defined cases: vectors that are null, empty, or hold a null or a non-finite component take no part, nor do rows with a
 null ``vec_id``; shorter vectors count as filled up with zeros; repeated rows are candidates each, but rows with the
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, written
+from tessera.llm.common import new_path, small_batches, written
 
 K, BLOCK, SLAB = 20, 256, 8192
 _BLOCKS = "n int, ids binary, body binary, high binary, low binary"
@@ -131,7 +131,10 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = K, block: int = BLOC
     slabs = written(blocks_of(asked.select("vec_id", "vector"), dims, block), "queries")
     lowest = np.iinfo(np.int64).min
 
-    def run(ids: np.ndarray, body: np.ndarray) -> DataFrame:
+    path = new_path(spark, "scores")
+
+    def run(held: list) -> None:
+        ids, body = np.concatenate([_longs(q["ids"]) for q in held]), np.concatenate([_longs(q["body"], dims) for q in held])
         sent = spark.sparkContext.broadcast((ids, body))
 
         def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,24 +162,23 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = K, block: int = BLOC
                     best = _search(list(pdf.itertuples()), ids, body, start, k, dims)
                     yield pd.DataFrame({"query_id": ids[best.q], "vec_id": best.id, "score": best.score})
 
-        return index.mapInPandas(search, schema)
+        index.mapInPandas(search, schema).write.mode("append").parquet(path)
+        sent.destroy()
+        floor.destroy()
 
-    parts, held, n = [], [], 0
+    held, n, asked_any = [], 0, False
     small_batches(spark, 64)
-    for q in slabs.toLocalIterator():
+    for q in slabs.select("n", "ids", "body").toLocalIterator():
+        if n and n + q["n"] > slab:
+            run(held)
+            held, n = [], 0
         held.append(q)
         n += q["n"]
-        if n + block > slab:
-            parts.append((held, n))
-            held, n = [], 0
-    if held:
-        parts.append((held, n))
-    found = None
-    for held, _ in parts:
-        part = written(run(np.concatenate([_longs(q["ids"]) for q in held]), np.concatenate([_longs(q["body"], dims) for q in held])), "scores")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+        asked_any = True
+    if not asked_any:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    run(held)
+    found = spark.read.schema(schema).parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

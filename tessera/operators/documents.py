@@ -94,7 +94,7 @@ def with_vectors(docs: DataFrame, cache: DataFrame, model: str, embed=fake_vecto
 def rank_for_cv(parts: DataFrame, docs: DataFrame, top: int | None = None) -> DataFrame:
     """The corpus for one CV: each document's best part. ``parts``: part, label, vector; ``docs``: doc_id, vector."""
     found = pooled(scores(parts.select(F.col("part").alias("query_id"), "vector"), docs))
-    labelled_ = found.join(F.broadcast(parts.select(F.col("part").alias("query_id"), "label")), "query_id")
+    labelled_ = found.join(parts.select(F.col("part").alias("query_id"), "label"), "query_id")
     out = ranked(labelled_, [], [F.desc("score"), F.col("doc_id")])
     return out.filter(F.col("rank") <= top) if top else out
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import ranked, written
 
-DIGITS, RRF_K, SLAB = 6, 60, 4096
+DIGITS, RRF_K, BLOCK = 6, 60, 512
 
 
 def norm(v: Column) -> Column:
@@ -32,24 +32,37 @@ def cosine(a: Column, b: Column) -> Column:
 def scores(queries: DataFrame, documents: DataFrame, top: int | None = None) -> DataFrame:
     """``query_id, doc_id, score`` for every query and document (V2, V4, J2), or each task's ``top`` of a query.
 
-    ``queries``: ``query_id, vector``; ``documents``: ``doc_id, vector``. The queries, a stated set, pass in slabs of at most
-    ``SLAB`` vectors, each broadcast by itself; documents are read block by block, one matrix product a block.
+    ``queries``: ``query_id, vector``; ``documents``: ``doc_id, vector``. Both are cut into blocks of at most ``BLOCK`` vectors, and each
+    block of queries meets each block of documents in a task, one matrix product a pair; Spark ships them, none passes the driver.
     """
-    spark = documents.sparkSession
-    slabs, held = [], []
-    for row in queries.select("query_id", "vector").toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == SLAB:
-            slabs, held = [*slabs, held], []
-    slabs += [held] if held else []
+    asked, rows = _blocks(queries, "query_id"), _blocks(documents, "doc_id")
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double"
-    found = [_slab(documents, spark.sparkContext.broadcast((np.array([q for q, _ in s]), _unit(np.array([v for _, v in s], np.float64)))), schema, top) for s in slabs]
-    if not found:
-        return spark.createDataFrame([], schema)
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for q_ids, q_body, docs, body in zip(pdf["query_ids"], pdf["query_body"], pdf["doc_ids"], pdf["doc_body"]):
+                unit = np.frombuffer(q_body).reshape(len(q_ids), -1)
+                got = np.round(np.frombuffer(body).reshape(len(docs), -1) @ unit.T, DIGITS) + 0.0
+                for q in range(len(q_ids)):
+                    s = got[:, q]
+                    at = np.lexsort((docs, -s))[:top] if top and top < len(s) else slice(None)
+                    yield pd.DataFrame({"query_id": q_ids[q], "doc_id": docs[at], "score": s[at]})
+
+    return rows.crossJoin(asked).mapInPandas(score, schema)
+
+
+def _blocks(vectors: DataFrame, key: str) -> DataFrame:
+    """Written blocks of unit vectors: ``<name>_ids`` and ``<name>_body``, doubles row by row."""
+    name = key.removesuffix("_id")
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at : at + BLOCK]
+                yield pd.DataFrame({f"{name}_ids": [part[key].to_numpy()], f"{name}_body": [_unit(np.array(part["vector"].tolist(), np.float64)).tobytes()]})
+
+    schema = f"{name}_ids array<{vectors.schema[key].dataType.simpleString()}>, {name}_body binary"
+    return written(vectors.select(key, "vector").mapInPandas(build, schema), f"{name}_blocks")
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -59,22 +72,6 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / lengths
 
 
-def _slab(documents: DataFrame, sent, schema: str, top: int | None) -> DataFrame:
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, unit = sent.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            got = np.round(_unit(np.array(pdf["vector"].tolist(), np.float64)) @ unit.T, DIGITS) + 0.0
-            docs = pdf["doc_id"].to_numpy()
-            for q in range(len(ids)):
-                s = got[:, q]
-                at = np.lexsort((docs, -s))[:top] if top and top < len(s) else slice(None)
-                yield pd.DataFrame({"query_id": ids[q], "doc_id": docs[at], "score": s[at]})
-
-    return documents.select("doc_id", "vector").mapInPandas(score, schema)
-
-
 def top_ranks(found: DataFrame, top: int) -> DataFrame:
     """The first ``top`` of each query by score, then doc_id. Spark keeps ``top`` rows a query and task before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))

@@ -39,3 +39,14 @@ def test_awkward_vectors(spark):
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     assert found(frame) == brute([(0, [1.0, 0.5]), (6, [0.5, 0.5]), (7, [1e9, -1e9])], 20)
     assert found(frame.limit(0)) == {}
+
+
+def test_the_driver_holds_one_slab(spark, monkeypatch):
+    frame = spark.createDataFrame([(20 * i, [float(i), 1.0]) for i in range(64)], "vec_id bigint, vector array<double>")
+    frame = frame.select("vec_id", topk.whole_numbers(F.col("vector")).alias("vector"))
+    read, seen = [], []
+    rows, send = type(frame).toLocalIterator, type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(frame), "toLocalIterator", lambda self, *a: (read.append(r) or r for r in rows(self, *a)))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: seen.append(len(read)) or send(self, value))
+    assert topk.top_k(frame, F.col("vec_id") % 20 == 0, k=2, block=4, slab=8).count() == 128
+    assert seen[0] <= 3 < len(read)  # two blocks fill a slab; a third shows that it is full

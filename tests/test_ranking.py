@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +39,15 @@ def test_ranked_across_partitions(spark):
     for k in range(3):
         mine = sorted((r.v, r["rank"]) for r in got if r.k == k)
         assert [r for _, r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_scores_keep_queries_off_the_driver(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "doc_id bigint, vector array<double>")
+    asked = frame.withColumnRenamed("doc_id", "query_id")
+    monkeypatch.setattr(ranking, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(type(frame), "toLocalIterator", lambda self, *a: pytest.fail("queries were read by the driver"))
+    got = {(r.query_id, r.doc_id): r.score for r in ranking.scores(asked, frame).collect()}
+    rows = {r.doc_id: r.vector for r in frame.collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    assert len(got) == 1600
+    assert all(abs(got[q, d] - dot(rows[q], rows[d]) / math.sqrt(dot(rows[q], rows[q]) * dot(rows[d], rows[d]))) < 2e-6 for q, d in got)
