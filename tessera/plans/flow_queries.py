@@ -54,20 +54,22 @@ def indexed_corpus(spark, folder):
 
 @query()
 def quoted_passages(spark, folder):
-    """Benchmark passages' first words that stand in documents as whole words.
+    """Benchmark passages of which any eight words in a row stand in documents as whole words; shorter passages whole.
 
-    Quotes and texts meet on a quote's rarest long word, so no quote is tried on every text.
+    Quotes and texts meet on hashes of five words in a row (fewer if a quote has fewer), read in each of T4's ways, so no quote
+    is tried on every text. A passage without a letter or digit is quoted nowhere.
     """
-    quotes = table(spark, folder, "benchmark").select("item_id", F.array_join(F.slice(F.split(t.squeeze(F.col("text")), " "), 1, 8), " ").alias("quote"))
+    word = F.split(t.squeeze(F.col("text")), " ")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("word") - 7))
+    quotes = table(spark, folder, "benchmark").select("item_id", word.alias("word"))
+    quotes = quotes.select("item_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("word", i, 8), " "))).alias("quote")).distinct()
+    read = F.explode(F.array(*[t.first_words(F.col("quote"), w, 5) for w in t.LINE_ENDS]))
+    keyed = written(quotes.select("item_id", "quote", read.alias("k")).select("item_id", "quote", "k.n", "k.key").filter("n > 0").distinct(), "quotes")
+    sizes = [r.n for r in keyed.select("n").distinct().collect()]  # five at most
     texts = table(spark, folder, "documents").select("doc_id", "text")
-    words = lambda c: F.array_distinct(F.filter(F.split(t.searchable(c), "[^a-zà-ÿ]+"), lambda w: F.length(w) > 5))
-    keyed = written(quotes.withColumn("word", F.explode(words(F.col("quote")))), "quotes")
-    wanted = keyed.select("word").distinct()
-    found = texts.select("doc_id", F.explode(words(F.col("text"))).alias("word")).join(wanted, "word", "left_semi")
-    common = found.groupBy("word").agg(F.count("*").alias("n"))
-    rare = keyed.join(common, "word", "left").groupBy("item_id", "quote").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word").alias("w")))["w"].alias("word"))
-    pairs = found.join(rare, "word").select("doc_id", "item_id", "quote")
-    return pairs.join(texts, "doc_id").filter(t.quoted(F.col("quote"), F.col("text"))).select("item_id", "doc_id")
+    found = texts.select("doc_id", F.explode(t.word_runs(F.col("text"), sizes or [5])).alias("key"))
+    pairs = found.join(keyed, "key").groupBy("doc_id", "item_id").agg(F.collect_set("quote").alias("quotes"))
+    return pairs.join(texts, "doc_id").filter(F.exists("quotes", lambda q: t.quoted(q, F.col("text")))).select("item_id", "doc_id")
 
 
 @query("""
