@@ -13,10 +13,10 @@ inside texts are ordinary text.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -86,20 +86,34 @@ def decoded(ids: Column, rank_file: str, pattern: str) -> Column:
     return raw(ids)
 
 
+def coded(docs: DataFrame, rank_file: str, pattern: str, *, text: str = "text", to: str = "code") -> DataFrame:
+    """The rows with a struct of ``ids`` (``array<int>``) and ``raw``, the bytes that these ids decode to; a text is encoded once."""
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("struct<ids:array<int>,raw:binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        codec = encoding(rank_file, pattern)
+        flat, ends, raw = [], [0], []
+        for t in texts:
+            ids = encode(t.as_py(), codec)
+            flat.append(np.array(ids, np.int32))
+            ends.append(ends[-1] + len(ids))
+            raw.append(codec.decode_bytes(ids))
+        numbers = np.concatenate(flat) if flat else np.empty(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers, pa.int32()))
+        return pa.StructArray.from_arrays([lists, pa.array(raw, pa.binary())], ["ids", "raw"])
+
+    return docs.withColumn(to, both(F.col(text)))
+
+
 def op6_bpe_codec(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = encoded(docs, ranks, pattern)
-
-    @F.arrow_udf("string")
-    def ids_hash(lists: pa.Array) -> pa.Array:
-        return pa.array(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() for ids in id_lists(lists))
-
+    out = coded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select(
         "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        ids_hash("ids").alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids"), ranks, pattern), 256).alias("decoded_sha256"),
+        F.size("code.ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("code.ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("code.raw", 256).alias("decoded_sha256"),
     )
