@@ -83,11 +83,13 @@ def test_codec_query(spark, awkward, tmp_path):
     assert [(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows] == [want] * 2
 
 
-def test_store(spark, awkward, library):
+@pytest.mark.parametrize("bounds", [{}, {"part_ids": 3000}, {"part_docs": 2}])
+def test_store(spark, awkward, library, bounds):
     folder = new_path(spark, "test-tokens")
-    parts = token_store.write_tokens(awkward, folder, PATH, PATTERN, 0)
+    parts = token_store.write_tokens(awkward, folder, PATH, PATTERN, 0, **bounds)
+    assert all(p["n_docs"] <= bounds.get("part_docs", 99) and (p["n_docs"] == 1 or p["n_tokens"] <= bounds.get("part_ids", 10**9)) for p in parts)
     assert [p["base"] for p in parts] == [sum(q["n_tokens"] for q in parts[:i]) for i in range(len(parts))]
-    rows = sorted(token_store.read_tokens(spark, folder).collect(), key=lambda r: r.start)
+    rows = sorted(token_store.read_tokens(spark, folder, together=100).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == sorted((r.doc_id for r in awkward.collect()), key=lambda x: (x is not None, x))
     texts = {r.doc_id: r.text for r in awkward.collect()}
     start = 0
@@ -99,6 +101,37 @@ def test_store(spark, awkward, library):
     assert token_store.write_tokens(awkward.limit(0), empty, PATH, PATTERN, 0) == [] and token_store.read_tokens(spark, empty).count() == 0
 
 
+def test_store_query(spark, awkward, library, tmp_path):
+    awkward.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    texts = sorted(((r.doc_id, r.text) for r in awkward.collect()), key=lambda r: (r[0] is not None, r[0], r[1] or ""))
+    want, start = [], 0
+    for doc, text in texts:
+        ids = wanted(library, [text])[0] + [0]
+        want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_store.op5_token_store(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=lambda r: r[1]) == want
+
+
+def test_count_query(spark, awkward, library, tmp_path):
+    awkward.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((tuple(r) for r in token_counts.op7_token_counts(spark, str(tmp_path)).collect()), key=str)
+    counts = [(r.doc_id, len((r.text or "").encode()), len(wanted(library, [r.text])[0])) for r in awkward.collect()]
+    assert got == sorted(((d, b, n, n > 1024) for d, b, n in counts), key=str)
+
+
+def test_packing_query(spark, awkward, library, tmp_path):
+    awkward.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = packing.op4_best_fit_packing(spark, str(tmp_path)).collect()
+    sequences_are_right(rows, 1024)
+    want = []
+    for r in awkward.collect():
+        ids = wanted(library, [r.text])[0] + [2]
+        bounds = [0, *range((len(ids) - 1) % 1024 + 1, len(ids), 1024), len(ids)]
+        want += [(r.doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=str) == sorted(want, key=str)
+
+
 def sequences_are_right(rows, size):
     ends = {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
