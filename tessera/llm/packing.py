@@ -2,9 +2,10 @@
 
 Pieces of one length are alike, so the search works on the histogram of lengths, at most ``size`` rows whatever the
 corpus. Best-fit decreasing gives the first incumbent. Bin completion then takes the longest piece that is left,
-enumerates the undominated fillings of the room beside it, applies a filling as often as the counts allow, and goes on
-with the rest; a branch ends when its waste already rules out fewer sequences than the incumbent's. The search stops
-at the lower bound of the total length, or after ``most_nodes`` nodes with the best packing so far.
+enumerates the undominated fillings of the room beside it, least waste first, applies one as often as the counts allow (or half as
+often, and so on down to once), completes the rest by best fit, and if that is not good enough goes on with the rest; a branch ends
+when its waste rules out the number of sequences asked for. The search stops at the lower bound, or after ``most_steps`` steps, its
+only bound, with the best packing so far; ``Packing.proved`` says whether fewer are ruled out.
 
 Pieces get their places without a global sort: a piece's rank among those of its length comes from its rank in a small
 salted group plus the prefix sum of the groups before; runs of ranks map to sequences and offsets.
@@ -15,10 +16,12 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import logging
 import math
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import small_batches, written
 from tessera.llm.word_encoder import word_encoder
 
+log = logging.getLogger(__name__)
 SIZE = 1024
 #: A packing: (times used, lengths in order) for each filling.
 Plan = list[tuple[int, tuple[int, ...]]]
@@ -58,95 +62,179 @@ def best_fit(counts: dict[int, int], size: int = SIZE) -> Plan:
     return [b for bins in open_bins.values() for b in bins]
 
 
-def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the pieces of ``b`` can be shared out into rooms of the lengths in ``a``."""
-    rooms = sorted(a)
-    for piece in sorted(b, reverse=True):
-        at = next((i for i, r in enumerate(rooms) if r >= piece), None)
-        if at is None:
-            return False
-        rooms[at] -= piece
-        rooms.sort()
-    return True
-
-
-def fillings(room: int, counts: dict[int, int], lengths: list[int], most: int = 6, tries: int = 400) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room, least waste first. ``lengths`` ascends and holds those with a count."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def grow(room: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps
-        steps += 1
-        have = Counter(chosen)
-        if room and counts.get(room, 0) > have[room] and (not chosen or room <= chosen[-1]):
-            found.append((0, (*chosen, room)))  # one piece that fills the room dominates every other filling of it
-            return
-        top = bisect_left(lengths, min(room, chosen[-1] if chosen else room) + 1) - 1
-        branches = 0
-        for i in range(top, -1, -1):
-            n = lengths[i]
-            if counts[n] > have[n]:
-                grow(room - n, (*chosen, n))
-                branches += 1
-                if branches >= (4 if not chosen else 2) or steps > tries or sum(w == 0 for w, _ in found) >= most:
-                    return
-        if not branches:
-            found.append((room, chosen))
-
-    grow(room, ())
-    out: list[tuple[int, ...]] = []
-    for _, filling in sorted(found, key=lambda f: (f[0], len(f[1]))):
-        if len(out) < most and not any(_dominates(o, filling) for o in out):
-            out.append(filling)
-    return out
-
-
-def bin_completion(counts: dict[int, int], size: int = SIZE, most_nodes: int = 20_000) -> Plan:
-    """As few sequences as the search finds; best-fit decreasing is the first incumbent."""
-    counts = {n: c for n, c in counts.items() if c > 0}
-    total = sum(n * c for n, c in counts.items())
-    least = -(-total // size)
-    best = best_fit(counts, size)
-    if not counts or sum(t for t, _ in best) == least:
-        return best
-    best_bins = sum(t for t, _ in best)
-
-    def choices(counts: dict[int, int]) -> tuple[int, Iterator[tuple[int, ...]]]:
-        lengths = sorted(counts)
-        longest = lengths[-1]
-        counts[longest] -= 1
-        out = fillings(size - longest, counts, [n for n in lengths if counts[n]])
-        counts[longest] += 1
-        return longest, iter(out)
+def lower_bound(counts: dict[int, int], size: int = SIZE, most_parts: int = 12) -> int:
+    """No packing has fewer sequences. For every threshold pieces that leave less room than it count as whole sequences and those below it
+    as none; lengths are then rounded to parts of a sequence such that no sequence holds more than one (dual feasible functions)."""
+    if not counts:
+        return 0
+    n, c = (np.array(x, np.int64) for x in zip(*counts.items()))
+    best = -(-int((n * c).sum()) // size)
+    for least in range(size // 2 + 1):
+        v = np.where(n > size - least, size, np.where(n < least, 0, n))
+        best = max(best, -(-int((v * c).sum()) // size))
+        for k in range(1, most_parts + 1):
+            parts = (k + 1) * v // size
+            worth = np.where((k + 1) * v % size == 0, k * v, parts * size)  # in k * size-ths
+            best = max(best, -(-int((worth * c).sum()) // (k * size)))
+    return best
 
+
+def _undominated(filling: list[int], room: int, spare: int) -> bool:
+    """Whether no unused piece can take the place of pieces that it covers. ``spare``: a bit for each length with unused pieces."""
+    def within(bits: int, width: int) -> int:
+        """Bit s: there is a set bit in s .. s + width."""
+        done = 0
+        while done < width:
+            step = min(done + 1, width - done)
+            bits |= bits >> step
+            done += step
+        return bits
+
+    slack = room - sum(filling)
+    near = within(spare, slack)
+    if near & 1:
+        return False  # one more piece fits
+    one, several = 0, 0  # the sums of one piece, and of two or more
+    for n in filling:
+        several |= (several | one) << n
+        one |= 1 << n
+    longer = within(spare >> 1, slack - 1) if slack else 0  # for a single piece only a longer one counts
+    return not (several & near or one & longer)
+
+
+def _sums(lengths: list[int], counts: dict[int, int], room: int) -> Iterator[int]:
+    """For the first 0, 1, 2 ... of the lengths a number whose bit s says whether some of their pieces add up to s."""
+    reach, within = 1, (1 << (room + 1)) - 1
+    yield reach
+    for n in lengths:
+        left, step = min(counts[n], room // n), 1
+        while left:
+            k = min(step, left)
+            reach |= (reach << (n * k)) & within
+            left, step = left - k, 2 * step
+        yield reach
+
+
+def _hopeless(counts: dict[int, int], size: int, slack: int) -> bool:
+    """Whether some piece has no filling beside it that wastes at most ``slack``."""
+    if slack >= min(counts):
+        return False
+    *_, reach = _sums(sorted(counts), counts, size)
+    return any(not reach >> max(0, size - n - slack) & ((1 << (min(slack, size - n) + 1)) - 1) for n in counts)
+
+
+def fillings(room: int, counts: dict[int, int], most_waste: int) -> Iterator[tuple[int, ...]]:
+    """Every undominated filling of a room from the pieces in ``counts`` that wastes at most ``most_waste``, least waste first."""
+    lengths = sorted(n for n in counts if counts[n] > 0 and n <= room)
+    sums = list(_sums(lengths, counts, room))
+    for waste in range(min(most_waste, room) + 1):
+        if not sums[-1] >> (room - waste) & 1:
+            continue
+        stack = [(len(lengths), room - waste, ())]  # lengths still to choose from, the sum they have to make, (length, times) chosen
+        while stack:
+            i, need, chosen = stack.pop()
+            if need == 0:
+                used = dict(chosen)
+                spare = sum(1 << n for n in lengths if counts[n] > used.get(n, 0))
+                flat = [n for n, k in chosen for _ in range(k)]
+                if _undominated(flat, room, spare):
+                    yield tuple(flat)
+                continue
+            n = lengths[i - 1]
+            for k in range(min(counts[n], need // n) + 1):  # the most is tried first
+                if sums[i - 1] >> (need - k * n) & 1:
+                    stack.append((i - 1, need - k * n, (*chosen, (n, k)) if k else chosen))
+
+
+@dataclass(frozen=True)
+class Packing:
+    plan: Plan
+    bins: int
+    least: int  #: no packing has fewer, as far as was shown
+
+    @property
+    def proved(self) -> bool:
+        return self.bins == self.least
+
+
+def _state(counts: dict[int, int]) -> bytes:
+    flat = np.array(sorted((n, c) for n, c in counts.items() if c), np.int64)
+    return hashlib.blake2b(flat.tobytes(), digest_size=16).digest()
+
+
+def _search(counts: dict[int, int], size: int, most_bins: int, nodes: int) -> tuple[Plan | None, int]:
+    """A packing of at most ``most_bins``, or None, and the nodes that are left; the search was complete if there are some."""
+    seen: set[bytes] = set()
     path: Plan = []
-    stack = [(counts, 0, *choices(dict(counts)))]  # what is left, waste so far, the longest, its fillings
-    nodes = 0
-    while stack and nodes < most_nodes and best_bins > least:
-        left, waste, longest, options = stack[-1]
-        filling = next(options, None)
-        if filling is None:
+
+    def branches(left: dict[int, int], slack: int) -> Iterator[tuple[int, tuple[int, ...], int]]:
+        """(times, filling with the longest, waste of one): each filling as often as it goes, half as often, and so on down to once."""
+        longest = max(left)
+        rest = {**left, longest: left[longest] - 1}
+        for filling in fillings(size - longest, rest, slack):
+            whole = (longest, *filling)
+            waste, times = size - sum(whole), min(left[n] // k for n, k in Counter(whole).items())
+            times = min(times, slack // waste) if waste else times
+            while times:
+                yield times, whole, waste
+                times //= 2
+
+    def visit(left: dict[int, int], slack: int, used: int) -> tuple[Plan | None, Iterator]:
+        """The whole packing if best fit completes it; else the branches of a state that was not visited."""
+        ended = best_fit(left, size)
+        if used + sum(t for t, _ in ended) <= most_bins:
+            return [*path, *ended], iter(())
+        key = _state(left)  # what is left tells what was packed, so equal states differ in nothing but their waste, and less comes first
+        if (key, slack) in seen or _hopeless(left, size, slack):
+            return None, iter(())
+        seen.add((key, slack))
+        return None, branches(left, slack)
+
+    slack = most_bins * size - sum(n * c for n, c in counts.items())
+    if slack < 0:
+        return None, nodes
+    done, options = visit(counts, slack, 0)
+    stack = [(counts, slack, 0, options)]
+    while done is None and stack and nodes > 0:
+        left, slack, used, options = stack[-1]
+        choice = next(options, None)
+        if choice is None:
             stack.pop()
             if path:
                 path.pop()
             continue
-        nodes += 1
-        need = Counter((longest, *filling))
-        times = min(left[n] // k for n, k in need.items())
-        more = waste + times * (size - longest - sum(filling))
-        if more > (best_bins - 1) * size - total:
-            continue  # even without further waste no fewer sequences than the incumbent's
+        nodes -= 1
+        times, whole, waste = choice
+        need = Counter(whole)
         rest = {n: c for n in left if (c := left[n] - times * need.get(n, 0))}
-        path.append((times, (longest, *filling)))
-        if rest:
-            stack.append((rest, more, *choices(rest)))
-            continue
-        bins = sum(t for t, _ in path)
-        if bins < best_bins:
-            best, best_bins = list(path), bins
-        path.pop()
-    return best
+        path.append((times, whole))
+        done, options = visit(rest, slack - times * waste, used + times)
+        stack.append((rest, slack - times * waste, used + times, options))
+    return done, nodes
+
+
+def bin_completion(counts: dict[int, int], size: int = SIZE, most_steps: int = 600_000) -> Packing:
+    """As few sequences as the search finds in ``most_steps``, its only bound, and how few there must be at least.
+
+    A node takes as many steps as there are different lengths. Best-fit decreasing is the first incumbent. A number of sequences between the lower bound and the incumbent is asked for: first the
+    lower bound itself, then halfway. A complete search without result raises the bound, a result becomes the incumbent.
+    """
+    counts = {n: c for n, c in counts.items() if c > 0}
+    plan = best_fit(counts, size)
+    bins, least = sum(t for t, _ in plan), lower_bound(counts, size)
+    tried = least  # fewer than these are ruled out, or were given up
+    nodes = max(2, most_steps // max(1, len(counts)))
+    ask, share = least, nodes // 2
+    while tried < bins:
+        found, left = _search(counts, size, ask, share)
+        if found is not None:
+            plan, bins = found, sum(t for t, _ in found)
+        else:
+            if left > 0:
+                least = max(least, ask + 1)
+            tried = ask + 1
+        ask, share = tried + (bins - 1 - tried) // 2, max(1, nodes // 2 // max(1, (bins - tried).bit_length()))
+    return Packing(plan, bins, least)
 
 
 # ---------------------------------------------------------------- pieces and places
@@ -176,11 +264,14 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str | None, end_id: int, *,
 
 
 def pack(cut: DataFrame, size: int = SIZE, **search) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces with ``doc_id, piece, length``. The table is read several times: give a written one."""
+    """Adds ``sequence_id`` and ``offset`` to pieces with ``doc_id, piece, length``. The table is read several times: give a written one.
+
+    Whether the number of sequences is proved to be the least is logged."""
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``size`` rows
-    plan = bin_completion(counts, size, **search)
+    packing = bin_completion(counts, size, **search)
+    log.info("%d sequences, at least %d needed", packing.bins, packing.least)
     runs, ranked, base = [], Counter(), 0
-    for times, lengths in plan:
+    for times, lengths in packing.plan:
         at = 0
         for n, k in sorted(Counter(lengths).items(), reverse=True):
             runs.append((n, ranked[n], k, base, at))

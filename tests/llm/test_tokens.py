@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -177,20 +178,56 @@ def least_bins(lengths, size):
     return best
 
 
-def test_bin_completion():
+def packed(counts, size, **search):
+    got = packing.bin_completion(counts, size, **search)
+    used = {}
+    for times, filling in got.plan:
+        assert sum(filling) <= size
+        for n in filling:
+            used[n] = used.get(n, 0) + times
+    assert used == {n: c for n, c in counts.items() if c} and got.bins == sum(t for t, _ in got.plan)
+    return got
+
+
+def test_bin_completion_finds_the_least():
     rng = random.Random(7)
-    over = 0
-    for _ in range(150):
-        lengths = sorted((rng.randrange(1, 21) for _ in range(rng.randrange(1, 10))), reverse=True)
-        counts = {n: lengths.count(n) for n in lengths}
-        plan = packing.bin_completion(counts, 20)
-        used = {}
-        for times, filling in plan:
-            assert sum(filling) <= 20
-            for n in filling:
-                used[n] = used.get(n, 0) + times
-        assert used == counts
-        bins, fit = sum(t for t, _ in plan), sum(t for t, _ in packing.best_fit(counts, 20))
-        assert bins <= fit
-        over += bins - least_bins(lengths, 20)
-    assert over <= 2
+    for _ in range(1000):
+        size = rng.choice([20, 50, 100])
+        lengths = sorted((rng.randrange(1, int(size * rng.choice([0.4, 0.6, 1])) + 1) for _ in range(rng.randrange(1, 11))), reverse=True)
+        got = packed({n: lengths.count(n) for n in lengths}, size)
+        assert got.bins == least_bins(lengths, size) and got.proved
+
+
+@pytest.mark.parametrize("triplets", [10, 20])
+def test_triplets_without_waste(triplets):
+    for seed in range(4):
+        rng, counts = random.Random(seed), {}
+        for _ in range(triplets):
+            a = rng.randrange(380, 500)
+            b = rng.randrange(250, min(380, 1024 - a - 250))
+            for n in (a, b, 1024 - a - b):
+                counts[n] = counts.get(n, 0) + 1
+        assert packed(counts, 1024).bins == triplets < sum(t for t, _ in packing.best_fit(counts, 1024))
+
+
+def test_search_that_is_cut_short():
+    rng = random.Random(5)
+    counts = {rng.randrange(250, 500): rng.randrange(1, 9) for _ in range(60)}
+    got = packed(counts, 1024, most_steps=1)
+    assert got.bins <= sum(t for t, _ in packing.best_fit(counts, 1024)) and got.least <= packed(counts, 1024).bins
+    assert packing.bin_completion({}).bins == 0 and packing.bin_completion({}).proved
+
+
+def test_fillings_are_undominated():
+    """Against the definition: no other filling's pieces hold those of the one, shared out among them."""
+    rng = random.Random(2)
+
+    def holds(a, b):
+        return not b or any(holds([*a[:i], a[i] - b[0], *a[i + 1 :]], b[1:]) for i in range(len(a)) if a[i] >= b[0])
+
+    for _ in range(60):
+        room, counts = 20, {rng.randrange(1, 21): rng.randrange(1, 3) for _ in range(5)}
+        flat = sorted((n for n, c in counts.items() for _ in range(c)), reverse=True)
+        every = {tuple(c) for k in range(len(flat) + 1) for c in itertools.combinations(flat, k) if sum(c) <= room}
+        want = {f for f in every if not any(o != f and holds(sorted(o), list(f)) for o in every)}
+        assert set(packing.fillings(room, counts, room)) == want
