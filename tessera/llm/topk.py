@@ -4,16 +4,16 @@ Vectors are cut into blocks of neighbouring ``vec_id``; a block keeps the ids an
 index) and each dimension's largest and smallest value. A query's bound on a block is the sum over dimensions of the
 larger of its products with the two, which no vector of the block exceeds. Each task orders its blocks by that bound for
 every query, scores block after block, and drops a query once its next bound is below its k-th score (an equal bound
-may still hold a tie with a smaller id, so it is scored). A first pass over one block that each query starts from gives
-a floor for the k-th score, so most tasks send on little.
+may still hold a tie with a smaller id, so it is scored). The best so far go on from batch to batch of a task, so a task sends
+on at most k rows for each query. A first pass over the block that a query is in gives a floor for the k-th score.
 
 The query set is a stated part of the rows; it passes through in slabs of at most ``slab`` vectors. A slab is read, broadcast,
 answered, written and dropped before the next is read, so neither the driver nor a broadcast holds more as the table grows.
 
 Defined cases: vectors that are null, empty, or hold a null or a non-finite component take no part, nor do rows with a
-null ``vec_id``; shorter vectors count as filled up with zeros; repeated rows are candidates each, but rows with the
-query's id are its own; a query id that repeats is asked once, with the first of its vectors in order; other columns are
-ignored; an empty table gives an empty result. Components beyond 2**31 in size lead to scores that a long may not hold.
+null ``vec_id``; shorter vectors count as filled up with zeros; a query's own row is no candidate of its own, but other rows with its
+id are; repeated rows are candidates each, and ask each (``query_row`` tells them apart); other columns are ignored; an empty table
+gives an empty result. Components beyond 2**31 in size lead to scores that a long may not hold.
 """
 
 from __future__ import annotations
@@ -22,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import new_path, small_batches, written
 
 K, BLOCK, SLAB = 20, 256, 8192
-_BLOCKS = "n int, ids binary, body binary, high binary, low binary"
+_BLOCKS = "n int, ids binary, rows binary, asks binary, body binary, high binary, low binary"
 
 
 def whole_numbers(vector: Column, scale: float = 64.0) -> Column:
@@ -39,19 +40,36 @@ def whole_numbers(vector: Column, scale: float = 64.0) -> Column:
 
 
 def blocks_of(vectors: DataFrame, dims: int, size: int = BLOCK) -> DataFrame:
-    """Blocks of at most ``size`` vectors with neighbouring ids, as binary columns of longs."""
+    """Blocks of at most ``size`` vectors with neighbouring ids, as binary columns of longs; ``rows`` numbers every vector. To be written."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = TaskContext.get().partitionId() << 40
         for pdf in batches:
             for at in range(0, len(pdf), size):
                 part = pdf.iloc[at : at + size]
                 body = np.zeros((len(part), dims), np.int64)
-                for row, v in zip(body, part["vector"]):
-                    row[: len(v)] = v
-                yield pd.DataFrame([[len(part), part["vec_id"].to_numpy(np.int64).tobytes(), body.tobytes(), body.max(0).tobytes(), body.min(0).tobytes()]], columns=["n", "ids", "body", "high", "low"])
+                for values, v in zip(body, part["vector"]):
+                    values[: len(v)] = v
+                held = [part["vec_id"].to_numpy(np.int64), np.arange(row, row + len(part)), part["asks"].to_numpy(np.int64), body, body.max(0), body.min(0)]
+                row += len(part)
+                yield pd.DataFrame([[len(part), *(h.tobytes() for h in held)]], columns=["n", "ids", "rows", "asks", "body", "high", "low"])
 
-    small_batches(vectors.sparkSession, 16 * size)
-    return vectors.repartitionByRange("vec_id").sortWithinPartitions("vec_id", "vector").mapInPandas(build, _BLOCKS)
+    small_batches(vectors.sparkSession)
+    told = vectors.withColumn("tie", F.xxhash64("vector"))  # rows of one id may be many
+    return told.repartitionByRange("vec_id", "tie").sortWithinPartitions("vec_id", "tie").select(*vectors.columns).mapInPandas(build, _BLOCKS)
+
+
+def queries_of(blocks: DataFrame, dims: int) -> DataFrame:
+    """``n, ids, rows, body`` of the vectors that ask, block by block."""
+
+    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for b in pdf.itertuples():
+                asks = _longs(b.asks) > 0
+                if asks.any():
+                    yield pd.DataFrame([[int(asks.sum()), *(x[asks].tobytes() for x in (_longs(b.ids), _longs(b.rows), _longs(b.body, dims)))]], columns=["n", "ids", "rows", "body"])
+
+    return blocks.mapInPandas(asking, "n int, ids binary, rows binary, body binary")
 
 
 def _longs(raw: bytes, dims: int | None = None) -> np.ndarray:
@@ -73,9 +91,9 @@ class _Best:
         self.tie = np.full(queries, np.iinfo(np.int64).max)
         self.q, self.score, self.id = (np.empty(0, np.int64) for _ in range(3))
 
-    def add(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
-        """``scores``: a row for each query number in ``q``, a column for each vector."""
-        new = ((scores > self.floor[q, None]) | ((scores == self.floor[q, None]) & (ids < self.tie[q, None]))) & (ids != own[q, None])
+    def add(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray, other: np.ndarray) -> None:
+        """``scores``: a row for each query number in ``q``, a column for each vector; ``other``: those that are not the query's own row."""
+        new = ((scores > self.floor[q, None]) | ((scores == self.floor[q, None]) & (ids < self.tie[q, None]))) & other
         row, col = np.nonzero(new)
         if not len(row):
             return
@@ -93,15 +111,14 @@ class _Best:
         self.q, self.score, self.id = (np.concatenate([a[~old], b[kept]]) for a, b in ((self.q, qs), (self.score, ss), (self.id, ii)))
 
 
-def _search(blocks: list, ids: np.ndarray, body: np.ndarray, floor: np.ndarray, k: int, dims: int) -> _Best:
-    """Block at a time, for all queries of a slab against the blocks of one task."""
-    best = _Best(len(ids), k, floor)
+def _search(best: _Best, blocks: list, rows: np.ndarray, body: np.ndarray, dims: int) -> None:
+    """Block at a time, for all queries of a slab against some blocks; what the queries have found so far is in ``best``."""
     up, down = np.maximum(body, 0), np.minimum(body, 0)
     high = np.concatenate([_longs(b.high, dims) for b in blocks])
     low = np.concatenate([_longs(b.low, dims) for b in blocks])
     bounds = _product(up, high.T) + _product(down, low.T)
     order = np.argsort(-bounds, axis=1, kind="stable")
-    alive = np.arange(len(ids))
+    alive = np.arange(len(rows))
     for turn in range(len(blocks)):
         at = order[alive, turn]
         open_ = bounds[alive, at] >= best.floor[alive]
@@ -109,66 +126,65 @@ def _search(blocks: list, ids: np.ndarray, body: np.ndarray, floor: np.ndarray,
         if not len(alive):
             break
         for n in np.unique(at):
-            q = alive[at == n]
-            best.add(q, _product(body[q], _longs(blocks[n].body, dims).T), _longs(blocks[n].ids), ids)
-    return best
+            q, block = alive[at == n], blocks[n]
+            best.add(q, _product(body[q], _longs(block.body, dims).T), _longs(block.ids), _longs(block.rows) != rows[q, None])
 
 
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = K, block: int = BLOCK, slab: int = SLAB) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of each query's ``k`` best among all other rows.
+    """``query_id, rank, vec_id, score, query_row`` of each query's ``k`` best among all other rows.
 
     ``vectors`` has ``vec_id`` and ``vector`` (an array of longs, null for rows that take no part).
     """
     spark = vectors.sparkSession
-    rows = vectors.filter("vec_id is not null and vector is not null").select("vec_id", "vector")
+    rows = vectors.filter("vec_id is not null and vector is not null").select("vec_id", "vector", F.coalesce(is_query, F.lit(False)).cast("bigint").alias("asks"))
     dims = rows.agg(F.max(F.size("vector"))).first()[0]
-    schema = "query_id bigint, vec_id bigint, score bigint"
+    schema = "query_id bigint, query_row bigint, vec_id bigint, score bigint"
+    columns = ("query_id", "rank", "vec_id", "score", "query_row")
     if dims is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint, query_row bigint")
     index = written(blocks_of(rows, dims, block), "blocks")
-    first = Window.partitionBy("vec_id").orderBy("vector")
-    asked = rows.filter(is_query).withColumn("__n", F.row_number().over(first)).filter("__n = 1")
-    slabs = written(blocks_of(asked.select("vec_id", "vector"), dims, block), "queries")
+    slabs = written(queries_of(index, dims), "queries")
     lowest = np.iinfo(np.int64).min
-
     path = new_path(spark, "scores")
 
     def run(held: list) -> None:
-        ids, body = np.concatenate([_longs(q["ids"]) for q in held]), np.concatenate([_longs(q["body"], dims) for q in held])
-        sent = spark.sparkContext.broadcast((ids, body))
+        numbers, body = np.concatenate([_longs(q["rows"]) for q in held]), np.concatenate([_longs(q["body"], dims) for q in held])
+        ids = np.concatenate([_longs(q["ids"]) for q in held])
+        sent = spark.sparkContext.broadcast((ids, numbers, body))
 
         def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """The k best of the queries whose own block this is: their k-th is a floor."""
-            ids, body = sent.value
+            """The k best of the queries that are in a block themselves: their k-th is a floor."""
+            ids, numbers, body = sent.value
             for pdf in batches:
                 for b in pdf.itertuples():
-                    own = _longs(b.ids)
-                    mine = np.nonzero((ids >= own[0]) & (ids <= own[-1]))[0]
+                    mine = np.nonzero(np.isin(numbers, _longs(b.rows)))[0]
                     if len(mine):
-                        best = _search([b], ids[mine], body[mine], np.full(len(mine), lowest), k, dims)
-                        done = best.floor[best.floor > lowest]
-                        yield pd.DataFrame({"query_id": ids[mine][best.floor > lowest], "floor": done})
+                        best = _Best(len(mine), k, np.full(len(mine), lowest))
+                        _search(best, [b], numbers[mine], body[mine], dims)
+                        full = best.floor > lowest
+                        yield pd.DataFrame({"query_row": numbers[mine][full], "floor": best.floor[full]})
 
-        seeded = index.mapInPandas(seeds, "query_id bigint, floor bigint").groupBy("query_id").agg(F.max("floor")).collect()
-        at = {r[0]: r[1] for r in seeded}  # a number for each query of the slab at most
-        floor = spark.sparkContext.broadcast(np.array([at.get(int(i), lowest) for i in ids], np.int64))
+        at = dict(map(tuple, index.mapInPandas(seeds, "query_row bigint, floor bigint").collect()))  # a number for each query of the slab at most
+        floor = spark.sparkContext.broadcast(np.array([at.get(int(i), lowest) for i in numbers], np.int64))
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, body = sent.value
+            ids, numbers, body = sent.value
+            # a score equal to the floor may win by its id, so the floor goes in one lower
+            best = _Best(len(numbers), k, floor.value - (floor.value > lowest))
             for pdf in batches:
-                if len(pdf):
-                    # a score equal to the floor may win by its id, so the floor goes in one lower
-                    start = floor.value - (floor.value > lowest)
-                    best = _search(list(pdf.itertuples()), ids, body, start, k, dims)
-                    yield pd.DataFrame({"query_id": ids[best.q], "vec_id": best.id, "score": best.score})
+                blocks = list(pdf.itertuples())
+                for first in range(0, len(blocks), 64):
+                    _search(best, blocks[first : first + 64], numbers, body, dims)
+            for first in range(0, len(best.q), 10_000):
+                some = slice(first, first + 10_000)
+                yield pd.DataFrame({"query_id": ids[best.q[some]], "query_row": numbers[best.q[some]], "vec_id": best.id[some], "score": best.score[some]})
 
         index.mapInPandas(search, schema).write.mode("append").parquet(path)
         sent.destroy()
         floor.destroy()
 
     held, n, asked_any = [], 0, False
-    small_batches(spark, 64)
-    for q in slabs.select("n", "ids", "body").toLocalIterator():
+    for q in slabs.toLocalIterator():
         if n and n + q["n"] > slab:
             run(held)
             held, n = [], 0
@@ -176,28 +192,28 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = K, block: int = BLOC
         n += q["n"]
         asked_any = True
     if not asked_any:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint, query_row bigint")
     run(held)
     found = spark.read.schema(schema).parquet(path)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(*columns)
 
 
 def op9_exact_top_k(spark, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     vectors = table.select(F.col("vec_id").cast("bigint").alias("vec_id"), whole_numbers(F.col("embedding")).alias("vector"))
-    return top_k(vectors, F.col("vec_id") % 20 == 0)
+    return top_k(vectors, F.col("vec_id") % 20 == 0).drop("query_row")
 
 
 OP9_SQL = """
-with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(64.0 * x::double)) as e from embeddings
+with v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64.0 * x::double)) as e from embeddings
   where vec_id is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
-  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
+  select q.r, q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id % 20 = 0 and c.r <> q.r)
 select query_id, rank::integer as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s)
 where rank <= 20
 """

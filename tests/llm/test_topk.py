@@ -50,3 +50,21 @@ def test_the_driver_holds_one_slab(spark, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: seen.append(len(read)) or send(self, value))
     assert topk.top_k(frame, F.col("vec_id") % 20 == 0, k=2, block=4, slab=8).count() == 128
     assert seen[0] <= 3 < len(read)  # two blocks fill a slab; a third shows that it is full
+
+
+def test_repeated_ids_and_many_slabs(spark, monkeypatch):
+    """Rows of one id ask each and are candidates of each other; tasks send on at most k rows for each query of each slab."""
+    rng = random.Random(4)
+    vectors = [(i % 240, [float(rng.randrange(-9, 10)) for _ in range(4)]) for i in range(480)]
+    frame = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").select("vec_id", topk.whole_numbers(F.col("embedding")).alias("vector"))
+    paths, old = [], topk.new_path
+    monkeypatch.setattr(topk, "new_path", lambda s, name: paths.append(old(s, name)) or paths[-1])
+    rows = topk.top_k(frame, F.col("vec_id") % 20 == 0, k=7, block=16, slab=3).collect()
+    want = []
+    for n, (q, v) in enumerate(vectors):
+        if q % 20 == 0:
+            scores = sorted((-sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(v, w)), i) for m, (i, w) in enumerate(vectors) if m != n)
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:7])]
+    assert sorted(tuple(r)[:4] for r in rows) == sorted(want) and len({r.query_row for r in rows}) == 24
+    sent = spark.read.parquet(paths[-1])
+    assert sent.count() <= 4 * 24 * 7 * 2
