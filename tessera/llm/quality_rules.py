@@ -85,10 +85,13 @@ def learn_rules(rows: DataFrame, *, most_rules: int = 12, most_conditions: int =
                             found = (gain, Condition(name, j, float(point), above))
         return found[1]
 
+    def uncovered(by: list[Rule]) -> DataFrame:
+        return binned.filter(~reduce(lambda a, b: a | b, map(fits, by))) if by else binned
+
     rules: list[Rule] = []
     tried: list[Rule] = []
     while len(rules) < most_rules and len(tried) - len(rules) < most_failures:
-        left = binned.filter(~reduce(lambda a, b: a | b, map(fits, tried))) if tried else binned
+        left = uncovered(tried)
         rule: Rule = ()
         while len(rule) < most_conditions and (c := best_condition(left, rule)):
             rule += (c,)
@@ -96,7 +99,7 @@ def learn_rules(rows: DataFrame, *, most_rules: int = 12, most_conditions: int =
             break
         prefixes = [rule[:k] for k in range(1, len(rule) + 1)]
         pruning = ~F.col("grow")
-        seen = left.agg(*[F.count_if(fits(r) & kind & where).alias(f"{name}{k}") for k, r in enumerate(prefixes) for name, kind, where in (("p", F.col("bad"), pruning), ("n", ~F.col("bad"), pruning), ("all_p", F.col("bad"), F.lit(True)), ("all_n", ~F.col("bad"), F.lit(True)))]).first()
+        seen = uncovered(rules).agg(*[F.count_if(fits(r) & kind & where).alias(f"{name}{k}") for k, r in enumerate(prefixes) for name, kind, where in (("p", F.col("bad"), pruning), ("n", ~F.col("bad"), pruning), ("all_p", F.col("bad"), F.lit(True)), ("all_n", ~F.col("bad"), F.lit(True)))]).first()
         worth = [((seen[f"p{k}"] - seen[f"n{k}"]) / max(1, seen[f"p{k}"] + seen[f"n{k}"]), -k) for k in range(len(prefixes))]
         k = -max(worth)[1]
         p, n = seen[f"p{k}"], seen[f"n{k}"]
