@@ -213,7 +213,7 @@ def _search(counts: dict[int, int], size: int, most_bins: int, nodes: int) -> tu
     return done, nodes
 
 
-def bin_completion(counts: dict[int, int], size: int = SIZE, most_steps: int = 600_000) -> Packing:
+def bin_completion(counts: dict[int, int], size: int = SIZE, most_steps: int = 300_000) -> Packing:
     """As few sequences as the search finds in ``most_steps``, its only bound, and how few there must be at least.
 
     A node takes as many steps as there are different lengths. Best-fit decreasing is the first incumbent. A number of sequences between the lower bound and the incumbent is asked for: first the
