@@ -3,8 +3,8 @@
 Each class gets the mean and the covariance of the transformed statistics, drawn towards the pooled covariance
 (``toward_pooled``) and then towards a multiple of the identity (``toward_round``). A score is the posterior of label 1:
 the difference of the classes' log-densities, each a squared Mahalanobis distance solved with the class's Cholesky
-factor, which is computed once and sent with the model. Only sums are gathered for a fit: one row of moments for each
-class and place, whatever the number of labelled rows.
+factor, which is computed once and sent with the model. Only sums are gathered for a fit, first of values, then of products around
+their mean: one row of moments for each class and place, whatever the number of labelled rows.
 
 Defined cases: a null text counts as empty and gets the score of an empty text; equal rows are each scored; a null
 doc_id is scored and never learned from; labels other than 0 and 1 or without a doc_id are left out; several labels of
@@ -51,35 +51,44 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     return with_stats(docs.select("doc_id", text), text).select("doc_id", F.array(*shares(F.col("stats")).values()).alias("x"))
 
 
-def fit(rows: DataFrame, *, toward_pooled: float = 0.1, toward_round: float = 0.01) -> Discriminant:
-    """``rows``: ``x`` and ``label``. Sums are made in the tasks and added by Spark."""
+def _sums(rows: DataFrame, center: np.ndarray | None = None) -> dict[int, np.ndarray]:
+    """For each label the sums of (1, x - center), and with a center those of all its products.
+
+    Rows of a task are added in the order of their ids, and tasks' sums as decimals, so that the order of tasks does not matter.
+    """
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
             for label, group in pdf.groupby("label"):
-                x = np.column_stack([np.ones(len(group)), np.array(group["x"].tolist())])
-                sums[label] = sums.get(label, 0) + x.T @ x
+                x = np.array(group["x"].tolist())
+                x = np.column_stack([np.ones(len(x)), x if center is None else x - center])
+                sums[label] = sums.get(label, 0) + (x.sum(0, keepdims=True) if center is None else x.T @ x)
         for label, s in sums.items():
             yield pd.DataFrame({"label": label, "at": np.arange(s.size), "value": s.ravel()})
 
-    added = rows.select("label", "x").mapInPandas(moments, "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value"))
-    parts: dict[int, dict[int, float]] = {}
+    parts = rows.select("label", "x").mapInPandas(moments, "label int, at int, value double")
+    added = parts.groupBy("label", "at").agg(F.sum(F.col("value").cast("decimal(38,12)")).cast("double").alias("value"))
+    out: dict[int, dict[int, float]] = {}
     for r in added.collect():  # (d + 1) ** 2 numbers for each of two classes
-        parts.setdefault(r["label"], {})[r["at"]] = r["value"]
-    sums = {k: np.array([v[i] for i in range(len(v))]).reshape(int(len(v) ** 0.5), -1) for k, v in parts.items()}
-    n = {k: sums[k][0, 0] if k in sums else 0.0 for k in (0, 1)}
+        out.setdefault(r["label"], {})[r["at"]] = r["value"]
+    return {k: np.array([v[i] for i in range(len(v))]) for k, v in out.items()}
+
+
+def fit(rows: DataFrame, *, toward_pooled: float = 0.1, toward_round: float = 0.01) -> Discriminant:
+    """``rows``: ``doc_id``, ``x`` and ``label``. Sums are made in the tasks and added by Spark, first for the mean, then around it."""
+    rows = written(rows.select("doc_id", "x", "label"), "labelled").repartition("doc_id").sortWithinPartitions("doc_id", "label", "x")
+    first = _sums(rows)
+    n = {k: float(first[k][0]) if k in first else 0.0 for k in (0, 1)}
     if min(n.values()) < 2:
         return Discriminant(n[1] / (n[0] + n[1]) if n[0] + n[1] else 0.5)
     total = n[0] + n[1]
-    both = sums[0] + sums[1]
-    center = both[0, 1:] / total
-    scale = np.sqrt(np.maximum(np.diag(both)[1:] / total - center**2, 0)) + 1e-9
-    means = np.array([(sums[k][0, 1:] / n[k] - center) / scale for k in (0, 1)])
-    covariances = []
-    for k in (0, 1):
-        m = sums[k][0, 1:] / n[k]
-        covariances.append((sums[k][1:, 1:] / n[k] - np.outer(m, m)) / np.outer(scale, scale))
+    center = (first[0][1:] + first[1][1:]) / total
+    sums = {k: v.reshape(len(center) + 1, -1) for k, v in _sums(rows, center).items()}
+    scale = np.sqrt(np.maximum(np.diag(sums[0] + sums[1])[1:] / total, 0)) + 1e-9
+    means = np.array([sums[k][0, 1:] / n[k] for k in (0, 1)])
+    covariances = [(sums[k][1:, 1:] / n[k] - np.outer(m, m)) / np.outer(scale, scale) for k, m in enumerate(means)]
+    means = means / scale
     pooled = (n[0] * covariances[0] + n[1] * covariances[1]) / total
     factors, offsets = [], []
     for k in (0, 1):

@@ -1,6 +1,9 @@
+import math
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +44,85 @@ def test_classifier_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_scores_like_brute_force(spark):
+    """Densities of the two classes from covariances written out, without moments, factors or centring."""
+    x = {r.doc_id: np.array(r.x) for r in m.features(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect()}
+    marked = {r.doc_id: r.quality for r in labels(spark).collect() if r.quality is not None}
+    rows = [(x[d], q) for d, q in marked.items() if d in x and zlib.crc32(str(d).encode()) % 5]
+    every = np.array([v for v, _ in rows])
+    z = lambda v: (v - every.mean(0)) / every.std(0)
+    groups = [z(np.array([v for v, q in rows if q == k])) for k in (0, 1)]
+    covariances = [np.cov(g.T, bias=True) for g in groups]
+    pooled = sum(len(g) * c for g, c in zip(groups, covariances)) / len(rows)
+    logs = []
+    for g, c in zip(groups, covariances):
+        c = 0.9 * c + 0.1 * pooled
+        c = 0.99 * c + 0.01 * np.trace(c) / len(c) * np.eye(len(c))
+        precision, prior = np.linalg.inv(c), np.log(len(g) / len(rows)) - 0.5 * np.linalg.slogdet(c)[1]
+        logs.append({d: prior - 0.5 * (z(v) - g.mean(0)) @ precision @ (z(v) - g.mean(0)) for d, v in x.items()})
+    got = {r.doc_id: r.score for r in m.op2_quality_classifier(spark, FOLDER).collect()}
+    assert got.keys() == x.keys()
+    for d, s in got.items():
+        assert abs(s - 1 / (1 + math.exp(min(700, max(-700, logs[0][d] - logs[1][d]))))) < 1e-5
+
+
+def covering(rows, points, most_rules=12, most_conditions=4, least_share=0.9, least_pruned=0.75, least_support=4, most_failures=3):
+    """The decision list in plain Python over (values, bad, grow) with the same cut points: conditions as (name, cut, above)."""
+    holds = lambda rule, v: all((v[f] > cut) == above for f, cut, above in rule)
+    rules, tried = [], []
+    while len(rules) < most_rules and len(tried) - len(rules) < most_failures:
+        rule = ()
+        while len(rule) < most_conditions:
+            left = [(v, bad) for v, bad, grow in rows if grow and not any(holds(t, v) for t in tried) and holds(rule, v)]
+            p, n = sum(bad for _, bad in left), sum(not bad for _, bad in left)
+            if not p or not n:
+                break
+            best = (1e-9, None)
+            for f in points:
+                for cut in points[f]:
+                    for above in (True, False):
+                        covered = [bad for v, bad in left if (v[f] > cut) == above]
+                        q = sum(covered)
+                        if q >= least_support:
+                            gain = q * (math.log2(q / len(covered)) - math.log2(p / (p + n)))
+                            best = (gain, (f, cut, above)) if gain > best[0] else best
+            if best[1] is None:
+                break
+            rule += (best[1],)
+        if not rule:
+            break
+        reaching = [r for r in rows if not any(holds(t, r[0]) for t in rules)]
+        share = lambda rule, kept: Counter(bad for v, bad, grow in reaching if kept(grow) and holds(rule, v))
+        prefixes = [rule[: k + 1] for k in range(len(rule))]
+        pruned = [share(r, lambda grow: not grow) for r in prefixes]
+        k = max(range(len(prefixes)), key=lambda k: ((pruned[k][True] - pruned[k][False]) / max(1, pruned[k].total()), -k))
+        tried.append(prefixes[k])
+        every = share(prefixes[k], lambda grow: True)
+        if pruned[k][True] >= max(1, least_support // 2) and pruned[k][True] >= least_pruned * pruned[k].total() and every[True] >= least_share * every.total():
+            rules.append(prefixes[k])
+    return rules
+
+
+def test_covering_like_brute_force(spark):
+    stats = with_stats(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")).select("doc_id", "stats").join(usable(labels(spark)), "doc_id")
+    values = stats.select(*[v.alias(k) for k, v in q.shares(F.col("stats")).items()], (F.col("label") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0).alias("grow"))
+    names = values.columns[:-2]
+    rows = [({n: r[n] for n in names}, r.bad, r.grow) for r in values.collect()]
+
+    def quantiles(numbers):
+        numbers = sorted(numbers)
+        return {numbers[max(0, math.ceil((i + 1) / 25 * len(numbers)) - 1)] for i in range(24)} if numbers else set()
+
+    points = {n: sorted(quantiles([v[n] for v, _, _ in rows]) | quantiles([v[n] for v, bad, _ in rows if bad])) for n in names}
+    want = covering(rows, points)
+    got = [tuple((c.feature, c.cut, c.above) for c in rule) for rule in q.learn_rules(stats)]
+    assert got == want and want
+    texts = {r.doc_id: r for r in q.op3_quality_rules(spark, FOLDER).collect()}
+    shares = with_stats(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")).select("doc_id", *[v.alias(k) for k, v in q.shares(F.col("stats")).items()])
+    for r in shares.collect():
+        assert texts[r.doc_id].kept == (not texts[r.doc_id].base_failed and not any(all((r[f] > cut) == above for f, cut, above in rule) for rule in want))
+
+
 def test_classifier_takes_awkward_rows(spark, awkward):
     few = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (5, None), (1, 1)], "doc_id bigint, quality int")
     out = m.scored_documents(awkward, few).collect()
