@@ -10,8 +10,9 @@ takes. Where blocks are too narrow to help, the run is cut into chunks, and each
 ``components`` then joins links to groups by rounds of neighbourhood minima, each round written to the shared folder.
 
 For fingerprints of texts whose similarity may be as low as 0.8, r is too large for disjoint blocks of
-useful width; ``near_duplicates`` then takes 48 overlapping blocks of 16 of 256 bits. Up to 15 differing bits the
-pigeonhole still holds strictly; beyond, the share of pairs found is measured in the tests and the README.
+useful width; ``near_duplicates`` then takes overlapping blocks of 256 bits, 48 of 16 bits for small corpora and more and wider ones
+as a corpus grows (``block_plan``). Below as many differing bits as there are disjoint blocks among them the pigeonhole still holds
+strictly; beyond, the share of pairs found is measured in the tests and the README.
 
 Defined cases: a null or wordless text has fingerprint zero, and such texts link like any other; equal rows fall
 into one group; a null ``doc_id`` takes part and is the smallest only if a group has no other; an empty
@@ -20,6 +21,7 @@ table gives an empty result; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,8 @@ SEED = 42
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: So many open pairs of a task's runs are held before the rows they belong to are marked.
 OPEN_PAIRS = 1 << 20
+#: A block's value takes so many bits of its key, the block's number the rest.
+_VALUE_BITS = 48
 
 
 def simhash(text: str | None, words: int = 3, lanes: int = 1, once: bool = False) -> list[int]:
@@ -102,19 +106,23 @@ def _block_values(bits: np.ndarray, block: list[int]) -> np.ndarray:
 
 
 def _stack(column: pd.Series) -> np.ndarray:
+    """A row of unsigned longs for each fingerprint, given as lists of longs or as their bytes."""
+    if len(column) and isinstance(column.iloc[0], bytes):
+        return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
     return np.array(column.tolist(), np.int64).view(np.uint64)
 
 
 def _keys(blocks: list[list[int]]):
-    """Rows (key, fp): the path of block numbers and values that a fingerprint belongs to."""
+    """Rows (key, fp) for every block: its number and value in one long, and the fingerprint's bytes."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            bits = _bit_matrix(_stack(pdf["fp"]))
+            fps = _stack(pdf["fp"])
+            bits, raw = _bit_matrix(fps), [row.tobytes() for row in fps]
             for n, block in enumerate(blocks):
-                yield pd.DataFrame({"key": [f"{n}:{v:x}" for v in _block_values(bits, block)], "fp": pdf["fp"]})
+                yield pd.DataFrame({"key": (n << _VALUE_BITS) + _block_values(bits, block).astype(np.int64), "fp": raw})
 
     return rows
 
@@ -128,18 +136,24 @@ def _free(path: str, blocks: list[list[int]], width: int, parts: int) -> np.ndar
     return free
 
 
+def _mixed(keys: np.ndarray, j: int, values: np.ndarray) -> np.ndarray:
+    """A 64-bit hash; two runs that happen to share it are compared needlessly."""
+    x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + values * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(j + 1)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
 def _finer(blocks: list[list[int]], width: int, parts: int):
-    """Splits rows of one block path by the pigeonhole over the bits that the path leaves free."""
+    """Splits rows (path, key, fp) by the pigeonhole over the bits that a row's path of blocks leaves free."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
             bits = _bit_matrix(_stack(pdf["fp"]))
-            for path, group in pdf.groupby(pdf["key"].str.split(":").str[0], sort=False):
+            for path, group in pdf.groupby("path", sort=False):
                 for j, sub in enumerate(np.array_split(_free(path, blocks, width, parts), parts)):
-                    values = _block_values(bits[group.index], sub.tolist())
-                    yield pd.DataFrame({"key": [f"{path}/{j}{k[len(path):]},{v:x}" for k, v in zip(group["key"], values)], "fp": group["fp"]})
+                    yield pd.DataFrame({"path": f"{path}/{j}", "key": _mixed(group["key"].to_numpy(), j, _block_values(bits[group.index], sub.tolist())), "fp": group["fp"]})
 
     return rows
 
@@ -148,29 +162,30 @@ def _chunk_pairs(hot: DataFrame, run_limit: int) -> DataFrame:
     """Rows (key, fp) of runs that hold each pair of rows of a longer run: its chunks, two at a time. ``hot``: key, fp, count."""
     dealt = hot.withColumn("__c", F.ceil(3 * F.col("count") / run_limit).cast("int")).withColumn("__mine", F.expr("cast(pmod(xxhash64(fp), __c) as int)"))
     each = dealt.withColumn("__other", F.explode(F.expr("sequence(0, __c - 1)"))).filter("__other <> __mine")
-    return each.select(F.concat_ws("+", "key", F.least("__mine", "__other"), F.greatest("__mine", "__other")).alias("key"), "fp")
+    return each.select(F.xxhash64("key", F.least("__mine", "__other"), F.greatest("__mine", "__other")).alias("key"), "fp")
 
 
 def runs_of(fps: DataFrame, blocks: list[list[int]], most: int, *, lanes: int = 1, run_limit: int = 4096) -> DataFrame:
-    """Rows (key, fp): every two fingerprints that share a block and differ in at most ``most`` bits share a key.
+    """Rows (key, fp): every two fingerprints that share a block and differ in at most ``most`` bits share a key. ``fp`` is in bytes.
 
     A key of more than ``run_limit`` rows is split by finer blocks again and again, as long as these are wide enough to part more
     than they repeat (``2**bits`` of four values or more for each part); then by pairs of chunks, which part any rows. No run is
     longer than about the limit; the pairs of a run of near copies that nothing parts stay all pairs, but over many tasks.
     """
     width, parts = 64 * lanes, most + 1
-    keyed = written(fps.select("fp").distinct().mapInPandas(_keys(blocks), "key string, fp array<bigint>"), "blocks")
-    free, done = width - max(map(len, blocks)), None
+    keyed = written(fps.select("fp").distinct().mapInPandas(_keys(blocks), "key bigint, fp binary"), "blocks")
+    free, done, path = width - max(map(len, blocks)), None, F.shiftright("key", _VALUE_BITS).cast("string")
     while True:
         hot = written(keyed.groupBy("key").count().filter(F.col("count") > run_limit), "hot")
         if not hot.head(1):
-            return keyed if done is None else done.unionByName(keyed)
+            rest = keyed.select("key", "fp")
+            return rest if done is None else done.unionByName(rest)
         marked = keyed.join(hot, "key", "left")
         usual, over = marked.filter("`count` is null").select("key", "fp"), marked.filter("`count` is not null")
         done = usual if done is None else done.unionByName(usual)
         if 2 ** (free // parts) < 4 * parts:
             return done.unionByName(_chunk_pairs(over, run_limit))
-        keyed = written(over.select("key", "fp").mapInPandas(_finer(blocks, width, parts), "key string, fp array<bigint>"), "finer")
+        keyed, path = written(over.select(path.alias("path"), "key", "fp").mapInPandas(_finer(blocks, width, parts), "path string, key bigint, fp binary"), "finer"), F.col("path")
         free -= -(-free // parts)
 
 
@@ -240,18 +255,21 @@ def _run_links(keys: np.ndarray, fps: np.ndarray, most: int, sure: int, fine: np
 
 def _by_run(linked):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []  # the run that may go on
         for pdf in batches:
             if not len(pdf):
                 continue
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if held and pdf["key"].iloc[0] != held[0]["key"].iloc[0]:
+                yield linked(pd.concat(held, ignore_index=True))
+                held = []
             last = pdf["key"].iloc[-1]
             whole = int(np.searchsorted((pdf["key"] == last).to_numpy(), True))  # runs that ended for sure
             if whole:
-                yield linked(pdf.iloc[:whole])
-            held = pdf.iloc[whole:]
-        if held is not None:
-            yield linked(held)
+                yield linked(pd.concat([*held, pdf.iloc[:whole]], ignore_index=True) if held else pdf.iloc[:whole])
+                held = []
+            held.append(pdf.iloc[whole:])
+        if held:
+            yield linked(pd.concat(held, ignore_index=True))
 
     return rows
 
@@ -263,7 +281,7 @@ def _compare(most: int, sure: int):
         fps = _stack(pdf["fp"])
         a, b, open_ = _run_links(pd.factorize(pdf["key"])[0], fps, most, sure)
         left, right = [*fps[a].view(np.int64), *fps[open_].view(np.int64)], [*fps[b].view(np.int64), *[None] * int(open_.sum())]
-        return pd.DataFrame({"key": [*[None] * len(a), *pdf["key"].to_numpy()[open_]], "a": left, "b": right}, dtype=object)
+        return pd.DataFrame({"key": pd.array([*[None] * len(a), *pdf["key"].to_numpy()[open_].tolist()], "Int64"), "a": pd.Series(left, dtype=object), "b": pd.Series(right, dtype=object)})
 
     return _by_run(linked)
 
@@ -286,7 +304,7 @@ def link_fingerprints(fps: DataFrame, blocks: list[list[int]], most: int, *, lan
     """
     sure = most if sure is None else sure
     runs = lambda rows: rows.repartition("key").sortWithinPartitions("key")
-    found = runs(runs_of(fps, blocks, most, lanes=lanes, run_limit=run_limit)).mapInPandas(_compare(most, sure), "key string, a array<bigint>, b array<bigint>")
+    found = runs(runs_of(fps, blocks, most, lanes=lanes, run_limit=run_limit)).mapInPandas(_compare(most, sure), "key bigint, a array<bigint>, b array<bigint>")
     if sure >= most:
         return found.select("a", "b")
     found = written(found, "pairs")
@@ -323,15 +341,19 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": [list(r) for r in roots] if lists else roots, "b": [list(n) for n in part] if lists else part})
 
 
+def stars(links: DataFrame) -> DataFrame:
+    """Fewer links ``(a, b)`` that join the same nodes: those of each part by themselves become stars."""
+    made = written(links.select("a", "b"), "links").mapInPandas(_stars, links.select("a", "b").schema)  # a part's links at a time
+    return made.distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node that has a link: the smallest node that links reach.
 
-    Each part of the links first becomes stars by itself. Rounds of the large-star and small-star steps join them: each
-    node passes its smallest neighbour on to the others, so chains shorten by half or more a round; edges stay as many as
-    the links at most.
+    Rounds of the large-star and small-star steps join the links: each node passes its smallest neighbour on to the others, so chains
+    shorten by half or more a round; edges stay as many as the links at most.
     """
-    stars = written(links.select("a", "b"), "links").mapInPandas(_stars, links.select("a", "b").schema)  # a part's links at a time
-    edges = written(stars.distinct(), "links")
+    edges = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     sign = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = sign(edges)
     while before[0]:
@@ -351,11 +373,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def group_fingerprints(fps: DataFrame, links: DataFrame) -> DataFrame:
-    """``fp, component_id`` for each distinct fingerprint: the smallest doc_id of all documents that links and equal fingerprints reach."""
-    ids = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    number = written(components(links.select(F.col("a"), F.col("b"))), "groups")
-    placed = ids.join(number, ids.fp == number.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    """``fp, component_id`` for each distinct fingerprint: the smallest doc_id of all documents that links and equal fingerprints reach.
+
+    Nodes are named by their smallest doc_id (nulls last) and fingerprint, so a component's smallest node gives its id.
+    """
+    ids = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("least"))
+    names = written(ids.select("fp", F.struct("least.none", "least.id", "fp").alias("name")), "names")
+    of = lambda end, to: names.select(F.col("fp").alias(end), F.col("name").alias(to))
+    edges = stars(links.select("a", "b")).join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    number = components(edges)
+    return names.join(number, names.name == number.node, "left").select("fp", F.coalesce("root", "name")["id"].alias("component_id"))
 
 
 def group_documents(fps: DataFrame, links: DataFrame) -> DataFrame:
@@ -364,20 +391,30 @@ def group_documents(fps: DataFrame, links: DataFrame) -> DataFrame:
     return fps.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
 
-def _fingerprints_and_links(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, lanes: int = 4, fine_lanes: int = 32, width: int = 16, blocks: int = 48, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def block_plan(distinct: int, share: float, *, least_width: int = 16, most_alike: int = 256, found: float = 0.979) -> tuple[int, int]:
+    """Width and number of blocks: chance puts at most ``most_alike`` of the fingerprints into a run, and a pair that differs in ``share`` of
+    the bits agrees on a block with probability ``found``. 48 blocks of 16 bits up to 16 million fingerprints, 131 of 22 for 10**9."""
+    width = max(least_width, math.ceil(math.log2(max(1, distinct) / most_alike)))
+    return width, math.ceil(math.log(1 - found) / math.log(1 - (1 - share) ** width))
+
+
+def _fingerprints_and_links(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, lanes: int = 4, fine_lanes: int = 32, blocks: tuple[int, int] | None = None, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The fingerprints, and their links, of texts whose sets of ``words``-word shingles are ``similarity`` alike or more (Jaccard).
 
     Of two sets with Jaccard similarity J the cosine is about 2J / (1 + J), and their SimHashes differ in about arccos
     of that / pi of the bits. The first ``lanes`` words of a fingerprint of ``fine_lanes`` find pairs: two standard deviations below that
-    share a pair is linked, up to two above it is looked at again with all bits, whose deviation is a third or less.
+    share a pair is linked, up to two above it is looked at again with all bits, whose deviation is a third or less; half of that
+    is allowed above the share, so that pairs just at the similarity are rather linked than not.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = 64 * lanes
-    spread = 2 * float(np.sqrt(share * (1 - share) * bits))
+    bits, fine_bits = 64 * lanes, 64 * fine_lanes
+    deviation = lambda n: float(np.sqrt(share * (1 - share) * n))
+    spread = 2 * deviation(bits)
     fine = written(fingerprints(docs, words=words, lanes=fine_lanes, once=True, doc_id=doc_id, text=text), "fingerprints")
     fps = fine.select("doc_id", F.slice("fp", 1, lanes).alias("fp"))
     whole = fine.groupBy(F.slice("fp", 1, lanes).alias("short")).agg(F.min("fp").alias("fine")).withColumnRenamed("short", "fp")
-    links = link_fingerprints(fps, overlapping_blocks(bits, width, blocks), int(share * bits + spread), lanes=lanes, sure=int(share * bits - spread), fine=whole, fine_most=int(share * 64 * fine_lanes))
+    width, count = blocks or block_plan(fine.count(), share)
+    links = link_fingerprints(fps, overlapping_blocks(bits, width, count), int(share * bits + spread), lanes=lanes, sure=int(share * bits - spread), fine=whole, fine_most=int(share * fine_bits + 0.5 * deviation(fine_bits)))
     return fps, links
 
 
