@@ -15,9 +15,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of this machine where nothing is set."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where nothing is named, a local session makes and sets one of this machine; on a cluster that is an error, since every executor would
+    write to a disk of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
