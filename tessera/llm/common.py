@@ -2,43 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import shared_dir, written
+
+__all__ = ["SPACES", "SPACE_CLASS", "let", "new_path", "running", "shared_dir", "small_batches", "words_of", "written"]
+
 #: Characters that separate words: \x20 and \x09-\x0D, as Spark and Java regex ranges.
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is what the cluster names in ``spark.checkpoint.dir``; only where nothing is named,
-    as in local tests, a folder of this machine is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        named = Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends here, and any executor may be lost."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Few rows and bytes to an Arrow batch: texts may be megabytes long, and a batch is held whole. The same for all operators."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
@@ -54,3 +35,22 @@ def words_of(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once a row, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, combine, zero: Column) -> Column:
+    """For each of n values what ``combine`` makes of those before it. Square-root steps: some n * sqrt(n) copies, not n * n."""
+    def add(acc, v):
+        return F.struct(combine(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def scan(given: Column) -> Column:
+        values, step = given["values"], given["step"]
+        starts = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1, step)).otherwise(F.array().cast("array<int>"))
+
+        def chunk(acc, start):
+            inner = F.aggregate(F.slice(values, start + 1, step), F.struct(acc["at"].alias("at"), F.array().cast("array<bigint>").alias("out")), add)
+            return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+        begin = F.struct(zero.alias("at"), F.array().cast("array<array<bigint>>").alias("out"))
+        return F.flatten(F.aggregate(starts, begin, chunk)["out"])
+
+    return let(let(values, lambda v: F.struct(v.alias("values"), F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int")).alias("step"))), scan)

@@ -3,7 +3,8 @@
 Each rule's regular expression is turned into a Boolean query over trigrams that every match must
 contain. One pass over the texts writes postings ``(gram, row_key)`` for the grams that any rule
 asks for; the postings of a row are intersected by the rules' queries, and only rules whose query
-holds are run on a text. A rule without a mandatory trigram is run on every text.
+holds are run on a text. Of the texts only those that hold the rarest gram of some alternative (``lead_grams``)
+travel to meet the candidates; the others cannot be any. A rule without a mandatory trigram is run on every text.
 
 Defined cases: a null text counts as empty and has no spans; equal rows are each returned; a null
 ``doc_id`` is kept; other columns of the input are ignored; an empty table gives an empty result.
@@ -20,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import let, running
+
 _parser = re._parser  # the standard library's own regex syntax tree
 
 
@@ -138,16 +141,42 @@ def grams_in(query: object) -> set[str]:
     return set() if query is True else {query} if isinstance(query, str) else set().union(*map(grams_in, query[1]))
 
 
+#: Letters from common to rare, as in English and its neighbours; anything else is rarer.
+_COMMON = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def lead_grams(query: object) -> set[str]:
+    """Grams of which every match holds at least one: of each alternative the gram with the rarest letters."""
+    if query is True or isinstance(query, str):
+        return grams_in(query)
+    each = [lead_grams(part) for part in query[1]]
+    if query[0] == "or":
+        return set().union(*each)
+    rarity = lambda grams: min(sum(_COMMON.find(c) if c in _COMMON else len(_COMMON) for c in g) for g in grams)
+    return max(each, key=lambda grams: (rarity(grams), -len(grams)))
+
+
 # ---------------------------------------------------------------- index and candidates
 def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def holds_any(grams: list[str]) -> Column:
+    """Whether ``__lower`` holds any of the grams."""
+    return reduce(lambda a, b: a | b, [F.contains("__lower", F.lit(g)) for g in grams])
+
+
+def lowered(docs: DataFrame, text: str) -> DataFrame:
+    """Adds ``__lower``, made once a row however many grams are looked for."""
+    return docs.withColumn("__lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
+
+
 def postings(docs: DataFrame, grams: list[str], *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The inverted index ``(gram_no, row_key)`` for the given lower-case trigrams."""
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    found = F.array(*[F.when(F.contains(lowered, F.lit(g)), F.lit(n)) for n, g in enumerate(grams)])
-    return docs.select(row_key(doc_id, text).alias("row_key"), F.explode(F.array_compact(found)).alias("gram_no"))
+    none = F.array().cast("array<int>")
+    found = F.concat(*[F.when(F.contains("__lower", F.lit(g)), F.array(F.lit(n))).otherwise(none) for n, g in enumerate(grams)])
+    held = lowered(docs.select(doc_id, text), text).select(row_key(doc_id, text).alias("row_key"), found.alias("found"))
+    return held.filter(F.size("found") > 0).select("row_key", F.explode("found").alias("gram_no"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...], grams: list[str]) -> DataFrame:
@@ -181,36 +210,42 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)),
         lambda gap, m: F.struct(F.length(gap).cast("bigint").alias("gap"), F.coalesce(F.length(m), F.lit(0)).cast("bigint").alias("size"), F.coalesce(good(m), F.lit(False)).alias("good")),
     )
-    none = F.array().cast(_SPAN)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
 
-    def step(acc, p):
-        begin = acc["at"] + p["gap"]
-        one = F.array(F.struct(begin.alias("start"), F.lit(order).alias("ord"), (begin + p["size"]).alias("stop"), F.lit(rule.kind).alias("kind")))
-        return F.struct((begin + p["size"]).alias("at"), F.concat(acc["out"], F.when(p["good"], one).otherwise(none)).alias("out"))
+    def spans(parts: Column) -> Column:
+        before = running(F.transform(parts, lambda p: p["gap"] + p["size"]), lambda a, b: a + b, F.lit(0).cast("bigint"))
+
+        def span(p, at):
+            begin = at + p["gap"]
+            return F.when(p["good"], F.struct(begin.alias("start"), F.lit(order).alias("ord"), (begin + p["size"]).alias("stop"), F.lit(rule.kind).alias("kind")))
+
+        return F.filter(F.zip_with(parts, before, span), lambda s: s.isNotNull()).cast(_SPAN)
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, start, step)["out"]).otherwise(none)
+    return F.when(text.rlike(rule.pattern), let(parts, spans)).otherwise(F.array().cast(_SPAN))
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the columns in ``keep`` and ``secrets``: spans ``(start, ord, stop, kind)`` by start, then rule order."""
-    grams = sorted(set().union(*[grams_in(trigram_query(r.pattern)) for r in rules]))
+    queries = {r: trigram_query(r.pattern) for r in rules}
+    grams = sorted(set().union(*map(grams_in, queries.values())))
+    leads = sorted(set().union(*map(lead_grams, queries.values())))
     rows = docs.select(doc_id, text, *[c for c in keep if c not in (doc_id, text)])
-    body = F.coalesce(F.col(text), F.lit(""))
-    flags: set[str] = set()
-    if grams:
-        found = candidates(postings(docs, grams, doc_id=doc_id, text=text), rules, grams)
-        flags = set(found.columns) - {"row_key"}
-        names = [f"__{n}" for n in found.columns]
-        rows = rows.withColumn("__key", row_key(doc_id, text)).join(found.toDF(*names), F.col("__key") == F.col("__row_key"), "left")
-
-    def of(order: int, rule: Rule) -> Column:
-        spans = _spans(body, rule, order)
-        name = f"may_{rule.kind}"
-        return F.when(F.coalesce(F.col(f"__{name}"), F.lit(False)), spans).otherwise(F.array().cast(_SPAN)) if name in flags else spans
-
-    every = F.array_sort(F.concat(*[of(n, r) for n, r in enumerate(rules)]))
-    return rows.select(doc_id, *[c for c in keep if c != doc_id], every.alias("secrets"))
+    body, none = F.coalesce(F.col(text), F.lit("")), F.array().cast(_SPAN)
+
+    def scanned(rows: DataFrame, spans) -> DataFrame:
+        """``spans(order, rule)`` of all rules together."""
+        every = F.array_sort(F.concat(*[spans(n, r) for n, r in enumerate(rules)]))
+        return rows.select(doc_id, *[c for c in keep if c != doc_id], every.alias("secrets"))
+
+    if not grams:
+        return scanned(rows, lambda n, r: _spans(body, r, n))
+    found = candidates(postings(docs, grams, doc_id=doc_id, text=text), rules, grams)
+    found = found.toDF(*[f"__{n}" for n in found.columns])
+    marked = lowered(rows, text).withColumn("__holds", holds_any(leads)).drop("__lower")
+    met = marked.filter("__holds").withColumn("__key", row_key(doc_id, text)).join(found, F.col("__key") == F.col("__row_key"), "left")
+    may = lambda n, r: F.when(F.coalesce(F.col(f"__may_{r.kind}"), F.lit(False)), _spans(body, r, n)).otherwise(none)
+    some = scanned(met, lambda n, r: _spans(body, r, n) if queries[r] is True else may(n, r))
+    others = scanned(marked.filter("not __holds"), lambda n, r: _spans(body, r, n) if queries[r] is True else none)
+    return some.unionByName(others)
 
 
 def redact(text: Column, secrets: Column, mask: str = "[secret]") -> Column:

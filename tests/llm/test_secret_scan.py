@@ -55,6 +55,21 @@ def test_query_is_mandatory(rule, data):
     assert holds(s.trigram_query(rule.pattern), text)
 
 
+@pytest.mark.parametrize("rule", s.RULES, ids=lambda r: r.kind)
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_a_lead_gram_is_in_every_match(rule, data):
+    leads = s.lead_grams(s.trigram_query(rule.pattern))
+    text = data.draw(st.from_regex(re.compile(rule.pattern, re.A))).lower()
+    assert not leads or any(g in text for g in leads)
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"token=abcdef{n} ü " + "0123456789abcdef" * 2 for n in range(20_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert spans(s.scan_secrets(frame)) == [(1, plain(text))]
+
+
 def test_failing_match_still_consumes(spark):
     frame = spark.createDataFrame([(1, "token:token:abcdefgh")], "doc_id bigint, text string")
     assert spans(s.scan_secrets(frame)) == [(1, [])]
