@@ -3,8 +3,9 @@
 Records come in many layouts: a prompt and a response, an instruction with input and output, lists of messages, lists
 of from/value turns, or one row for each turn. The fingerprint of a record is a hash of its nested field paths, sorted,
 without types and values. ``LAYOUTS`` lists for each known set of paths a declarative mapping: where the turns are, and
-which field gives a turn's role and text. ``canonical_json`` reads records as JSON text, each row with the layout of its own fingerprint;
-``canonical_rows`` takes a table and finds the layout from its schema. Both give the same canonical turns.
+which field gives a turn's role and text. A layout fits a record that has its fingerprint once paths that the layout does not name are left out, so
+further fields do no harm; of several that fit, that with the most paths counts, then the first listed.
+``canonical_json`` reads records as JSON text, each row by its own fields; ``canonical_rows`` takes a table and its schema. Both give the same canonical turns.
 
 Template: a turn is ``<turn:ROLE>TEXT</turn>`` and a line end. Inside roles and texts a backslash becomes ``\\b``, and the
 ``<`` of a control string ``<turn:`` or ``</turn>`` becomes ``\\l`` (in roles every ``<`` and ``>``), so an escaped text holds
@@ -12,9 +13,9 @@ no control string and every backslash in it begins an escape: reading back is ex
 the escaped assistant texts inside the formatted string.
 
 Defined cases: a null text is empty and a null role is ``unknown``; a null turn sorts first, equal turns go by role and
-text; rows with a null conv_id form one conversation; repeated rows are turns each; further columns of a table of turns are
-ignored; a JSON record that no layout fits, or that is no JSON, keeps its row with null turns; an empty table gives an
-empty result. A formatted conversation is one row, so it has to fit a task's memory.
+text; rows with a null conv_id form one conversation; repeated rows are turns each; further columns and fields are
+ignored, whatever their names; a JSON record that no layout fits (a list without turns has no fields to fit), or that is no JSON, keeps its row with null turns; an empty table gives an
+empty result; a table with columns ``layout`` or ``turns`` of its own has them replaced. A formatted conversation is one row, so it has to fit a task's memory.
 """
 
 from __future__ import annotations
@@ -72,8 +73,14 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"))
 
 
-def layout_print(layout: Layout) -> Column:
-    return fingerprint(F.array(*map(F.lit, layout.paths)))
+def fits(paths: Column, layout: Layout) -> Column:
+    """Whether the fingerprint of those of the paths that the layout names is the layout's own."""
+    own = F.array(*map(F.lit, layout.paths))
+    return fingerprint(F.array_intersect(paths, own)) == fingerprint(own)
+
+
+def specific_first(layouts: tuple[Layout, ...]) -> list[Layout]:
+    return sorted(layouts, key=lambda x: -len(x.paths))
 
 
 def json_paths(record: Column) -> Column:
@@ -91,9 +98,9 @@ def json_paths(record: Column) -> Column:
 
 def canonical_json(records: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Adds ``layout`` (its name, null if none fits) and ``turns`` to rows that hold JSON records."""
-    usable = [x for x in layouts if x.name != "turn_rows"]
+    usable = specific_first(tuple(x for x in layouts if x.name != "turn_rows"))
     source = F.col(record)
-    printed = records.withColumn("__print", fingerprint(json_paths(source)))
+    read = records.withColumn("__paths", json_paths(source))
 
     def turns(x: Layout) -> Column:
         if x.items:
@@ -103,9 +110,9 @@ def canonical_json(records: DataFrame, record: str, layouts: tuple[Layout, ...]
         field = lambda name: F.coalesce(F.get_json_object(source, f"$.{name}"), F.lit(""))
         return F.array(*[canonical_turn(F.lit(role), F.array_join(F.filter(F.array(*map(field, names)), lambda v: v != ""), "\n\n")) for role, names in x.turns])
 
-    fits = [F.col("__print") == layout_print(x) for x in usable]
-    pick = lambda values: reduce(lambda rest, pair: F.when(pair[0], pair[1]).otherwise(rest), reversed(list(zip(fits, values))), F.lit(None))
-    return printed.withColumns({"layout": pick([F.lit(x.name) for x in usable]), "turns": pick([turns(x).cast(TURNS) for x in usable])}).drop("__print")
+    pick = lambda pairs: reduce(lambda rest, pair: F.when(pair[0], pair[1]).otherwise(rest), reversed(list(pairs)), F.lit(None))
+    named = read.withColumn("layout", pick((fits(F.col("__paths"), x), F.lit(x.name)) for x in usable).cast("string"))
+    return named.withColumn("turns", pick((F.col("layout") == x.name, turns(x).cast(TURNS)) for x in usable)).drop("__paths")
 
 
 def canonical_turn(role: Column, text: Column, names: dict[str, str] = ROLE_NAMES) -> Column:
@@ -118,15 +125,15 @@ def canonical_turn(role: Column, text: Column, names: dict[str, str] = ROLE_NAME
 def canonical_rows(table: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """``conv_id, turns`` from a table with one row for each turn, or the rows and ``turns`` of a table of records.
 
-    The layout is that whose fingerprint the table's own has; of columns that no layout names, none counts.
+    The layout is found from the table's schema, as that of a record from its fields.
     """
-    known = {p for x in layouts for p in x.paths}
-    spark = table.sparkSession
-    own = [p for p in schema_paths(table.schema) if p in known]
-    prints = spark.range(1).select(fingerprint(F.array(*map(F.lit, own)) if own else F.array().cast("array<string>")), *map(layout_print, layouts)).first()
-    layout = next((x for x, p in zip(layouts, prints[1:]) if p == prints[0]), None)
+    paths = schema_paths(table.schema)
+    own = F.array(*map(F.lit, paths)) if paths else F.array().cast("array<string>")
+    ordered = specific_first(layouts)
+    fit = table.sparkSession.range(1).select(*[fits(own, x) for x in ordered]).first()
+    layout = next((x for x, f in zip(ordered, fit) if f), None)
     if layout is None:
-        raise ValueError(f"no layout has the field paths {own}")
+        raise ValueError(f"no layout has the field paths {paths}")
     if layout.name == "turn_rows":
         turn = canonical_turn(F.col("role"), F.col("text"), names={})
         sorted_ = F.array_sort(F.collect_list(F.struct(F.col("turn"), turn["role"].alias("role"), turn["text"].alias("text"))))
@@ -190,7 +197,8 @@ def loss_text(text: Column, loss: Column) -> Column:
 
 def op8_chat_format(spark, sf_dir: str) -> DataFrame:
     hard = "\\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(hard).alias("text"))
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
     out = formatted(canonical_rows(rows)).select("conv_id", "formatted", "loss")
     turns = out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss")).alias("learned"))

@@ -28,7 +28,21 @@ def test_layouts(spark):
     assert got[0] == got[1] == ("prompt_response", [("user", "p"), ("assistant", "r")])
     assert got[2] == ("instruction_input_output", [("user", "i\n\nx"), ("assistant", "o")]) and got[3][1][0] == ("user", "i")
     assert got[4] == ("messages", [("user", "u"), ("assistant", "a")]) and got[5] == ("from_value", [("user", "h"), ("assistant", "g")])
-    assert all(got[i] == (None, None) for i in (6, 90, 91, 92))
+    assert all(got[i] == (None, None) for i in (6, 7, 90, 91, 92))
+
+
+def test_further_and_clashing_fields(spark):
+    records = [
+        {"id": 7, "source": "s", "prompt": "p", "response": "r"}, {"prompt": "p", "response": "r", "system": "s", "meta": {"a": 1}}, {"prompt": "p", "completion": "c", "response": "r"},
+        {"messages": [{"role": "user", "content": "u", "weight": 1}], "prompt": "p", "response": "r"}, {"messages": [], "prompt": "p", "response": "r"}, {"layout": "x", "question": "q", "answer": None},
+    ]
+    frame = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "i int, record string").withColumns({"layout": F.lit(1), "turns": F.lit(2)})
+    got = {r.i: (r.layout, [tuple(t) for t in r.turns]) for r in c.canonical_json(frame, "record").collect()}
+    assert got[0] == ("prompt_response", [("user", "p"), ("assistant", "r")]) and got[1][0] == "system_prompt_response"
+    assert got[2] == ("prompt_response", [("user", "p"), ("assistant", "r")]) and got[3] == ("messages", [("user", "u")])
+    assert got[4][0] == "prompt_response" and got[5] == ("question_answer", [("user", "q"), ("assistant", "")])
+    rows = spark.createDataFrame([(1, 0, "user", "q", "x", ["y"], "z")], "conv_id bigint, turn bigint, role string, text string, prompt string, messages array<string>, response string")
+    assert [tuple(t) for t in c.canonical_rows(rows).first().turns] == [("user", "q")]
 
 
 def test_typed_tables(spark):
