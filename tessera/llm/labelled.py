@@ -15,9 +15,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def usable(labels: DataFrame, label: str = "quality") -> DataFrame:
-    """``doc_id, label`` (0 or 1) of the rows to learn from; rows with a null in either are none."""
+    """``doc_id, label`` (0 or 1) of the rows to learn from, one for each document, with the least of its labels; rows with a null in either are none."""
     rows = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
-    return rows.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    return rows.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
 
 
 def sample(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:

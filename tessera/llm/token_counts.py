@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import small_batches
 from tessera.llm.pretoken import word_finder
 
-#: Words whose count a worker remembers.
-MOST_WORDS = 400_000
+#: Words whose count a worker remembers; longer ones are merged each time.
+MOST_WORDS, LONGEST = 400_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -83,7 +83,11 @@ class MergeCounter:
                 new = set(words)
             for w in new:
                 known[w] = self.merged(w)
-        return sum(map(known.__getitem__, words))
+        total = sum(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        return total
 
     def count(self, text: str | None) -> int:
         if not text:

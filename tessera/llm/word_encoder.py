@@ -18,8 +18,8 @@ import regex
 
 from tessera.llm.pretoken import word_finder
 
-#: Words that a worker remembers in each of two generations, some 200 bytes each.
-MOST_WORDS = 600_000
+#: Words that a worker remembers in each of two generations, some 200 bytes each; longer ones are asked for each time.
+MOST_WORDS, LONGEST = 600_000, 64
 #: Texts whose new words go to the library together.
 TOGETHER = 128
 
@@ -99,6 +99,9 @@ class WordEncoder:
             for i in h:
                 f[i] = self.known[w[i]]
             yield b"".join(f)
+        for w in new:
+            if len(w) > LONGEST:
+                del self.known[w]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; a null text has none."""

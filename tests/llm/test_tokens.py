@@ -39,6 +39,15 @@ def test_word_encoder(library, odd_texts, monkeypatch):
     assert got == wanted(library, odd_texts)
 
 
+def test_long_words_are_not_remembered(library):
+    encoder, counter = WordEncoder(PATH, PATTERN), token_counts.MergeCounter(PATH, PATTERN)
+    texts = ["short " + "abcxyz" * 500, "short " + "漢字" * 400, "abcxyz" * 500]
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == wanted(library, texts)
+        assert [counter.count(t) for t in texts] == [len(x) for x in wanted(library, texts)]
+    assert max(map(len, [*encoder.known, *counter.known])) <= 64 and "short" in encoder.known and "short" in counter.known
+
+
 def test_other_tokenizers_get_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = ["Hello big World", "", None]
