@@ -161,22 +161,20 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def holds_any(grams: list[str]) -> Column:
-    """Whether ``__lower`` holds any of the grams."""
-    return reduce(lambda a, b: a | b, [F.contains("__lower", F.lit(g)) for g in grams])
-
-
-def lowered(docs: DataFrame, text: str) -> DataFrame:
-    """Adds ``__lower``, made once a row however many grams are looked for."""
-    return docs.withColumn("__lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
+def gram_pattern(grams: list[str]) -> str:
+    """A regular expression for any of the grams in either case, dealt by first letter so that a place fails soon."""
+    either = lambda x: "".join(any_case(c) if c.isalpha() else re.escape(c) for c in x)
+    tails: dict[str, list[str]] = {}
+    for g in grams:
+        tails.setdefault(g[0], []).append(either(g[1:]))
+    return "|".join(f"{either(first)}(?:{'|'.join(rest)})" for first, rest in tails.items())
 
 
 def postings(docs: DataFrame, grams: list[str], *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index ``(gram_no, row_key)`` for the given lower-case trigrams."""
-    none = F.array().cast("array<int>")
-    found = F.concat(*[F.when(F.contains("__lower", F.lit(g)), F.array(F.lit(n))).otherwise(none) for n, g in enumerate(grams)])
-    held = lowered(docs.select(doc_id, text), text).select(row_key(doc_id, text).alias("row_key"), found.alias("found"))
-    return held.filter(F.size("found") > 0).select("row_key", F.explode("found").alias("gram_no"))
+    """The inverted index ``(gram_no, row_key)`` for the given lower-case trigrams, by one pass over each text."""
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?=({gram_pattern(grams)}))"), F.lit(1))
+    numbers = F.array_distinct(F.transform(found, lambda g: F.array_position(F.array(*map(F.lit, grams)), F.lower(g)) - 1))
+    return docs.select(row_key(doc_id, text).alias("row_key"), F.explode(numbers).alias("gram_no"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...], grams: list[str]) -> DataFrame:
@@ -240,11 +238,11 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, doc_id: st
         return scanned(rows, lambda n, r: _spans(body, r, n))
     found = candidates(postings(docs, grams, doc_id=doc_id, text=text), rules, grams)
     found = found.toDF(*[f"__{n}" for n in found.columns])
-    marked = lowered(rows, text).withColumn("__holds", holds_any(leads)).drop("__lower")
-    met = marked.filter("__holds").withColumn("__key", row_key(doc_id, text)).join(found, F.col("__key") == F.col("__row_key"), "left")
+    holds = body.rlike(gram_pattern(leads))
+    met = rows.filter(holds).withColumn("__key", row_key(doc_id, text)).join(found, F.col("__key") == F.col("__row_key"), "left")
     may = lambda n, r: F.when(F.coalesce(F.col(f"__may_{r.kind}"), F.lit(False)), _spans(body, r, n)).otherwise(none)
     some = scanned(met, lambda n, r: _spans(body, r, n) if queries[r] is True else may(n, r))
-    others = scanned(marked.filter("not __holds"), lambda n, r: _spans(body, r, n) if queries[r] is True else none)
+    others = scanned(rows.filter(~holds), lambda n, r: _spans(body, r, n) if queries[r] is True else none)
     return some.unionByName(others)
 
 
