@@ -398,7 +398,7 @@ def block_plan(distinct: int, share: float, *, least_width: int = 16, most_alike
     return width, math.ceil(math.log(1 - found) / math.log(1 - (1 - share) ** width))
 
 
-def _fingerprints_and_links(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, lanes: int = 4, fine_lanes: int = 32, blocks: tuple[int, int] | None = None, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def _fingerprints_and_links(docs: DataFrame, *, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, lanes: int = 4, fine_lanes: int = 32, blocks: tuple[int, int] | None = None, run_limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The fingerprints, and their links, of texts whose sets of ``words``-word shingles are ``similarity`` alike or more (Jaccard).
 
     Of two sets with Jaccard similarity J the cosine is about 2J / (1 + J), and their SimHashes differ in about arccos
@@ -414,7 +414,7 @@ def _fingerprints_and_links(docs: DataFrame, *, words: int = SHINGLE_WORDS, simi
     fps = fine.select("doc_id", F.slice("fp", 1, lanes).alias("fp"))
     whole = fine.groupBy(F.slice("fp", 1, lanes).alias("short")).agg(F.min("fp").alias("fine")).withColumnRenamed("short", "fp")
     width, count = blocks or block_plan(fine.count(), share)
-    links = link_fingerprints(fps, overlapping_blocks(bits, width, count), int(share * bits + spread), lanes=lanes, sure=int(share * bits - spread), fine=whole, fine_most=int(share * fine_bits + 0.5 * deviation(fine_bits)))
+    links = link_fingerprints(fps, overlapping_blocks(bits, width, count), int(share * bits + spread), lanes=lanes, sure=int(share * bits - spread), fine=whole, fine_most=int(share * fine_bits + 0.5 * deviation(fine_bits)), run_limit=run_limit)
     return fps, links
 
 

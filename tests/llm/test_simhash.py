@@ -1,4 +1,6 @@
+import collections
 import itertools
+import math
 import random
 
 import duckdb
@@ -130,3 +132,56 @@ def test_keep_one_with_null_and_shared_ids(spark):
     got = s.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (7, texts[4]), (7, texts[5]), (8, texts[6]), (None, "")]
     assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted((str(d), t) for d, t in want)
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar_pairs(sets, least):
+    """All pairs of Jaccard similarity ``least`` and more, by what they share among their rarest shingles; equal sets but once."""
+    count = collections.Counter(x for s_ in sets for x in s_)
+    by, out, first = collections.defaultdict(list), {}, {}
+    for n, found in enumerate(sets):
+        if not found or first.setdefault(frozenset(found), n) != n:
+            continue
+        rare = sorted(found, key=lambda x: (count[x], x))
+        rare = rare[: len(found) - math.ceil(least * len(found)) + 1]
+        for m in {m for x in rare for m in by[x]}:
+            alike = len(found & sets[m]) / len(found | sets[m])
+            if alike >= least:
+                out[m, n] = alike
+        for x in rare:
+            by[x].append(n)
+    return out
+
+
+def recall(spark, folder, bands=((0.8, 0.85), (0.85, 1.0), (0.7, 0.78))):
+    """Pairs of different texts in each band of similarity, and how many of them are in one group."""
+    rows = duckdb.connect().execute(f"select doc_id, text from '{folder}/documents.parquet' order by doc_id").fetchall()
+    pairs = similar_pairs([shingles(t) for _, t in rows], min(low for low, _ in bands))
+    group = {r.doc_id: r.component_id for r in s.near_duplicates(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    together = {p: group[rows[p[0]][0]] == group[rows[p[1]][0]] for p in pairs}
+    return [(sum(low <= a < high for a in pairs.values()), sum(together[p] for p, a in pairs.items() if low <= a < high)) for low, high in bands]
+
+
+def test_recall_of_the_shipped_settings(spark, tmp_path):
+    rng, rows = random.Random(5), []
+    for n in range(500):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(100, 400))]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, edited(rng, words, max(1, int(len(words) * rng.uniform(0.005, 0.04)))))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (edge, edge_found), (close, close_found), (below, below_found) = recall(spark, str(tmp_path))
+    assert edge > 100 and edge_found >= 0.9 * edge and close > 100 and close_found >= 0.99 * close
+    assert below > 20 and below_found <= 0.1 * below
+
+
+def test_a_family_over_the_run_limit(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    family = [" ".join(words)] + [edited(rng, words, rng.randrange(1, 6)) for _ in range(300)]
+    others = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(100)]
+    frame = spark.createDataFrame(list(enumerate(family + others)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in s.near_duplicates(frame, run_limit=50).collect()}
+    assert got == {i: 0 if i < len(family) else i for i in got}
