@@ -8,7 +8,8 @@ Models are learned from the labelled rows of ``sf_dir``. The rules' stage reads
 documents anew (``labelled.MOST_LABELS``), since the stage before has dropped most of the bad examples among its input.
 
 Defined cases: a null text counts as empty, and stays null where no stage changes it; equal rows are treated alike, and
-near-duplicate removal keeps one of each group, whatever rows share a doc_id or have none; an empty table passes through; further columns are carried to the last stage.
+near-duplicate removal keeps one of each group, whatever rows share a doc_id or have none; an empty table passes through; further columns are carried up to
+the last stage, which returns pieces.
 """
 
 from __future__ import annotations
@@ -65,11 +66,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece with its place in a sequence."""
+    """One row for each piece: its token ids (little-endian, 32 bits each), and its place in a sequence."""
     import public_tokenizers
 
     cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
-    return packing.pack(written(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"))
+    return packing.pack(written(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "ids"), "pieces"))
 
 
 STAGES = [
