@@ -79,16 +79,18 @@ def fake_vectors(texts: Column, dims: int = 64) -> Column:
     return made(texts)
 
 
-def with_vectors(docs: DataFrame, cache: DataFrame, model: str, embed=fake_vectors) -> tuple[DataFrame, DataFrame]:
-    """Documents with their vectors, and the cache entries that were missing.
-
-    Each different text is asked for once; ``cache``: key, vector.
-    """
+def cache_split(docs: DataFrame, cache: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with their ``vector_key`` and the vector the cache has for it, and the different texts that it misses (``key, document``)."""
     keyed = docs.withColumn("vector_key", vector_key(F.lit(model), F.col("document")))
-    new = keyed.select(F.col("vector_key").alias("key"), "document").dropDuplicates(["key"]).join(cache, "key", "left_anti")
-    made = new.select("key", embed(F.col("document")).alias("vector"))
-    every = cache.select("key", "vector").unionByName(made)
-    return keyed.join(every, keyed.vector_key == every.key).drop(every.key), made
+    missing = keyed.select(F.col("vector_key").alias("key"), "document").dropDuplicates(["key"]).join(cache, "key", "left_anti")
+    return keyed.join(cache.select(F.col("key").alias("vector_key"), "vector"), "vector_key"), missing
+
+
+def with_vectors(docs: DataFrame, cache: DataFrame, model: str, embed=fake_vectors) -> tuple[DataFrame, DataFrame]:
+    """Documents with their vectors, and the cache entries that were missing; each different text is asked for once. ``cache``: key, vector."""
+    _, missing = cache_split(docs, cache, model)
+    made = missing.select("key", embed(F.col("document")).alias("vector"))
+    return cache_split(docs, cache.select("key", "vector").unionByName(made), model)[0], made
 
 
 def rank_for_cv(parts: DataFrame, docs: DataFrame, top: int | None = None) -> DataFrame:

@@ -129,6 +129,28 @@ def control_rows(results: DataFrame) -> DataFrame:
     return results.withColumn("is_control", (F.col("n_relevant") == 0) & (F.col("n_maybe") == 0))
 
 
+def per_cv_rows(ranking: DataFrame, grades: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
+    """``variant, query_id, hit_at_1, recall, reciprocal_rank, ndcg, labelled_share, floor`` for every variant and CV with a grade.
+
+    ``ranking``: variant, query_id, doc_id, rank; ``grades``: query_id, doc_id, grade (2 relevant, 1 maybe); ``judged``: query_id, doc_id. ``floor`` is the
+    least labelled share of a CV over the variants: below 1 the row's figures rest on unlabelled documents.
+    """
+    both = F.struct("variant", F.col("query_id").alias("cv")).alias("query_id")
+    variants = ranking.select("variant").distinct()
+    spread = lambda rows, *more: rows.crossJoin(F.broadcast(variants)).select(both, "doc_id", *more)  # noqa: E731  a few variants
+    order, graded = ranking.select(both, "doc_id", "rank"), spread(grades, "grade")
+    found = retrieval(order, graded.filter("grade = 2").select("query_id", "doc_id"), k)
+    rows = ndcg(order, graded, k).join(found, "query_id", "left").join(labelled_share(order, spread(judged), k), "query_id", "left")
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("hit_at_1", "recall", "reciprocal_rank", "ndcg")]
+    floor = F.min("labelled_share").over(Window.partitionBy("query_id.cv"))
+    return rows.select("query_id.variant", F.col("query_id.cv").alias("query_id"), *zero, "labelled_share", floor.alias("floor"))
+
+
+def control_scores(ranking: DataFrame, controls: DataFrame, top: int = 3) -> DataFrame:
+    """The best scores of CVs that nothing suits, by variant."""
+    return ranking.join(controls.select("query_id").distinct(), "query_id", "left_semi").filter(F.col("rank") <= top)
+
+
 def refusal_check(results: DataFrame) -> DataFrame:
     """A refusal is right if and only if the CV has no matches."""
     return results.withColumn("right", F.col("refused") == ~F.col("has_matches"))

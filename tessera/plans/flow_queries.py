@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as t
 from tessera.operators import documents, ranking
 from tessera.plans.registry import query
-from tessera.session import table, written
+from tessera.session import latest, table, written
+from tessera.sources import sinks
 
 
 def match(adverts: DataFrame, parts: list[DataFrame], conflicts: DataFrame, cap: int, top: int) -> DataFrame:
@@ -43,13 +44,21 @@ def match_flow(spark, folder):
     return match(adverts, parts, odd, 3, 12).select("doc_id", "before", "rank", "chosen", "capped")
 
 
-@query()
+@query("""
+with d as (select doc_id, sha256('m1' || chr(0) || text) as vector_key from documents),
+c as (select vector_key, min(vec_id) as vec_id from d join embeddings on doc_id = vec_id and vec_id % 2 = 0 group by 1)
+select d.vector_key, c.vec_id is not null as hit, count(*) as documents, max(len(embedding))::double as dims from d left join c on d.vector_key = c.vector_key left join embeddings e on c.vec_id = e.vec_id group by 1, 2""")
 def indexed_corpus(spark, folder):
-    """Flow B (J1, P2, V10, V11, K11): documents with vectors from a deterministic stand-in for the embedding model."""
+    """Flow B (J1, P2, V10, V11, K11, A37): documents against a cache that holds the vectors of every second one; which texts are still to embed."""
     d = table(spark, folder, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), "text")
-    cache = spark.createDataFrame([], "key string, vector array<float>")
-    vectored, _ = documents.with_vectors(documents.documents(d, d, "raw"), cache, "stand-in")
-    return vectored.select("doc_id", "vector_key", F.size("vector").alias("dims"))
+    docs = documents.documents(d, d, "raw")
+    stored = table(spark, folder, "embeddings").filter("vec_id % 2 = 0").select("vec_id", F.col("embedding").alias("vector"))
+    known = docs.join(stored, docs.doc_id == stored.vec_id).select(t.vector_key(F.lit("m1"), F.col("document")).alias("key"), "vec_id", "vector")
+    found, missing = documents.cache_split(docs, latest(known, ["key"], [F.col("vec_id")]), "m1")
+    n = docs.groupBy(t.vector_key(F.lit("m1"), F.col("document")).alias("vector_key")).agg(F.count("*").alias("documents"))
+    hits = sinks.distinct_vectors(found.select(F.col("vector_key").alias("key"), "vector")).select(F.col("key").alias("vector_key"), F.lit(True).alias("hit"), F.size("vector").cast("double").alias("dims"))
+    rest = missing.select(F.col("key").alias("vector_key"), F.lit(False).alias("hit"), F.lit(None).cast("double").alias("dims"))
+    return hits.unionByName(rest).join(n, "vector_key")
 
 
 @query()
