@@ -1,6 +1,6 @@
 """Token ids in flat binary files, with 64-bit document offsets, read through memory maps.
 
-A store is a folder. Documents are encoded, and their ids sorted by ``doc_id`` and dealt to tasks by range; a task writes one part
+A store is a folder. Documents are sorted by ``doc_id`` and dealt to tasks by range; a task encodes them and writes one part
 or more, each with ``<name>.bin``, the ids of its documents one after another as unsigned 16-bit numbers (32-bit for vocabularies over
 65,536), ``<name>.idx``, the n + 1 signed 64-bit offsets of its documents in ids, and ``<name>.doc``, their doc_ids as
 signed 64-bit numbers (nulls sort first and their count is in the manifest). Names carry a random part, and only files
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, small_batches, written
+from tessera.llm.common import new_path, small_batches
 from tessera.llm.word_encoder import word_encoder
 
 MANIFEST = "task int, at int, name string, n_docs bigint, n_null bigint, n_tokens bigint, width int"
@@ -35,9 +35,13 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"s3{uri[3:]}" if uri.startswith("s3a://") else uri)
 
 
-def encoded(docs: DataFrame, tokenizer: str, pattern: str | None, end_id: int, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, tie, n, ids``: each document's ids with the end id, 2 or 4 bytes each; ``tie`` orders rows of one doc_id."""
-    small_batches(docs.sparkSession)
+def _keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, tie, text``; ``tie`` orders rows of one doc_id."""
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+
+
+def _encoding(tokenizer: str, pattern: str | None, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of ``doc_id, tie, n, ids`` from those of ``_keyed``: each document's ids with the end id, 2 or 4 bytes each."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer, pattern)
@@ -48,14 +52,13 @@ def encoded(docs: DataFrame, tokenizer: str, pattern: str | None, end_id: int, *
             n = pa.array([len(i) // kind.itemsize for i in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(ids, pa.binary())], ["doc_id", "tie", "n", "ids"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
-    return rows.mapInArrow(encode, "doc_id bigint, tie bigint, n bigint, ids binary")
+    return encode
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, pattern: str | None, end_id: int, *, part_ids: int = 1 << 27, part_docs: int = 1 << 20, **columns) -> list[dict]:
     """Writes a store and returns its manifest: one small row for each part, with its base.
 
-    Texts are encoded first and only ids are sorted. A part ends after ``part_ids`` ids or ``part_docs`` documents, so a task's
+    Texts are sorted and encoded where they are written: in the shuffle they compress better than ids do. A part ends after ``part_ids`` ids or ``part_docs`` documents, so a task's
     lists of offsets and a file stay bounded (but for a single document that is longer).
     """
     where, path = _place(folder)
@@ -90,8 +93,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, pattern: str | No
         if out is not None:
             yield closed()
 
-    rows = written(encoded(docs, tokenizer, pattern, end_id, **columns), "ids")
-    rows.orderBy(F.col("doc_id").asc_nulls_first(), "tie").mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    small_batches(docs.sparkSession)
+    encode = _encoding(tokenizer, pattern, end_id)
+    rows = _keyed(docs, **columns).orderBy(F.col("doc_id").asc_nulls_first(), "tie")
+    rows.mapInArrow(lambda batches: write(encode(batches)), MANIFEST).write.parquet(f"{folder}/manifest")
     return manifest(docs.sparkSession, folder)
 
 
