@@ -99,8 +99,8 @@ class WordEncoder:
             for i in h:
                 f[i] = self.known[w[i]]
             yield b"".join(f)
-        for w in new:
-            if len(w) > LONGEST:
+        if new and max(map(len, new)) > LONGEST:
+            for w in [w for w in new if len(w) > LONGEST]:
                 del self.known[w]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
