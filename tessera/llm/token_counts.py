@@ -22,19 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches
-from tessera.llm.pretoken import word_finder
+from tessera.llm.pretoken import byte_letters, word_finder
 
 #: Words whose count a worker remembers; longer ones are merged each time.
 MOST_WORDS, LONGEST = 400_000, 64
 
 
-def byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from U+0100."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
 class MergeCounter:
     """Counts by the merges of a tokenizer file of the tokenizers library with a byte-level pre-tokenizer."""
 

@@ -1,7 +1,7 @@
 """Encoding with the tokenizers library, each word of a byte-level pre-tokenizer once a worker.
 
 A byte-level tokenizer without a normalizer encodes every word of its pre-tokenizer by itself, so the ids of a text are
-those of its words in turn. Words that a worker has met are looked up; new ones go to the library, those of many texts together. Any
+those of its words in turn. Words that a worker has met are looked up; new ones go to the model of the library's tokenizer. Any
 other kind of tokenizer gets the whole texts.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -16,12 +17,14 @@ from itertools import islice
 import numpy as np
 import regex
 
-from tessera.llm.pretoken import word_finder
+from tessera.llm.pretoken import byte_letters, word_finder
 
 #: Words that a worker remembers in each of two generations, some 200 bytes each; longer ones are asked for each time.
 MOST_WORDS, LONGEST = 600_000, 64
-#: Texts whose new words go to the library together.
+#: Texts whose new words are found together.
 TOGETHER = 128
+#: What a byte-level model takes for each byte.
+LETTERS = dict(enumerate(byte_letters()))
 
 
 class WordEncoder:
@@ -38,8 +41,6 @@ class WordEncoder:
         self.words = word_finder(pattern) if by_words and pattern else None
         self.strings = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.strings)) + ")")
-        line_end = self.library.encode("\n", add_special_tokens=False).ids
-        self.line_end = line_end[0] if len(line_end) == 1 else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -53,39 +54,14 @@ class WordEncoder:
         """Asks the library for words; when the table is full, those not met for a generation are forgotten."""
         if len(self.known) + len(words) > MOST_WORDS:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older.get
-        new, apart = [], []
+        known, older, merged = self.known, self.older.get, self.library.model.tokenize
         for w in words:
-            if (ids := older(w)) is not None:
-                known[w] = ids
-            elif w.isspace() or w in self.strings:
-                apart.append(w)
-            else:
-                new.append(w)
-        for at in range(0, len(new), 2048):
-            part = new[at : at + 2048]
-            got = self._ask_joined(part)
-            if got is None:
-                apart += part
-            else:
-                known.update(zip(part, got))
-        for w, e in zip(apart, self.library.encode_batch_fast(apart, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _ask_joined(self, words: list[str]) -> list[bytes] | None:
-        """The ids of words without white space but for a leading space, asked for as lines of one text.
-
-        A line end between two such words is a word of its own, and its id stands nowhere else. None if that does not hold.
-        """
-        if self.line_end is None:
-            return None
-        ids = np.array(self.library.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == self.line_end)
-        if len(cuts) != len(words) - 1:
-            return None
-        raw = ids.tobytes()
-        starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
-        return [raw[i:j] for i, j in zip(starts, ends)]
+            if (ids := older(w)) is None:
+                if w in self.strings:
+                    ids = array("I", self.library.encode(w, add_special_tokens=False).ids).tobytes()
+                else:  # a word of the pre-tokenizer goes to the library's model as it stands, a letter for each byte
+                    ids = array("I", [t.id for t in merged(w.encode().decode("latin-1").translate(LETTERS))]).tobytes()
+            known[w] = ids
 
     def _together(self, texts: list[str | None]) -> Iterator[bytes]:
         get = self.known.get
