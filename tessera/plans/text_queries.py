@@ -11,7 +11,7 @@ from tessera.session import table, written
 from tessera.sources import postings
 
 _SIMPLE = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
-_WS = "[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+_WS = r"[\s\x0b\x1c-\x1f\x85\xa0\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 @query(f"select doc_id, {_SIMPLE.format('text')} as simple from documents")
@@ -67,7 +67,29 @@ def link_counts(spark, folder):
     return web.groupBy(board.alias("board")).agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-@query()
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}|{_WS}$', '', 'g')"
+
+
+_CHUNKS = f"""
+with recursive p as (select doc_id, string_split_regex({_strip("coalesce(text, '')")}, '\\n(?:{_WS})?\\n') as l from documents),
+cut as (
+  select doc_id, i as paragraph, 0 as n, {_strip("l[i]")} as rest, null::varchar as part from p, unnest(range(1, len(l) + 1)) as u(i)
+  union all
+  select doc_id, paragraph, n + 1, case when cut_at is not null then {_strip("substr(rest, cut_at - 149)")} end, {_strip("substr(rest, 1, coalesce(cut_at, length(rest)))")}
+  from (select *, case when length(rest) <= 900 then null when space > 150 then space else 900 end as cut_at
+        from (select *, length(regexp_extract(substr(rest, 1, 900), '(?s)^(.*) ', 1)) as space from cut where rest is not null))),
+parts as (select doc_id, row_number() over (partition by doc_id order by paragraph, n) as k, part from cut where part <> ''),
+held as (
+  select doc_id, 0 as k, null::varchar as done, '' as held from documents
+  union all
+  select doc_id, k + 1, case when too_long then held end, concat_ws(chr(10) || chr(10), nullif(case when too_long then {_strip("right(held, 150)")} else held end, ''), part)
+  from (select held.*, part, held <> '' and length(held) + length(part) + 2 > 900 as too_long from held join parts on parts.doc_id = held.doc_id and parts.k = held.k + 1)),
+whole as (select doc_id, k, done as text from held where done is not null union all select doc_id, max(k) + 1, max_by(held, k) from held group by doc_id)
+select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int as chunk, text from whole"""
+
+
+@query(_CHUNKS)
 def chunks(spark, folder):
     """The chunks of every text."""
     return table(spark, folder, "documents").select("doc_id", F.posexplode(t.chunks(F.col("text"))).alias("chunk", "text"))
