@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_codec, chat_format, packing, quality_model, quality_rules, secret_scan, simhash, token_counts, token_store, topk
+from tessera.llm import bpe_codec, chat_format, collocations, packing, quality_model, quality_rules, secret_scan, simhash, source_audit, token_counts, token_store, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_exact_top_k": topk.op9_exact_top_k,
         "op10_simhash_groups": simhash.op10_simhash_groups,
+        "op11_source_audit": source_audit.op11_source_audit,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
@@ -29,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_secret_scan": secret_scan.OP1_SQL,
         "op8_chat_format": chat_format.OP8_SQL,
         "op9_exact_top_k": topk.OP9_SQL,
+        "op11_source_audit": source_audit.OP11_SQL,
+        "op13_collocations": collocations.OP13_SQL,
     }
