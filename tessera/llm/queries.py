@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_codec, chat_format, collocations, packing, quality_model, quality_rules, secret_scan, simhash, source_audit, token_counts, token_store, topk
+from tessera.llm import bpe_codec, chat_format, collocations, main_text, packing, quality_model, quality_rules, secret_scan, simhash, source_audit, token_counts, token_store, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_top_k": topk.op9_exact_top_k,
         "op10_simhash_groups": simhash.op10_simhash_groups,
         "op11_source_audit": source_audit.op11_source_audit,
+        "op12_main_text": main_text.op12_main_text,
         "op13_collocations": collocations.op13_collocations,
     }
 
