@@ -145,7 +145,7 @@ def phrase_counts(docs: DataFrame, k: int, bitmaps: list[np.ndarray]) -> DataFra
                     if lang not in known:
                         known[lang] = Vocabulary(lang, sent.value[0] if k > 1 else None)
                     mine = known[lang]
-                    held += mine.gather(_part(words, at, k))
+                    held += mine.gather(_part(words, at, _PART, k))
                     if held > MOST_GATHERED or len(mine) > MOST_WORDS or mine.size > MOST_WORD_BYTES or len(known) > 1000:
                         yield from send()
                         held = 0
@@ -155,10 +155,9 @@ def phrase_counts(docs: DataFrame, k: int, bitmaps: list[np.ndarray]) -> DataFra
     return rows.mapInArrow(count, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _part(words: list[bytes], at: int, k: int) -> list[bytes]:
+def _part(words: list[bytes], at: int, size: int, k: int) -> list[bytes]:
     """The words of one part of a text, and so many of the next that its last phrases are whole."""
-    to = at + _PART
-    more = 0
+    to, more = at + size, 0
     while to < len(words) and more < k - 1:
         more += words[to] != b""
         to += 1
