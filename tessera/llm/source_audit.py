@@ -31,7 +31,7 @@ SCALE, SMOOTH = 1_000_000_000, 5
 #: Cells of a block's matrix, and the most and fewest terms of a block.
 CELLS, MOST_TERMS, LEAST_TERMS = 1 << 18, 4096, 64
 #: Terms that a task counts before it sends them on.
-MOST_COUNTED = 200_000
+MOST_COUNTED = 300_000
 #: Languages whose statistics are broadcast; of more, they are joined by a shuffle.
 MOST_LANGS = 10_000
 
@@ -54,33 +54,41 @@ def _sent(counts: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(seen), pa.array(docs)], ["lang", "source", "term", "n", "docs"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, held = defaultdict(lambda: (Counter(), Counter())), 0
-    for batch in batches:
-        for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text"))):
-            terms = terms_of(text.as_py())
-            if not terms:
-                continue
-            n, docs = counts[lang.as_py(), source.as_py()]
-            held -= len(n)
-            n.update(terms)
-            docs.update(set(terms))
-            held += len(n)
-            if held > MOST_COUNTED:
-                yield _sent(counts)
-                counts.clear()
-                held = 0
-    if held:
-        yield _sent(counts)
+def _counter(most: int):
+    """The function that counts the terms of a task's texts and holds at most about so many of them."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held = defaultdict(lambda: (Counter(), Counter())), 0
+        for batch in batches:
+            for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text"))):
+                terms = terms_of(text.as_py())
+                if not terms:
+                    continue
+                n, docs = counts[lang.as_py(), source.as_py()]
+                held -= len(n)
+                n.update(terms)
+                docs.update(set(terms))
+                held += len(n)
+                if held > most:
+                    yield _sent(counts)
+                    counts.clear()
+                    held = 0
+        if held:
+            yield _sent(counts)
+
+    return counted
 
 
 def kept_counts(docs: DataFrame, least_docs: int) -> DataFrame:
-    """``lang, source, term, n`` of the terms that a language keeps; ``docs`` has lang, source and text without nulls."""
+    """``lang, source, term, n`` of the terms that a language keeps; ``docs`` has lang, source and text without nulls.
+
+    One exchange by language and term serves the sums of a group and those of the language.
+    """
     rows = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
-    parts = rows.mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint").repartition("lang", "term")
-    kept = parts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
-    found = parts.drop("docs").join(kept.drop("docs").hint("shuffle_hash"), ["lang", "term"])  # both sides read one exchange
-    return found.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    parts = rows.mapInArrow(_counter(MOST_COUNTED), "lang string, source string, term string, n bigint, docs bigint").repartition("lang", "term")
+    sums = parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    docs_of_lang = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    return sums.withColumn("docs", docs_of_lang).filter(F.col("docs") >= least_docs).drop("docs")
 
 
 def shares(count: np.ndarray, total) -> np.ndarray:
