@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.arith import range_text
 from tessera.functions.text import chunks, vector_key
-from tessera.operators.ranking import fuse, full_ranks, pooled, scores
+from tessera.operators.ranking import full_ranks, pooled_scores, scores
+from tessera.operators.shortlist import fused_prefix, whole_order
 from tessera.session import ranked
 
 
@@ -95,19 +96,27 @@ def with_vectors(docs: DataFrame, cache: DataFrame, model: str, embed=fake_vecto
 
 def rank_for_cv(parts: DataFrame, docs: DataFrame, top: int | None = None) -> DataFrame:
     """The corpus for one CV: each document's best part. ``parts``: part, label, vector; ``docs``: doc_id, vector."""
-    found = pooled(scores(parts.select(F.col("part").alias("query_id"), "vector"), docs))
+    found = pooled_scores(parts.select(F.col("part").alias("query_id"), "vector"), docs)
     labelled_ = found.join(parts.select(F.col("part").alias("query_id"), "label"), "query_id")
     out = ranked(labelled_, [], [F.desc("score"), F.col("doc_id")])
     return out.filter(F.col("rank") <= top) if top else out
 
 
-def fused_for_cv(styles: list[DataFrame], docs: DataFrame) -> DataFrame:
-    """One ranking for each style, fused. ``styles``: tables of parts, in the order of an ``a+b`` style."""
+def as_lists(styles: list[DataFrame]) -> DataFrame:
+    """``query_id, list_no, vector`` of the parts of each style, one list a style."""
     lists = None
     for number, parts in enumerate(styles):
-        order = rank_for_cv(parts, docs).select(F.lit(number).alias("list_no"), F.col("rank").alias("pos"), F.col("doc_id").alias("item"))
-        lists = order if lists is None else lists.unionByName(order)
-    return fuse(lists)
+        mine = parts.select(F.col("part").alias("query_id"), F.lit(number).alias("list_no"), "vector")
+        lists = mine if lists is None else lists.unionByName(mine)
+    return lists
+
+
+def fused_for_cv(styles: list[DataFrame], docs: DataFrame, top: int | None = None) -> DataFrame:
+    """One ranking for each style, fused: ``doc_id, points, best_list, rank``. ``styles``: tables of parts, in the order of an ``a+b`` style.
+
+    With ``top`` only the first of the fused order (and those level with the last), without whole rankings.
+    """
+    return fused_prefix(as_lists(styles), docs, top)[0] if top else whole_order(as_lists(styles), docs)
 
 
 def search(queries: DataFrame, docs: DataFrame, top: int) -> DataFrame:

@@ -6,7 +6,8 @@ go to the smaller id, which stands for the input position.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from tessera.session import ranked, written
 
 DIGITS, RRF_K, BLOCK = 6, 60, 512
+#: Query vectors that the driver reads and broadcasts; of more, it reads none of those beyond.
+SMALL = 1024
 
 
 def norm(v: Column) -> Column:
@@ -29,40 +32,88 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors have different sizes"))).when(lengths == 0, F.raise_error(F.lit("zero vector"))).otherwise(dot / lengths)
 
 
-def scores(queries: DataFrame, documents: DataFrame, top: int | None = None) -> DataFrame:
-    """``query_id, doc_id, score`` for every query and document (V2, V4, J2), or each task's ``top`` of a query.
+@dataclass
+class Block:
+    """Some vectors in a task: ``ids``, ``unit`` vectors (rows), and further columns by name."""
+
+    ids: np.ndarray
+    unit: np.ndarray
+    more: dict[str, np.ndarray]
+
+    @classmethod
+    def of(cls, pdf: pd.DataFrame, key: str) -> Block:
+        return cls(pdf[key].to_numpy(), _unit(np.array(pdf["vector"].tolist(), np.float64)), {c: pdf[c].to_numpy() for c in pdf.columns if c not in (key, "vector")})
+
 
-    ``queries``: ``query_id, vector``; ``documents``: ``doc_id, vector``. Both are cut into blocks of at most ``BLOCK`` vectors, and each
-    block of queries meets each block of documents in a task, one matrix product a pair; Spark ships them, none passes the driver.
+def meet(queries: DataFrame, documents: DataFrame, work: Callable[[Block, Block], pd.DataFrame], schema: str, whole: str = "query_id", finish=None) -> DataFrame:
+    """What ``work(some queries, some documents)`` gives, for every query and document together once.
+
+    ``queries``: ``query_id, vector`` and more; ``documents``: ``doc_id, vector`` and more. Up to ``SMALL`` query vectors are read by the driver
+    and broadcast as one block. More than those are written as blocks, as documents are then, and Spark ships blocks of queries to blocks
+    of documents; rows with one value of ``whole`` share a block of queries. With ``finish``, ``work`` returns arrays of one
+    shape, which a task adds up if there is one block of queries, and ``finish(queries, sum)`` makes rows of the sum.
     """
-    asked, rows = _blocks(queries, "query_id"), _blocks(documents, "doc_id")
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double"
+    few = queries.limit(SMALL + 1).toPandas()
+    one = len(few) <= SMALL
+    if one:
+        asked = queries.sparkSession.sparkContext.broadcast(Block.of(few.sort_values("query_id", kind="stable"), "query_id") if len(few) else None)
+
+        def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Block, Block]]:
+            if asked.value is not None:
+                for pdf in batches:
+                    for at in range(0, len(pdf), BLOCK):
+                        yield asked.value, Block.of(pdf.iloc[at : at + BLOCK], "doc_id")
+
+        rows = documents
+    else:
+        left, right = _blocks(queries, "query_id", whole), _blocks(documents, "doc_id")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for q_ids, q_body, docs, body in zip(pdf["query_ids"], pdf["query_body"], pdf["doc_ids"], pdf["doc_body"]):
-                unit = np.frombuffer(q_body).reshape(len(q_ids), -1)
-                got = np.round(np.frombuffer(body).reshape(len(docs), -1) @ unit.T, DIGITS) + 0.0
-                for q in range(len(q_ids)):
-                    s = got[:, q]
-                    at = np.lexsort((docs, -s))[:top] if top and top < len(s) else slice(None)
-                    yield pd.DataFrame({"query_id": q_ids[q], "doc_id": docs[at], "score": s[at]})
+        def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Block, Block]]:
+            for pdf in batches:
+                for r in pdf.to_dict("records"):
+                    yield tuple(Block(r[f"{k}_id"], np.frombuffer(r[f"{k}_body"]).reshape(len(r[f"{k}_id"]), -1), {c.removeprefix(f"{k}_more_"): v for c, v in r.items() if c.startswith(f"{k}_more_")}) for k in ("query", "doc"))
 
-    return rows.crossJoin(asked).mapInPandas(score, schema)
+        rows = right.crossJoin(left)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for q, d in pairs(batches):
+            got = work(q, d)
+            if finish is None or not one:
+                yield got if finish is None else finish(q, got)
+            else:
+                total = got if total is None else total + got
+        if total is not None:
+            yield finish(q, total)
 
-def _blocks(vectors: DataFrame, key: str) -> DataFrame:
-    """Written blocks of unit vectors: ``<name>_ids`` and ``<name>_body``, doubles row by row."""
-    name = key.removesuffix("_id")
+    return rows.mapInPandas(run, schema)
+
+
+def _blocks(vectors: DataFrame, key: str, whole: str | None = None) -> DataFrame:
+    """Written blocks of unit vectors: ``<name>_id``, ``<name>_body`` (doubles row by row) and ``<name>_more_*``; ``whole`` is not cut."""
+    name, more = key.removesuffix("_id"), [c for c in vectors.columns if c not in (key, "vector")]
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
         for pdf in batches:
-            for at in range(0, len(pdf), BLOCK):
-                part = pdf.iloc[at : at + BLOCK]
-                yield pd.DataFrame({f"{name}_ids": [part[key].to_numpy()], f"{name}_body": [_unit(np.array(part["vector"].tolist(), np.float64)).tobytes()]})
-
-    schema = f"{name}_ids array<{vectors.schema[key].dataType.simpleString()}>, {name}_body binary"
-    return written(vectors.select(key, "vector").mapInPandas(build, schema), f"{name}_blocks")
+            pdf = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
+            cut = 0
+            for at in (np.flatnonzero(pdf[whole].to_numpy()[1:] != pdf[whole].to_numpy()[:-1]) + 1 if whole else range(1, len(pdf))):
+                if at - cut >= BLOCK:
+                    yield made(pdf.iloc[cut:at])
+                    cut = at
+            left = pdf.iloc[cut:]
+        if left is not None and len(left):
+            yield made(left)
+
+    def made(part: pd.DataFrame) -> pd.DataFrame:
+        b = Block.of(part, key)
+        return pd.DataFrame({f"{name}_id": [b.ids], f"{name}_body": [b.unit.tobytes()]} | {f"{name}_more_{c}": [b.more[c]] for c in more})
+
+    kind = lambda c: vectors.schema[c].dataType.simpleString()
+    schema = ", ".join([f"{name}_id array<{kind(key)}>", f"{name}_body binary", *[f"{name}_more_{c} array<{kind(c)}>" for c in more]])
+    rows = vectors.repartitionByRange(whole).sortWithinPartitions(*dict.fromkeys([whole, key])) if whole else vectors
+    return written(rows.mapInPandas(build, schema), f"{name}_blocks")
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -72,15 +123,115 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / lengths
 
 
+def products(q: Block, d: Block) -> np.ndarray:
+    """Cosines of documents (rows) and queries (columns), rounded."""
+    return np.round(d.unit @ q.unit.T, DIGITS) + 0.0
+
+
+def _type(frame: DataFrame, column: str) -> str:
+    return frame.schema[column].dataType.simpleString()
+
+
+def scores(queries: DataFrame, documents: DataFrame, top: int | None = None) -> DataFrame:
+    """``query_id, doc_id, score`` for every query and document (V2, V4, J2), or of each query each block's ``top``."""
+
+    def work(q: Block, d: Block) -> pd.DataFrame:
+        got = products(q, d)
+        if top and top < len(d.ids):
+            order = np.argsort(d.ids, kind="stable")
+            at = order[np.argsort(-got[order], axis=0, kind="stable")[:top]]
+            return pd.DataFrame({"query_id": np.tile(q.ids, len(at)), "doc_id": d.ids[at].ravel(), "score": np.take_along_axis(got, at, 0).ravel()})
+        return pd.DataFrame({"query_id": np.tile(q.ids, len(d.ids)), "doc_id": np.repeat(d.ids, len(q.ids)), "score": got.ravel()})
+
+    schema = f"query_id {_type(queries, 'query_id')}, doc_id {_type(documents, 'doc_id')}, score double"
+    return meet(queries.select("query_id", "vector"), documents.select("doc_id", "vector"), work, schema)
+
+
+def pooled_scores(queries: DataFrame, documents: DataFrame, others_only: bool = False) -> DataFrame:
+    """V3, V6: ``doc_id, score, query_id``: each document's best score over the queries and the first query that has it.
+
+    A task pools its block of queries, so that a row leaves it for a document and block, not for a pair. ``others_only``: a document is
+    no query's answer to itself.
+    """
+
+    def work(q: Block, d: Block) -> pd.DataFrame:
+        order = np.argsort(q.ids, kind="stable")
+        got = products(q, d)[:, order]
+        if others_only:
+            got = np.where(d.ids[:, None] == q.ids[order][None, :], -np.inf, got)
+        best = got.argmax(axis=1)
+        found = pd.DataFrame({"doc_id": d.ids, "score": got[np.arange(len(best)), best], "query_id": q.ids[order][best]})
+        return found[np.isfinite(found["score"])]
+
+    schema = f"doc_id {_type(documents, 'doc_id')}, score double, query_id {_type(queries, 'query_id')}"
+    return pooled(meet(queries.select("query_id", "vector"), documents.select("doc_id", "vector"), work, schema))
+
+
+def owner_scores(queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """V5: ``query_id, owner, score``: each owner's best chunk for each query, pooled in the scoring task. ``documents``: doc_id, owner, vector.
+
+    An owner without chunks has no row, which stands for a score of minus infinity: it comes after every other.
+    """
+
+    def work(q: Block, d: Block) -> pd.DataFrame:
+        owners, at = np.unique(d.more["owner"], return_inverse=True)
+        best = np.full((len(owners), len(q.ids)), -np.inf)
+        np.maximum.at(best, at, products(q, d))
+        return pd.DataFrame({"query_id": np.tile(q.ids, len(owners)), "owner": np.repeat(owners, len(q.ids)), "score": best.ravel()})
+
+    schema = f"query_id {_type(queries, 'query_id')}, owner {_type(documents, 'owner')}, score double"
+    found = meet(queries.select("query_id", "vector"), documents.select("doc_id", "owner", "vector"), work, schema)
+    return found.groupBy("query_id", "owner").agg(F.max("score").alias("score"))
+
+
+def list_scores(queries: DataFrame, documents: DataFrame, top: int | None = None) -> DataFrame:
+    """``list_no, doc_id, score``: each document's best score over the queries of a list (V15), or of each list each block's ``top``.
+
+    ``queries``: query_id, list_no, vector.
+    """
+
+    def work(q: Block, d: Block) -> pd.DataFrame:
+        numbers, got = pooled_lists(q, d)
+        if top and top < len(d.ids):
+            order = np.argsort(d.ids, kind="stable")
+            at = order[np.argsort(-got[order], axis=0, kind="stable")[:top]]
+            return pd.DataFrame({"list_no": np.tile(numbers, len(at)), "doc_id": d.ids[at].ravel(), "score": np.take_along_axis(got, at, 0).ravel()})
+        return pd.DataFrame({"list_no": np.tile(numbers, len(d.ids)), "doc_id": np.repeat(d.ids, len(numbers)), "score": got.ravel()})
+
+    schema = f"list_no {_type(queries, 'list_no')}, doc_id {_type(documents, 'doc_id')}, score double"
+    return meet(queries.select("query_id", "list_no", "vector"), documents.select("doc_id", "vector"), work, schema, "list_no")
+
+
+def pooled_lists(q: Block, d: Block) -> tuple[np.ndarray, np.ndarray]:
+    """The lists among the queries, and the best score in each (columns) of each document."""
+    order = np.argsort(q.more["list_no"], kind="stable")
+    numbers, starts = np.unique(q.more["list_no"][order], return_index=True)
+    got = products(q, d)
+    return numbers, got if len(numbers) == len(order) and (order[:-1] < order[1:]).all() else np.maximum.reduceat(got[:, order], starts, axis=1)
+
+
+def places(scores_: np.ndarray, ids: np.ndarray, wanted: np.ndarray, wanted_ids: np.ndarray) -> np.ndarray:
+    """How many rows come before each wanted (score, id) by score, then smaller id: in each column by itself.
+
+    ``scores_``: rows by lists; ``wanted``: wanted by lists; ids of the rows and of the wanted. One ``searchsorted`` a list.
+    """
+    order = np.argsort(ids, kind="stable")
+    place = np.searchsorted(ids[order], wanted_ids, "left")
+    n, scale = len(ids) + 1, 10**DIGITS
+    keys = np.sort(-np.rint(scores_[order] * scale).astype(np.int64) * n + np.arange(len(ids))[:, None], axis=0)
+    asked = -np.rint(wanted * scale).astype(np.int64) * n + place[:, None]
+    return np.stack([np.searchsorted(keys[:, i], asked[:, i], "left") for i in range(keys.shape[1])], axis=1)
+
+
 def top_ranks(found: DataFrame, top: int) -> DataFrame:
     """The first ``top`` of each query by score, then doc_id. Spark keeps ``top`` rows a query and task before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= top)
 
 
-def full_ranks(found: DataFrame) -> DataFrame:
+def full_ranks(found: DataFrame, key: str = "query_id") -> DataFrame:
     """The whole order of each query (``top`` 0 means all), ranked without a single task for a query."""
-    return ranked(found, ["query_id"], [F.desc("score"), F.col("doc_id")])
+    return ranked(found, [key], [F.desc("score"), F.col("doc_id")])
 
 
 def pooled(found: DataFrame) -> DataFrame:
@@ -89,19 +240,11 @@ def pooled(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(best).select("doc_id", F.col("b.score").alias("score"), (-F.col("b.q")).alias("query_id"))
 
 
-def pooled_by_owner(found: DataFrame, owners: DataFrame) -> DataFrame:
-    """V5: each owner's best chunk for each query. ``owners``: ``doc_id``, ``owner``.
-
-    An owner without chunks has no row, which stands for a score of minus infinity: it comes after every other.
-    """
-    return found.join(owners, "doc_id").groupBy("query_id", "owner").agg(F.max("score").alias("score"))
-
-
-def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
+def fuse(lists: DataFrame, k: int = RRF_K, few: bool = False) -> DataFrame:
     """Reciprocal rank fusion of ``list_no, pos, item``.
 
     ``points`` sum 1 / (k + pos); ``best_list`` is that with the smallest position, the first of equals. ``rank`` orders by
-    points, then position in list 0, then first appearance.
+    points, then position in list 0, then first appearance; ``few`` items, of a stated bound, are ordered in one task.
     """
     place = F.struct(F.col("pos"), F.col("list_no"))
     seen = F.struct(F.col("list_no"), F.col("pos"))
@@ -112,7 +255,8 @@ def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
         F.min(seen).alias("__seen"),
     )
     order = [F.desc("points"), F.asc_nulls_last("__in_first"), F.col("__seen")]
-    return ranked(got, [], order).drop("__in_first", "__seen")
+    out = got.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint")) if few else ranked(got, [], order)
+    return out.drop("__in_first", "__seen")
 
 
 def cap_per_group(order: DataFrame, group: str, rank: str, cap: int, top: int) -> DataFrame:

@@ -18,7 +18,7 @@ def match(adverts: DataFrame, parts: list[DataFrame], conflicts: DataFrame, cap:
     ``adverts``: doc_id, employer, vector; ``parts``: tables of query parts for each style; ``conflicts``: doc_id, conflicts.
     Every advert stays in the result, with ``rank``, ``before``, ``chosen`` and ``capped``.
     """
-    fused = documents.fused_for_cv(parts, adverts.select("doc_id", "vector")).withColumnRenamed("item", "doc_id")
+    fused = documents.fused_for_cv(parts, adverts.select("doc_id", "vector"))
     named = fused.join(adverts.select("doc_id", "employer"), "doc_id").join(conflicts, "doc_id")
     order = written(ranking.rerank(named, "rank", "conflicts"), "reranked")
     return ranking.cap_per_group(order, "employer", "rank", cap, top)

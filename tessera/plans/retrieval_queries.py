@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import metrics, ranking
+from tessera.operators import evaluation, metrics, ranking, shortlist
 from tessera.plans.registry import query
-from tessera.session import ranked, table, written
+from tessera.session import ranked, table
 
 _SCORES = """
 scores as (select q.vec_id as query_id, d.vec_id as doc_id, round(list_cosine_similarity(q.embedding::double[], d.embedding::double[]), 6) + 0.0 as score
@@ -46,14 +46,15 @@ def rank_all(spark, folder):
 @query(f"""with {_SCORES} select doc_id, max(score) as score, arg_min(query_id, -score * 1000000 * 100000 + query_id) as query_id from scores group by doc_id""")
 def rank_pooled(spark, folder):
     """V3, V6: each document's best score over the queries and the first query that has it."""
-    return ranking.pooled(_scores(spark, folder))
+    e = table(spark, folder, "embeddings")
+    return ranking.pooled_scores(_queries(e), _documents(e))
 
 
 @query(f"""with {_SCORES} select query_id, doc_id // 4 as owner, max(score) as score from scores group by all""")
 def rank_chunks_pooled(spark, folder):
     """V5: owners of four chunks each score by their best chunk."""
-    owners = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.floor(F.col("vec_id") / 4).cast("bigint").alias("owner"))
-    return ranking.pooled_by_owner(_scores(spark, folder), owners)
+    e = table(spark, folder, "embeddings")
+    return ranking.owner_scores(_queries(e), _documents(e).withColumn("owner", F.floor(F.col("doc_id") / 4).cast("bigint")))
 
 
 _FUSED = """
@@ -62,15 +63,11 @@ points as (select doc_id, round(sum(1.0 / (60 + rank)), 12) as points, arg_min(q
 fused as (select doc_id, points, best_list, row_number() over (order by points desc, in_first nulls last, seen) as rank from points)"""
 
 
-def _fused(spark, folder) -> DataFrame:
-    lists = ranking.full_ranks(_scores(spark, folder)).select(F.col("query_id").alias("list_no"), F.col("rank").alias("pos"), F.col("doc_id").alias("item"))
-    return ranking.fuse(lists).withColumnRenamed("item", "doc_id")
-
-
 @query(f"with {_SCORES}, {_FUSED} select doc_id, points, best_list, rank from fused")
 def rrf_fusion(spark, folder):
     """The queries' orders fused by reciprocal ranks."""
-    return _fused(spark, folder).select("doc_id", "points", "best_list", "rank")
+    e = table(spark, folder, "embeddings")
+    return shortlist.whole_order(_queries(e).withColumn("list_no", F.col("query_id")), _documents(e)).select("doc_id", "points", "best_list", "rank")
 
 
 _SHORTLIST = """
@@ -80,11 +77,11 @@ chosen as (select * from capped where n <= 2 order by rank limit 10)"""
 
 @query(f"with {_SCORES}, {_FUSED}, {_SHORTLIST} select doc_id, label, points, best_list, rank from chosen")
 def flagship_shortlist(spark, folder):
-    """The whole corpus ranked for all queries, fused, two of a label at most, ten rows."""
-    labels = table(spark, folder, "embeddings").select(F.col("vec_id").alias("__id"), "label")
-    fused = _fused(spark, folder)
-    order = fused.join(labels, fused.doc_id == F.col("__id")).drop("__id")
-    return ranking.cap_per_group(written(order, "order"), "label", "rank", 2, 10).filter("chosen").select("doc_id", "label", "points", "best_list", "rank")
+    """The corpus ranked for all queries to the depth that decides, fused, two of a label at most, ten rows."""
+    e = table(spark, folder, "embeddings")
+    groups = e.select(F.col("vec_id").alias("doc_id"), "label")
+    found = shortlist.shortlist(_queries(e).withColumn("list_no", F.col("query_id")), _documents(e), groups, "label", 2, 10)
+    return found.select("doc_id", "label", "points", "best_list", "rank")
 
 
 @query("""
@@ -100,27 +97,23 @@ def employer_cap_shortlist(spark, folder):
     return ranking.cap_per_group(order, "p_brand", "rank", 3, 50)
 
 
-def _relevant(spark, folder) -> DataFrame:
-    """A document is relevant for a query with the same label; the query itself is not."""
+def _labelled(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Queries, for which documents of their own label are relevant and those of the next one perhaps, and documents."""
     e = table(spark, folder, "embeddings")
-    q = e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "label")
-    return q.join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").filter("query_id <> doc_id").select("query_id", "doc_id")
+    asked = e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("good"), ((F.col("label") + 1) % 10).alias("maybe"), F.col("embedding").alias("vector"))
+    return asked, e.select(F.col("vec_id").alias("doc_id"), "label", F.col("embedding").alias("vector"))
 
 
 _OWN = """own as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from scores where query_id <> doc_id),
 relevant as (select q.vec_id as query_id, d.vec_id as doc_id from embeddings q join embeddings d on q.label = d.label and q.vec_id % 20 = 0 and q.vec_id <> d.vec_id)"""
 
 
-def _own_ranks(spark, folder) -> DataFrame:
-    return ranking.full_ranks(_scores(spark, folder).filter("query_id <> doc_id"))
-
-
 @query(f"""with {_SCORES}, {_OWN}
 select r.query_id, coalesce(max((o.rank = 1)::int)::double, 0) as hit_at_1, round(count(*) filter (where o.rank <= 3) / count(*), 9) as recall, round(coalesce(1 / min(o.rank), 0), 9) as reciprocal_rank, min(o.rank) as first_relevant
 from relevant r left join own o on r.query_id = o.query_id and r.doc_id = o.doc_id group by r.query_id""")
 def retrieval_metrics(spark, folder):
     """hit@1, recall@3, reciprocal rank and first relevant position, same label being relevant."""
-    got = metrics.retrieval(_own_ranks(spark, folder), _relevant(spark, folder))
+    got = evaluation.retrieval(*_labelled(spark, folder))
     return got.withColumns({"recall": F.round("recall", 9), "reciprocal_rank": F.round("reciprocal_rank", 9)})
 
 
@@ -130,7 +123,7 @@ per as (select r.query_id, coalesce(max((o.rank = 1)::int)::double, 0) as h, cou
 select case when query_id % 40 = 0 then 'dev' else 'holdout' end as split, count(*) as queries, round(avg(h), 9) as hit_at_1, round(avg(r), 9) as recall, round(avg(m), 9) as reciprocal_rank from per group by 1""")
 def retrieval_split_means(spark, folder):
     """The metrics averaged over two splits."""
-    got = metrics.retrieval(_own_ranks(spark, folder), _relevant(spark, folder))
+    got = evaluation.retrieval(*_labelled(spark, folder))
     means = metrics.split_means(got.withColumn("split", F.when(F.col("query_id") % 40 == 0, "dev").otherwise("holdout")), "split")
     return means.select("split", "queries", *[F.round(c, 9).alias(c) for c in ("hit_at_1", "recall", "reciprocal_rank")])
 
@@ -139,19 +132,13 @@ _GRADES = """grades as (select q.vec_id as query_id, d.vec_id as doc_id, case wh
   from embeddings q join embeddings d on q.vec_id % 20 = 0 and q.vec_id <> d.vec_id and (q.label = d.label or (q.label + 1) % 10 = d.label))"""
 
 
-def _grades(spark, folder) -> DataFrame:
-    e = table(spark, folder, "embeddings")
-    q = e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.explode(F.array(F.struct(F.col("label").alias("label"), F.lit(2).alias("grade")), F.struct(((F.col("label") + 1) % 10).alias("label"), F.lit(1).alias("grade")))).alias("g"))
-    return q.select("query_id", "g.*").join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").filter("query_id <> doc_id").select("query_id", "doc_id", "grade")
-
-
 @query(f"""with {_SCORES}, {_OWN}, {_GRADES},
 best as (select query_id, sum((pow(2, grade) - 1) / log2(r + 1)) as ideal from (select *, row_number() over (partition by query_id order by grade desc, doc_id) as r from grades) where r <= 10 group by 1),
 got as (select o.query_id, sum((pow(2, grade) - 1) / log2(rank + 1)) as got from own o join grades g on o.query_id = g.query_id and o.doc_id = g.doc_id where rank <= 10 group by 1)
 select b.query_id, round(coalesce(got / nullif(ideal, 0), 0), 9) as ndcg from best b left join got on b.query_id = got.query_id""")
 def ndcg_at_10(spark, folder):
     """Graded gain of the top ten, the next label counting as maybe."""
-    return metrics.ndcg(_own_ranks(spark, folder), _grades(spark, folder)).withColumn("ndcg", F.round("ndcg", 9))
+    return evaluation.ndcg(*_labelled(spark, folder)).withColumn("ndcg", F.round("ndcg", 9))
 
 
 @query("""
@@ -181,9 +168,9 @@ near as (select query_id, doc_id as other from scores where query_id <> doc_id a
 select n.query_id, n.other, round(len(list_intersect(a.docs, b.docs)) / 10.0, 9) as overlap from near n join tops a on n.query_id = a.query_id join tops b on n.other = b.query_id""")
 def overlap_pairs(spark, folder):
     """SO3, J12: how much each query's top ten shares with that of the query nearest to it."""
-    found = written(_scores(spark, folder), "scores")
-    tops = ranking.top_ranks(found, 10).groupBy("query_id").agg(F.collect_list("doc_id").alias("docs"))
-    near = ranking.top_ranks(found.filter("query_id <> doc_id and doc_id % 20 = 0"), 1).select("query_id", F.col("doc_id").alias("other"))
+    e = table(spark, folder, "embeddings")
+    tops = ranking.top_ranks(_scores(spark, folder, 10), 10).groupBy("query_id").agg(F.collect_list("doc_id").alias("docs"))
+    near = evaluation.own_tops(_queries(e), _documents(e).filter("doc_id % 20 = 0"), 1).select("query_id", F.col("doc_id").alias("other"))
     a, b = tops.select("query_id", F.col("docs").alias("a")), tops.select(F.col("query_id").alias("other"), F.col("docs").alias("b"))
     return near.join(a, "query_id").join(b, "other").select("query_id", "other", F.round(metrics.overlap(F.col("a"), F.col("b")), 9).alias("overlap"))
 
@@ -209,7 +196,8 @@ select label, doc_id, score from per qualify rank() over (partition by label ord
 def best_with_ties(spark, folder):
     """Of each label the documents nearest to any other query, ties kept."""
     e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    best = _scores(spark, folder).filter("query_id <> doc_id").groupBy("doc_id").agg(F.max("score").alias("score")).join(e, "doc_id")
+    all_ = table(spark, folder, "embeddings")
+    best = ranking.pooled_scores(_queries(all_), _documents(all_), others_only=True).select("doc_id", "score").join(e, "doc_id")
     return ranking.best_with_ties(best, ["label"], "score").select("label", "doc_id", "score")
 
 
