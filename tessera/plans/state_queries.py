@@ -16,7 +16,7 @@ from tessera.operators import reports, windows
 from tessera.plans.registry import query
 from tessera.session import latest, shared_dir, table, written
 from tessera.streaming import events as streams
-from tessera.streaming import sightings
+from tessera.streaming import nightly, sightings
 
 
 def _timed(spark, folder) -> DataFrame:
@@ -40,7 +40,7 @@ k as (select distinct key, user_id from l),
 s as (select key, bool_or(night = 0) as n0, bool_or(night = 1) as n1, bool_or(night = 2) as n2, min(night) as first_night, max(night) as last_night from l group by key)"""
 
 
-@query(f"""{_NIGHTS},
+_CLOSED = f"""{_NIGHTS},
 b as (select distinct night, user_id % 2 as source, user_id % 5 as board from l)
 select s.key, first_night, last_night,
   case when n2 then null
@@ -48,7 +48,10 @@ select s.key, first_night, last_night,
     when n0 then case when exists (select 1 from b join k on k.key = s.key where b.night = 1 and b.source = k.user_id % 2 and b.board = k.user_id % 5) then 1
       when exists (select 1 from b join k on k.key = s.key where b.night = 2 and b.source = k.user_id % 2 and b.board = k.user_id % 5) then 2 end
     else case when exists (select 1 from b join k on k.key = s.key where b.night = 2 and b.source = k.user_id % 2 and b.board = k.user_id % 5) then 2 end end::double as closed_night
-from s""")
+from s"""
+
+
+@query(_CLOSED)
 def sightings_state(spark, folder):
     """ST1, ST3, ST13, J8: three nights merged; boards that answered close what they no longer list, later listings reopen it."""
     state = sightings.empty(spark)
@@ -61,10 +64,13 @@ def sightings_state(spark, folder):
     return state.select("key", nights("first_seen").cast("int").alias("first_night"), nights("last_seen").cast("int").alias("last_night"), nights("closed_at").cast("double").alias("closed_night"))
 
 
-@query("""
+_OPEN = """
 with a as (select user_id, min(ts) as posted_at, max(ts) filter (where event_type <> 'error') as last_seen, max(ts) filter (where event_type = 'purchase') as closed from events group by 1),
 o as (select *, user_id % 2 = 0 as board from a)
-select user_id, case when board then not (closed is not null and closed >= timestamp '2024-01-25') else coalesce(last_seen >= timestamp '2024-02-05' - interval 7 day, false) or posted_at >= timestamp '2024-02-05' - interval 30 day end as open from o""")
+select user_id, case when board then not (closed is not null and closed >= timestamp '2024-01-25') else coalesce(last_seen >= timestamp '2024-02-05' - interval 7 day, false) or posted_at >= timestamp '2024-02-05' - interval 30 day end as open from o"""
+
+
+@query(_OPEN)
 def open_adverts(spark, folder):
     """F6, ST6, J4: which adverts still count as open on a day."""
     e = _timed(spark, folder)
@@ -75,6 +81,55 @@ def open_adverts(spark, folder):
     return sightings.is_open(adverts, state, F.lit("2024-02-05").cast("timestamp")).select("user_id", "open")
 
 
+def _as_events(rows: DataFrame) -> DataFrame:
+    """The columns of ``nightly.EVENTS``, null where ``rows`` lack them."""
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (f.split() for f in nightly.EVENTS.split(", "))])
+
+
+def _replayed(spark, name: str, nights: list[DataFrame], late: str) -> DataFrame:
+    """Each night is appended to what a stream reads, which then stops; the next one starts from its checkpoint. Returns the newest entries."""
+    name = f"{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tessera/nights-{name}"
+    for rows in nights:
+        rows.write.mode("append").parquet(folder)
+        nightly.run(nightly.sightings(spark.readStream.schema(nightly.EVENTS).parquet(folder), late), name)
+    return nightly.current(spark, name)
+
+
+@query(_CLOSED)
+def sightings_stream(spark, folder):
+    """ST1, ST3, ST13 as a stateful processor: the three nights of ``sightings_state`` replayed as a stream that is stopped and started again."""
+    nights, start = [], 86_400  # a stream's time begins at 0, and what is not after it counts as late
+    for number, rows in enumerate(_nights(spark, folder)):
+        at = F.timestamp_seconds(F.lit(start + number))
+        listed = rows.select("key", "source", "board").distinct().withColumns({"kind": F.lit("listed"), "at": at})
+        boards = listed.groupBy("source", "board").agg(F.count("*").alias("listed")).withColumns({"kind": F.lit("board"), "at": at, "ok": F.lit(True), "complete": F.lit(True)})
+        nights.append(_as_events(listed).unionByName(_as_events(boards)))
+    state = _replayed(spark, "sightings", nights, "2 days")
+    night = lambda c: F.col(c).cast("long") - start
+    return state.select("key", night("first_seen").cast("int").alias("first_night"), night("last_seen").cast("int").alias("last_night"), night("closed_at").cast("double").alias("closed_night"))
+
+
+@query(_OPEN)
+def open_stream(spark, folder):
+    """F6, ST6 as a stateful processor: adverts of searches close by timers as time goes on, those of boards when their board reports.
+
+    Events before and after the 15th are two runs of the stream; a last row moves its time to the day asked about.
+    """
+    e = _timed(spark, folder)
+    source = F.when(F.col("user_id") % 2 == 0, "greenhouse").otherwise("indeed")
+    key = F.concat_ws(":", source, "user_id")
+    own = [key.alias("key"), source.alias("source"), F.concat(F.lit("own "), "user_id").alias("board")]
+    first = e.groupBy("user_id").agg(F.min("at").alias("at")).select(*own, "at", F.col("at").alias("posted_at"), F.lit("posted").alias("kind"))
+    listed = e.filter("event_type <> 'error'").select(*own, "at", F.lit("elsewhere").alias("kind"))
+    taken = e.filter("event_type = 'purchase' and at >= '2024-01-25'").select(source.alias("source"), F.concat(F.lit("own "), "user_id").alias("board"), "at", F.lit("board").alias("kind"), F.lit(True).alias("ok"), F.lit(True).alias("complete"), F.lit(1).alias("listed"))
+    rows = _as_events(first).unionByName(_as_events(listed)).unionByName(_as_events(taken))
+    later = F.col("at") >= "2024-01-15"
+    tick = spark.range(1).select(F.lit("indeed").alias("source"), F.lit("board").alias("kind"), F.lit("none").alias("board"), F.lit("2024-02-05").cast("timestamp").alias("at"))
+    state = _replayed(spark, "open", [rows.filter(~later), rows.filter(later), _as_events(tick)], "0 seconds")
+    return state.select(F.substring_index("key", ":", -1).cast("bigint").alias("user_id"), "open")
+
+
 @query("""
 with r as (select user_id, count(*) as strikes, max(ts) as last from events where event_type = 'error' group by 1)
 select user_id, strikes, least(12 * pow(2, strikes - 1), 168) as hours, last + to_seconds((3600 * least(12 * pow(2, strikes - 1), 168))::bigint) as blocked_until from r""")
