@@ -3,9 +3,10 @@
 Texts longer than ``piece_chars`` are split first, only where a token of the pattern must end in any case:
 before a space or line end that follows something else, or between a letter and a digit. Encoding the pieces one after
 another gives the ids of the whole text, and no piece keeps the regex engine or a batch busy with megabytes.
-Decoding joins raw bytes; a text need not be cut at a character.
+A piece that stays long for want of such a place, say a megabyte of spaces, on which the library's own matching ends the
+process, is cut into the pattern's matches here, and the library encodes each match. Decoding joins raw bytes; a text need not be cut at a character.
 
-Defined cases: a null text counts as empty and has no ids; a run of text without such a place stays in one piece;
+Defined cases: a null text counts as empty and has no ids; a run of text without such a place is encoded match by match;
 equal rows are each returned; an empty table gives an empty result; other columns are ignored. Special strings
 inside texts are ordinary text.
 """
@@ -13,6 +14,7 @@ inside texts are ordinary text.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches
+from tessera.llm.pretoken import word_finder
 
 PIECE_CHARS = 50_000
 _SAFE = regex.compile(r"(?<=\S)(?=[ \n])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
@@ -49,10 +52,19 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(text: str | None, codec: tiktoken.Encoding) -> list[int]:
+@lru_cache(maxsize=2)
+def _matches(pattern: str):
+    return word_finder(pattern)
+
+
+def encode(text: str | None, codec: tiktoken.Encoding, size: int = PIECE_CHARS) -> list[int]:
     ids: list[int] = []
-    for piece in safe_pieces(text or ""):
-        ids += codec.encode_ordinary(piece)
+    for piece in safe_pieces(text or "", size):
+        if len(piece) <= 2 * size:
+            ids += codec.encode_ordinary(piece)
+        else:
+            for word in _matches(codec._pat_str)(piece):
+                ids += codec._encode_single_piece(word)
     return ids
 
 
@@ -106,14 +118,28 @@ def coded(docs: DataFrame, rank_file: str, pattern: str, *, text: str = "text",
     return docs.withColumn(to, both(F.col(text)))
 
 
+def digested(docs: DataFrame, rank_file: str, pattern: str, *, text: str = "text", to: str = "code") -> DataFrame:
+    """The rows with a struct of ``n_tokens``, and the hex digests of the decimal ids joined by spaces (``ids``) and of the bytes they decode to (``raw``).
+
+    A task holds one text's ids at a time; neither ids nor bytes leave it.
+    """
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("struct<n_tokens:bigint,ids:string,raw:string>")
+    def both(texts: pa.Array) -> pa.Array:
+        codec = encoding(rank_file, pattern)
+        rows = []
+        for t in texts:
+            ids = encode(t.as_py(), codec)
+            rows.append({"n_tokens": len(ids), "ids": hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), "raw": hashlib.sha256(codec.decode_bytes(ids)).hexdigest()})
+        return pa.array(rows, pa.struct([("n_tokens", pa.int64()), ("ids", pa.string()), ("raw", pa.string())]))
+
+    return docs.withColumn(to, both(F.col(text)))
+
+
 def op6_bpe_codec(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = coded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return out.select(
-        "doc_id",
-        F.size("code.ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("code.ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("code.raw", 256).alias("decoded_sha256"),
-    )
+    out = digested(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "code.n_tokens", F.col("code.ids").alias("ids_sha256"), F.col("code.raw").alias("decoded_sha256"))

@@ -85,12 +85,29 @@ def test_codec_rows(spark, awkward):
 
 
 def test_codec_query(spark, awkward, tmp_path):
+    """All rows: nulls, blanks, an emoji, special strings, repeated rows and long texts."""
     awkward.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
-    text = "a b c a b c a b c"
-    ids = bpe_codec.encoding(RANKS, PATTERN).encode_ordinary(text)
-    rows = bpe_codec.op6_bpe_codec(spark, str(tmp_path)).filter("doc_id = 6").collect()
-    want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
-    assert [(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows] == [want] * 2
+    codec = bpe_codec.encoding(RANKS, PATTERN)
+
+    def row(doc_id, text):
+        ids = codec.encode_ordinary(text)
+        return (doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+    want = [row(r.doc_id, r.text or "") for r in awkward.collect()]
+    assert sorted(map(tuple, bpe_codec.op6_bpe_codec(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \t", "a", "\u6f22", "7", "!", "\U0001f389"])
+def test_codec_on_long_runs(run):
+    """Two million characters without a safe place: ids as the library gives them match by match; of less, as it gives them whole."""
+    codec = bpe_codec.encoding(RANKS, PATTERN)
+    text = "x" + run * (2_000_000 // len(run)) + "y 1"
+    ids = bpe_codec.encode(text, codec)
+    assert codec.decode_bytes(ids) == text.encode()
+    if run != "\U0001f389":
+        assert ids == [i for word in word_finder(PATTERN)(text) for i in codec._encode_single_piece(word)]
+    some = "x" + run * 300 + "y 1" + run * 300
+    assert bpe_codec.encode(some, codec, 50) == codec.encode_ordinary(some)
 
 
 @pytest.mark.parametrize("bounds", [{}, {"part_ids": 3000}, {"part_docs": 2}])
