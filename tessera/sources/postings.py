@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,26 +79,44 @@ def is_dutch(country: Column, city: Column, location: Column, markers: tuple[str
     return named | F.exists(F.array(*[F.lit(m.lower()) for m in markers]), lambda m: F.contains(place, m))
 
 
+def postings_in(block: str | None) -> list[str]:
+    """The JobPostings in one JSON text, as JSON: at the top, and in lists and graphs of any depth; none if it is no JSON."""
+    try:
+        waiting = [json.loads(block or "", parse_constant=_no_number)]
+    except (ValueError, RecursionError):
+        return []
+    found = []
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, list):
+            waiting += reversed(node)
+        elif isinstance(node, dict):
+            kind = node.get("@type")
+            if "JobPosting" in (kind if isinstance(kind, list) else [kind]):
+                found.append(json.dumps(node, ensure_ascii=False))
+            elif "@graph" in node:
+                waiting.append(node["@graph"])
+    return found
+
+
+def _no_number(name: str) -> None:
+    raise ValueError(name)
+
+
 def json_ld(pages: DataFrame, page: str = "html") -> DataFrame:
-    """Every JobPosting of the pages' JSON-LD blocks, a row each; a block that is no JSON is skipped.
+    """Every JobPosting of the pages' JSON-LD blocks, a row each, in page order; a block that is no JSON is skipped.
 
-    Lists, ``@graph`` and lists of types are followed to two levels, which is how pages nest them.
+    Spark finds the blocks; only those that name a JobPosting reach the walk through lists and graphs, which has no limit of depth.
     """
     block = "(?is)<script[^>]*type\\s*=\\s*[\"']?application/ld\\+json[\"']?[^>]*>(.*?)</script>"
-    blocks = pages.select("*", F.explode(F.regexp_extract_all(page, F.lit(block), F.lit(1))).alias("__b"))
-    valid = blocks.filter(F.try_parse_json("__b").isNotNull()).withColumn("__b", F.trim("__b"))
-
-    def items(x: Column) -> Column:
-        return F.when(F.startswith(x, F.lit("[")), F.from_json(x, "array<string>")).otherwise(F.array(x))
 
-    def graph(x: Column) -> Column:
-        inner = F.get_json_object(x, "$['@graph']")
-        return F.when(inner.isNotNull(), items(inner)).otherwise(F.array(x))
+    @F.arrow_udf("array<string>")
+    def walk(blocks: pa.Array) -> pa.Array:
+        return pa.array((postings_in(b.as_py()) for b in blocks), pa.list_(pa.string()))
 
-    nodes = valid.withColumn("__n", F.explode(F.flatten(F.transform(items(F.col("__b")), graph))))
-    kind = F.get_json_object("__n", "$['@type']")
-    typed = nodes.filter((kind == "JobPosting") | F.array_contains(F.coalesce(F.from_json(kind, "array<string>"), F.array().cast("array<string>")), "JobPosting"))
-    return typed.withColumn("posting", F.from_json("__n", POSTING)).drop("__b", "__n")
+    blocks = pages.select("*", F.explode(F.regexp_extract_all(page, F.lit(block), F.lit(1))).alias("__b")).filter(F.contains("__b", F.lit("JobPosting")))
+    nodes = blocks.withColumn("__n", F.explode(walk("__b")))
+    return nodes.withColumn("posting", F.from_json("__n", POSTING)).drop("__b", "__n")
 
 
 def posting_adverts(postings: DataFrame, source: str, now: Column) -> DataFrame:
