@@ -33,11 +33,25 @@ def same_place(a: Column, b: Column) -> Column:
     return missing | (x == y) | F.when(F.length(x) <= F.length(y), start(x, y)).otherwise(start(y, x))
 
 
+def place_keys(city: Column) -> tuple[Column, Column]:
+    """D4 as equality: the keys that a city is found under and the keys that it asks for. Two places may be one if one's asked keys meet the other's.
+
+    All are found under ``*``, missing ones under ``?``, others under the whole (``=``) and under each start of up to three characters (``<``).
+    """
+    x = simplify(city)
+    missing = F.coalesce(city, F.lit("")) == ""
+    start = lambda mark, n, fits: F.when(fits, F.concat(F.lit(mark), F.substring(x, 1, n)))
+    whole = F.concat(F.lit("="), x)
+    found = F.array(F.lit("*"), whole, *[start("<", n, F.length(x) >= n) for n in range(4)])
+    asked = F.array(F.lit("?"), whole, *[start("=", n, F.length(x) > n) for n in range(4)], F.when(F.length(x) <= 3, F.concat(F.lit("<"), x)))
+    return F.when(missing, F.array(F.lit("*"), F.lit("?"))).otherwise(F.array_compact(found)), F.when(missing, F.array(F.lit("*"))).otherwise(F.array_compact(asked))
+
+
 def keep_first(rows: DataFrame) -> DataFrame:
     """``rows`` has ``position, label, content, city``; adds ``kept`` and ``twin``, the position of the kept copy.
 
     Rows equal in all three prints fold into their first. A round needs two numbers of each label, and of each content and
-    city: the first kept and the first not dropped position. No pairs are made; a content's cities meet as a list.
+    place key: the first kept and the first not dropped position. No pairs are made, and no list of a content's cities.
     """
     first = written(rows.groupBy("label", "content", "city").agg(F.min("position").alias("position")), "dedupe")
     many = lambda key: first.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(key).alias("__k"), F.lit(True).alias(f"many_{key}"))
@@ -49,34 +63,38 @@ def keep_first(rows: DataFrame) -> DataFrame:
     state = written(doubt.withColumn("kept", kept.cast("boolean")).drop("many_label", "many_content"), "state")
     while not state.filter("kept is null").isEmpty():
         state = written(_settled(state), "state")
-    fate = _with_groups(state).select(F.col("label").alias("__l"), F.col("content").alias("__c"), F.col("city").alias("__y"), F.col("position").alias("__first"), F.col("kept").alias("__kept"), F.when(~F.col("kept"), F.coalesce(F.when(F.col("lk") < F.col("position"), F.col("lk")), _earliest("ck"))).alias("__twin"))
+    dropped = _asked(state.filter("not kept"), state).select("position", F.coalesce("lk", "ck").alias("__twin"))
+    fate = state.join(dropped, "position", "left").select(F.col("label").alias("__l"), F.col("content").alias("__c"), F.col("city").alias("__y"), F.col("position").alias("__first"), F.col("kept").alias("__kept"), "__twin")
     on = rows.label.eqNullSafe(fate["__l"]) & rows.content.eqNullSafe(fate["__c"]) & rows.city.eqNullSafe(fate["__y"])
     is_first = F.col("position") == F.col("__first")
     twin = F.when(F.col("__kept"), F.when(~is_first, F.col("__first"))).otherwise(F.col("__twin"))
     return rows.join(fate, on).select(*rows.columns, (F.col("__kept") & is_first).alias("kept"), twin.alias("twin"))
 
 
-def _with_groups(state: DataFrame) -> DataFrame:
-    """Each row with its label's first kept and first undropped position, and those of its content by city."""
-    firsts = lambda k, u: (F.min(F.when(F.col("kept"), F.col("position"))).alias(k), F.min(F.when(F.coalesce("kept", F.lit(True)), F.col("position"))).alias(u))
-    labels = state.groupBy(F.col("label").alias("__label")).agg(*firsts("lk", "lu"))
-    places = state.groupBy("content", "city").agg(*firsts("ck", "cu")).groupBy(F.col("content").alias("__content")).agg(F.collect_list(F.struct("city", "ck", "cu")).alias("places"))
-    joined = state.join(labels, state.label.eqNullSafe(labels["__label"]))
-    return joined.join(places, joined.content.eqNullSafe(places["__content"])).drop("__label", "__content")
+def _keys(places: Column) -> Column:
+    """A row's label and its content at places, as one list of keys; nulls are like nulls."""
+    label = F.coalesce(F.concat(F.lit("L:"), "label"), F.lit("L"))
+    content = F.coalesce(F.concat(F.lit("C:"), "content"), F.lit("C"))
+    return F.concat(F.array(label), F.transform(places, lambda p: F.concat(content, F.lit("|"), p)))
 
 
-def _earliest(which: str) -> Column:
-    """The first position of that kind before the row at a place that may be the row's."""
-    fits = lambda p: (p[which] < F.col("position")) & same_place(p["city"], F.col("city"))
-    return F.array_min(F.transform(F.filter("places", fits), lambda p: p[which]))
+def _asked(asking: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows with the first kept and first undropped position before them of their label (``lk, lu``) and of their content where places fit (``ck, cu``)."""
+    found, asked = map(_keys, place_keys(F.col("city")))
+    firsts = [F.min(F.when(F.col("kept"), F.col("position"))).alias("k"), F.min(F.when(F.coalesce("kept", F.lit(True)), F.col("position"))).alias("u")]
+    groups = state.select(F.explode(found).alias("key"), "kept", "position").groupBy("key").agg(*firsts)
+    met = asking.select("*", F.explode(asked).alias("key")).join(groups, "key", "left")
+    of_label = F.startswith("key", F.lit("L"))
+    before = lambda kind, which, c: F.min(F.when(which & (F.col(c) < F.col("position")), F.col(c))).alias(kind + c)
+    return met.groupBy("label", "content", "city", "position", "kept").agg(*[before(kind, which, c) for kind, which in (("l", of_label), ("c", ~of_label)) for c in "ku"])
 
 
 def _settled(state: DataFrame) -> DataFrame:
-    grouped = _with_groups(state)
-    dropped = (F.col("lk") < F.col("position")) | _earliest("ck").isNotNull()
-    free = (F.col("lu") >= F.col("position")) & _earliest("cu").isNull()
-    now = F.coalesce(F.col("kept"), F.when(F.coalesce(dropped, F.lit(False)), False).when(free, True))
-    return grouped.withColumn("kept", now).select(state.columns)
+    """A round: only undecided rows ask."""
+    dropped = F.coalesce("lk", "ck").isNotNull()
+    free = F.coalesce("lu", "cu").isNull()
+    now = _asked(state.filter("kept is null"), state).withColumn("kept", F.when(dropped, False).when(free, True)).select(state.columns)
+    return state.filter("kept is not null").unionByName(now)
 
 
 def added(stored: DataFrame, batch: DataFrame) -> DataFrame:

@@ -65,11 +65,14 @@ def merged_terms(terms: DataFrame) -> DataFrame:
 
     A host may fold further, so hosts are followed to the end: a term's host is the shortest strict subset among the terms,
     and folding runs from longer to shorter, which makes the end of the chain independent of the order of equal lengths.
-    Terms meet on shared tokens. The table has one row a term, however many gaps there are.
+    A host is filed under its rarest token only, which every term that contains it has too; so terms that share a common token
+    do not meet on it. The table has one row a term, however many gaps there are.
     """
     named = terms.select("term").distinct().withColumn("set", F.array_distinct(F.split("term", " ")))
-    spread = named.select("term", "set", F.explode("set").alias("token"))
-    other = spread.select(F.col("term").alias("host"), F.col("set").alias("host_set"), "token")
+    spread = written(named.select("term", "set", F.explode("set").alias("token")), "tokens")
+    often = spread.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct("n", "token"))["token"].alias("token")
+    other = spread.join(often, "token").groupBy(F.col("term").alias("host"), F.col("set").alias("host_set")).agg(rarest)
     pairs = spread.join(other, "token").filter((F.size("host_set") < F.size("set")) & (F.size(F.array_except("host_set", "set")) == 0)).select("term", "host").distinct()
     next_ = latest(pairs, ["term"], [F.length("host"), F.col("host")])
     step = written(named.join(next_, "term", "left").select("term", F.coalesce("host", "term").alias("host")), "hosts")

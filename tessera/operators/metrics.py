@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import comparable
 from tessera.operators.windows import discount
+from tessera.session import running_sum, written
 
 
 def retrieval(ranking: DataFrame, relevant: DataFrame, k: int = 3) -> DataFrame:
@@ -57,21 +58,22 @@ def labelled_share(ranking: DataFrame, judged: DataFrame, k: int = 10) -> DataFr
 def concordance(scored: DataFrame, key: str) -> DataFrame:
     """Of the pairs with different grades the share that the scores order alike, equal scores a half; null without pairs.
 
-    Rows fold into counts of (score, grade), and pairs are counted from running sums of each grade by score, so a key with
-    n rows needs no n * n pairs. Grades are few by nature; scores may be as many as rows.
+    Rows fold into one of each score with its counts by grade, and pairs are counted from running sums of each grade by score, over
+    many tasks however many scores a key has (``session.running_sum``). Grades are few by nature: there is a pass for each.
     """
-    cells = scored.groupBy(key, "grade", "score").agg(F.count("*").alias("n"))
-    grades = cells.select(key, F.col("grade").alias("g")).distinct()
-    points = cells.select(key, "score").distinct()
-    grid = points.join(grades, key).join(cells.withColumnRenamed("grade", "g"), [key, "score", "g"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    w = Window.partitionBy(key, "g").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = grid.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    listed = below.groupBy(key, "score").agg(F.collect_list(F.struct("g", "n", "below")).alias("x"))
-    sum_ = lambda body: F.aggregate("x", F.lit(0.0), lambda s, hi: s + hi["n"] * F.aggregate("x", F.lit(0.0), lambda t, lo: t + F.when(lo["g"] < hi["g"], body(lo)).otherwise(F.lit(0.0))))
-    right = sum_(lambda lo: lo["below"] + lo["n"] * 0.5)
+    cells = written(scored.groupBy(key, "grade", "score").agg(F.count("*").alias("n")), "cells")
+    grades = [r.grade for r in cells.select("grade").distinct().orderBy("grade").collect()]
+    rows = cells.groupBy(key, "score").agg(*[F.coalesce(F.sum(F.when(F.col("grade").eqNullSafe(F.lit(g)), F.col("n"))), F.lit(0)).alias(f"n{i}") for i, g in enumerate(grades)])
+    right = F.lit(0.0)
+    for low in range(len(grades) - 1):  # pairs of a row of a higher grade with those of this one at smaller or equal scores
+        rows = running_sum(rows, [key], [F.col("score")], f"n{low}", f"below{low}")
+        higher = F.lit(0)
+        for high in range(low + 1, len(grades)):
+            higher = higher + F.col(f"n{high}")
+        right = right + higher * (F.col(f"below{low}") + F.col(f"n{low}") * 0.5)
     totals = cells.groupBy(key, "grade").agg(F.sum("n").alias("n")).groupBy(key).agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
     pairs = totals.select(key, ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"))
-    got = listed.groupBy(key).agg(F.sum(right).alias("right"))
+    got = rows.groupBy(key).agg(F.sum(right).alias("right"))
     return got.join(pairs, key).select(key, (F.col("right") / F.nullif(F.col("pairs"), F.lit(0.0))).alias("concordance"), F.col("pairs").cast("bigint").alias("pairs"))
 
 

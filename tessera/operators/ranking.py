@@ -45,21 +45,27 @@ class Block:
         return cls(pdf[key].to_numpy(), _unit(np.array(pdf["vector"].tolist(), np.float64)), {c: pdf[c].to_numpy() for c in pdf.columns if c not in (key, "vector")})
 
 
-def meet(queries: DataFrame, documents: DataFrame, work: Callable[[Block, Block], pd.DataFrame], schema: str, whole: str = "query_id", finish=None) -> DataFrame:
+def few_queries(queries: DataFrame) -> Block | None:
+    """The queries by id, if they are ``SMALL`` at most."""
+    few = queries.limit(SMALL + 1).toPandas()
+    return None if len(few) > SMALL else Block.of(few.sort_values("query_id", kind="stable"), "query_id")
+
+
+def meet(queries: DataFrame | Block, documents: DataFrame, work: Callable[[Block, Block], pd.DataFrame], schema: str, whole: str = "query_id", finish=None) -> DataFrame:
     """What ``work(some queries, some documents)`` gives, for every query and document together once.
 
-    ``queries``: ``query_id, vector`` and more; ``documents``: ``doc_id, vector`` and more. Up to ``SMALL`` query vectors are read by the driver
+    ``queries``: ``query_id, vector`` and more, or what ``few_queries`` read of them; ``documents``: ``doc_id, vector`` and more. Up to ``SMALL`` query vectors are read by the driver
     and broadcast as one block. More than those are written as blocks, as documents are then, and Spark ships blocks of queries to blocks
     of documents; rows with one value of ``whole`` share a block of queries. With ``finish``, ``work`` returns arrays of one
     shape, which a task adds up if there is one block of queries, and ``finish(queries, sum)`` makes rows of the sum.
     """
-    few = queries.limit(SMALL + 1).toPandas()
-    one = len(few) <= SMALL
+    few = few_queries(queries) if isinstance(queries, DataFrame) else queries
+    one = few is not None
     if one:
-        asked = queries.sparkSession.sparkContext.broadcast(Block.of(few.sort_values("query_id", kind="stable"), "query_id") if len(few) else None)
+        asked = documents.sparkSession.sparkContext.broadcast(few)
 
         def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Block, Block]]:
-            if asked.value is not None:
+            if len(asked.value.ids):
                 for pdf in batches:
                     for at in range(0, len(pdf), BLOCK):
                         yield asked.value, Block.of(pdf.iloc[at : at + BLOCK], "doc_id")
@@ -117,6 +123,8 @@ def _blocks(vectors: DataFrame, key: str, whole: str | None = None) -> DataFrame
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
+    if not len(matrix):
+        return np.empty((0, 0))
     lengths = np.sqrt((matrix**2).sum(1, keepdims=True))
     if (lengths == 0).any():
         raise ValueError("zero vector")
@@ -184,10 +192,10 @@ def owner_scores(queries: DataFrame, documents: DataFrame) -> DataFrame:
     return found.groupBy("query_id", "owner").agg(F.max("score").alias("score"))
 
 
-def list_scores(queries: DataFrame, documents: DataFrame, top: int | None = None) -> DataFrame:
+def list_scores(queries: DataFrame, documents: DataFrame, top: int | None = None, few: Block | None = None) -> DataFrame:
     """``list_no, doc_id, score``: each document's best score over the queries of a list (V15), or of each list each block's ``top``.
 
-    ``queries``: query_id, list_no, vector.
+    ``queries``: query_id, list_no, vector; ``few``: these rows, if they were read before.
     """
 
     def work(q: Block, d: Block) -> pd.DataFrame:
@@ -199,7 +207,7 @@ def list_scores(queries: DataFrame, documents: DataFrame, top: int | None = None
         return pd.DataFrame({"list_no": np.tile(numbers, len(d.ids)), "doc_id": np.repeat(d.ids, len(numbers)), "score": got.ravel()})
 
     schema = f"list_no {_type(queries, 'list_no')}, doc_id {_type(documents, 'doc_id')}, score double"
-    return meet(queries.select("query_id", "list_no", "vector"), documents.select("doc_id", "vector"), work, schema, "list_no")
+    return meet(queries.select("query_id", "list_no", "vector") if few is None else few, documents.select("doc_id", "vector"), work, schema, "list_no")
 
 
 def pooled_lists(q: Block, d: Block) -> tuple[np.ndarray, np.ndarray]:

@@ -63,6 +63,23 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "ran
     return rows.join(firsts, on).select(*[rows[c] for c in df.columns], (F.col("__first") + F.col("__rn")).cast("bigint").alias(name))
 
 
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the earlier rows of a row's keys, whatever a key's size: ``ranked`` with sums in place of counts.
+
+    A row's sum is that of its partition so far plus the totals of its key in the partitions before. The order has to tell all rows of a key apart.
+    """
+    parts = written(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "summed")
+    totals = parts.groupBy(*keys, "__part").agg(F.sum(value).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = totals.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    inside = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = parts.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    on = rows["__part"] == firsts["__p"]
+    for k in keys:
+        on = on & rows[k].eqNullSafe(firsts[f"__{k}"])
+    return rows.join(firsts, on).select(*[rows[c] for c in df.columns], (F.col("__first") + F.col("__inside")).alias(name))
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row of each key: the first by ``order`` (W1). Spark keeps one row a key and task before the shuffle."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")
