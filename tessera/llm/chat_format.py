@@ -26,6 +26,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
 
+from tessera.llm.common import let, running, spans_of
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -170,15 +172,17 @@ def unescape(text: Column) -> Column:
 def formatted(canonical: DataFrame, *, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Adds ``formatted`` and ``loss``: the code-point spans of the texts of the roles in ``learn``."""
     parts = canonical.withColumn("__parts", F.transform("turns", lambda t: F.struct(F.concat(F.lit("<turn:"), escape_role(t["role"]), F.lit(">")).alias("head"), escape(t["text"]).alias("body"), t["role"].isin(*learn).alias("learn"))))
-    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    lengths = F.transform("__parts", lambda p: (F.length(p["head"]) + F.length(p["body"]) + len(END)).cast("bigint"))
+
+    def spans_at(starts: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            start = F.get(starts, i) + F.length(p["head"])
+            return F.struct(start.alias("start"), (start + F.length(p["body"])).alias("stop"), p["learn"].alias("learn"))
 
-    def step(acc, p):
-        start = acc["at"] + F.length(p["head"])
-        stop = start + F.length(p["body"])
-        span = F.array(F.struct(start.alias("start"), stop.alias("stop")))
-        return F.struct((stop + len(END)).alias("at"), F.when(p["learn"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        learned = F.filter(F.transform("__parts", one), lambda s: s["learn"])
+        return F.transform(learned, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
 
-    spans = F.aggregate("__parts", F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans")), step)["spans"]
+    spans = let(running(lengths, lambda at, n: at + n, F.lit(0).cast("bigint")), spans_at)
     text = F.array_join(F.transform("__parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
     return parts.withColumns({"formatted": text, "loss": spans}).drop("__parts")
 
@@ -191,7 +195,7 @@ def read_back(text: Column) -> Column:
 
 def loss_text(text: Column, loss: Column) -> Column:
     """The unescaped text under the loss mask."""
-    cut = F.transform(loss, lambda s: unescape(F.substring(text, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))))
+    cut = F.transform(spans_of(text, loss), unescape)
     return F.array_join(cut, "")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import shared_dir, written
 
-__all__ = ["SPACES", "SPACE_CLASS", "let", "new_path", "running", "shared_dir", "small_batches", "words_of", "written"]
+__all__ = ["SPACES", "SPACE_CLASS", "let", "new_path", "running", "spans_of", "shared_dir", "small_batches", "words_of", "written"]
 
 #: Characters that separate words: \x20 and \x09-\x0D, as Spark and Java regex ranges.
 SPACES = " \t\n\x0b\f\r"
@@ -54,3 +54,18 @@ def running(values: Column, combine, zero: Column) -> Column:
         return F.flatten(F.aggregate(starts, begin, chunk)["out"])
 
     return let(let(values, lambda v: F.struct(v.alias("values"), F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int")).alias("step"))), scan)
+
+
+def spans_of(text: Column, spans: Column, block: int = 1024) -> Column:
+    """The texts of spans ``start, stop`` (code points, end exclusive). A text is cut into blocks once, so that a span far behind costs no more than one in front."""
+
+    def cut(blocks: Column) -> Column:
+        def one(s: Column) -> Column:
+            first = F.floor(s["start"] / block).cast("int")
+            several = F.floor((s["stop"] - 1) / block).cast("int") - first + 1
+            near = F.array_join(F.slice(blocks, first + 1, several), "")
+            return F.when(s["stop"] > s["start"], F.substring(near, (s["start"] - first * block + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))).otherwise(F.lit(""))
+
+        return F.transform(spans, one)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), cut)

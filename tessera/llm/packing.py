@@ -4,8 +4,8 @@ Pieces of one length are alike, so the search works on the histogram of lengths,
 corpus. Best-fit decreasing gives the first incumbent. Bin completion then takes the longest piece that is left,
 enumerates the undominated fillings of the room beside it, least waste first, applies one as often as the counts allow (or half as
 often, and so on down to once), completes the rest by best fit, and if that is not good enough goes on with the rest; a branch ends
-when its waste rules out the number of sequences asked for. The search stops at the lower bound, or after ``most_steps`` steps, its
-only bound, with the best packing so far; ``Packing.proved`` says whether fewer are ruled out.
+when its waste, or a lower bound of what is left, rules out the number of sequences asked for. The search stops at the lower bound, or
+after ``most_steps`` steps, its only bound, with the best packing so far; ``Packing.proved`` says whether fewer are ruled out.
 
 Pieces get their places without a global sort: a piece's rank among those of its length comes from its rank in a small
 salted group plus the prefix sum of the groups before; runs of ranks map to sequences and offsets.
@@ -34,6 +34,8 @@ from tessera.llm.word_encoder import word_encoder
 
 log = logging.getLogger(__name__)
 SIZE = 1024
+#: Steps of a search.
+MOST_STEPS = 600_000
 #: A packing: (times used, lengths in order) for each filling.
 Plan = list[tuple[int, tuple[int, ...]]]
 
@@ -79,6 +81,32 @@ def lower_bound(counts: dict[int, int], size: int = SIZE, most_parts: int = 12)
     return best
 
 
+class RestBound:
+    """``lower_bound`` for what is left at a node of the search: of its functions those that bound the whole histogram best, as one matrix."""
+
+    def __init__(self, counts: dict[int, int], size: int, most_parts: int = 12, most: int = 512):
+        self.lengths = np.array(sorted(counts), np.int64)
+        self.at = {int(n): i for i, n in enumerate(self.lengths)}
+        c, n, rows, units = np.array([counts[int(x)] for x in self.lengths], np.int64), self.lengths, [], []
+        for least in range(size // 2 + 1):
+            v = np.where(n > size - least, size, np.where(n < least, 0, n))
+            for k in range(1, most_parts + 1):
+                rows.append(np.where((k + 1) * v % size == 0, k * v, (k + 1) * v // size * size))
+                units.append(k * size)
+            rows.append(v)
+            units.append(size)
+        table, units = np.stack(rows), np.array(units, np.int64)
+        _, first = np.unique(table / units[:, None], axis=0, return_index=True)
+        best = first[np.argsort(-(table[first] @ c) / units[first], kind="stable")[:most]]
+        self.table, self.units = table[best], units[best]
+
+    def __call__(self, left: dict[int, int]) -> int:
+        c = np.zeros(len(self.lengths), np.int64)
+        for n, k in left.items():
+            c[self.at[n]] = k
+        return int((-(-(self.table @ c) // self.units)).max())
+
+
 def _undominated(filling: list[int], room: int, spare: int) -> bool:
     """Whether no unused piece can take the place of pieces that it covers. ``spare``: a bit for each length with unused pieces."""
     def within(bits: int, width: int) -> int:
@@ -162,7 +190,7 @@ def _state(counts: dict[int, int]) -> bytes:
     return hashlib.blake2b(flat.tobytes(), digest_size=16).digest()
 
 
-def _search(counts: dict[int, int], size: int, most_bins: int, nodes: int) -> tuple[Plan | None, int]:
+def _search(counts: dict[int, int], size: int, most_bins: int, nodes: float, bound: RestBound) -> tuple[Plan | None, float]:
     """A packing of at most ``most_bins``, or None, and the nodes that are left; the search was complete if there are some."""
     seen: set[bytes] = set()
     path: Plan = []
@@ -185,7 +213,7 @@ def _search(counts: dict[int, int], size: int, most_bins: int, nodes: int) -> tu
         if used + sum(t for t, _ in ended) <= most_bins:
             return [*path, *ended], iter(())
         key = _state(left)  # what is left tells what was packed, so equal states differ in nothing but their waste, and less comes first
-        if (key, slack) in seen or _hopeless(left, size, slack):
+        if (key, slack) in seen or used + bound(left) > most_bins or _hopeless(left, size, slack):
             return None, iter(())
         seen.add((key, slack))
         return None, branches(left, slack)
@@ -213,9 +241,11 @@ def _search(counts: dict[int, int], size: int, most_bins: int, nodes: int) -> tu
     return done, nodes
 
 
-def bin_completion(counts: dict[int, int], size: int = SIZE, most_steps: int = 300_000) -> Packing:
+def bin_completion(counts: dict[int, int], size: int = SIZE, most_steps: int | None = MOST_STEPS) -> Packing:
     """As few sequences as the search finds in ``most_steps``, its only bound, and how few there must be at least.
 
+    With ``most_steps=None`` the search goes on until the number is proved to be the least, however long that takes.
+
     A node takes as many steps as there are different lengths. Best-fit decreasing is the first incumbent. A number of sequences between the lower bound and the incumbent is asked for: first the
     lower bound itself, then halfway. A complete search without result raises the bound, a result becomes the incumbent.
     """
@@ -223,17 +253,18 @@ def bin_completion(counts: dict[int, int], size: int = SIZE, most_steps: int = 3
     plan = best_fit(counts, size)
     bins, least = sum(t for t, _ in plan), lower_bound(counts, size)
     tried = least  # fewer than these are ruled out, or were given up
-    nodes = max(2, most_steps // max(1, len(counts)))
-    ask, share = least, nodes // 2
+    nodes = math.inf if most_steps is None else max(2, most_steps // max(1, len(counts)))
+    bound = RestBound(counts, size) if tried < bins else None
+    ask, share = least, nodes // 2 if most_steps is not None else nodes
     while tried < bins:
-        found, left = _search(counts, size, ask, share)
+        found, left = _search(counts, size, ask, share, bound)
         if found is not None:
             plan, bins = found, sum(t for t, _ in found)
         else:
             if left > 0:
                 least = max(least, ask + 1)
             tried = ask + 1
-        ask, share = tried + (bins - 1 - tried) // 2, max(1, nodes // 2 // max(1, (bins - tried).bit_length()))
+        ask, share = tried + (bins - 1 - tried) // 2, nodes if most_steps is None else max(1, nodes // 2 // max(1, (bins - tried).bit_length()))
     return Packing(plan, bins, least)
 
 
@@ -266,7 +297,8 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str | None, end_id: int, *,
 def pack(cut: DataFrame, size: int = SIZE, **search) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces with ``doc_id, piece, length``. The table is read several times: give a written one.
 
-    Whether the number of sequences is proved to be the least is logged."""
+    Every row also says how many ``sequences`` there are and how few there must be at least (``least_sequences``); if these are equal, the number
+    is proved. ``most_steps=None`` searches until it is."""
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``size`` rows
     packing = bin_completion(counts, size, **search)
     log.info("%d sequences, at least %d needed", packing.bins, packing.least)
@@ -297,7 +329,8 @@ def pack(cut: DataFrame, size: int = SIZE, **search) -> DataFrame:
     inside = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece")
     rows = salted.withColumn("__rn", F.row_number().over(inside) - 1).join(firsts, (F.col("length") == F.col("__length")) & (F.col("__salt") == F.col("__group")))
     placed = rows.withColumn("__at", place("length", F.col("__first") + F.col("__rn")))
-    return placed.select(*cut.columns, "__at.sequence_id", "__at.offset")
+    said = [F.lit(n).cast("bigint").alias(name) for name, n in (("sequences", packing.bins), ("least_sequences", packing.least))]
+    return placed.select(*cut.columns, "__at.sequence_id", "__at.offset", *said)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

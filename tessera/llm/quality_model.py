@@ -7,8 +7,8 @@ factor, which is computed once and sent with the model. Only sums are gathered f
 their mean: one row of moments for each class and place, whatever the number of labelled rows.
 
 Defined cases: a null text counts as empty and gets the score of an empty text; equal rows are each scored; a null
-doc_id is scored and never learned from; labels other than 0 and 1 or without a doc_id are left out; several labels of
-one document all count; with no labels of a class the score is the share of label 1 (0.5 with none at all); an empty
+doc_id is scored and never learned from; labels other than 0 and 1 or without a doc_id are left out; of several labels of
+one document the least counts; with no labels of a class the score is the share of label 1 (0.5 with none at all); an empty
 table gives an empty result; other columns are ignored.
 """
 

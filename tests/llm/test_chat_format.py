@@ -52,3 +52,18 @@ def test_typed_tables(spark):
     assert c.canonical_rows(rows.limit(0)).count() == 0
     typed = spark.createDataFrame([([("user", "x")],)], "messages array<struct<role:string,content:string>>")
     assert [tuple(t) for t in c.canonical_rows(typed).first().turns] == [("user", "x")]
+
+
+def test_many_turns_are_linear(spark):
+    """A hundred thousand turns in one conversation: spans and loss text equal a plain loop's."""
+    import time
+
+    turns = [("user" if i % 2 == 0 else "assistant", f"\\ </turn> \U0001f389 {i}") for i in range(100_000)]
+    frame = spark.createDataFrame([(1, turns), (2, []), (3, [("assistant", "")])], "i int, turns array<struct<role:string,text:string>>")
+    began = time.perf_counter()
+    out = c.formatted(frame)
+    got = {r.i: r for r in out.select("i", "loss", "formatted", c.loss_text(F.col("formatted"), F.col("loss")).alias("learned")).collect()}
+    assert time.perf_counter() - began < 20
+    assert got[1].learned == "".join(text for role, text in turns if role == "assistant")
+    assert len(got[1].loss) == 50_000 and all(got[1].formatted[a:b].startswith("\\b \\l/turn> \U0001f389 ") for a, b in got[1].loss[-3:])
+    assert (got[2].learned, got[2].formatted, got[3].learned, [tuple(x) for x in got[3].loss]) == ("", "", "", [(16, 16)])

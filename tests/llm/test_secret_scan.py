@@ -89,3 +89,26 @@ def test_query_digest(spark, tmp_path):
 
 def test_empty(spark, awkward):
     assert s.scan_secrets(awkward.limit(0)).count() == 0
+
+
+def test_redaction_of_many_spans_is_linear(spark):
+    """A hundred thousand secrets in a row of text, equal to a plain loop; overlaps and neighbours, spans at both ends, characters beyond the plane."""
+    import time
+
+    def plain(text, spans):
+        at, out = 0, ""
+        for start, stop in spans:
+            if start >= at:
+                out += text[at:start] + "[secret]"
+            at = max(at, stop)
+        return out + text[at:]
+
+    many = "\U0001f389 a=1 secretx " * 100_000
+    rows = [
+        (1, many, [(i * 15 + 6, i * 15 + 12) for i in range(100_000)]), (2, "\U0001f389bcdef", [(0, 2), (1, 3), (3, 4), (6, 6)]), (3, "abc", [(0, 3)]), (4, "abc", []), (5, None, []), (6, "abcdefgh", [(0, 8), (2, 3), (4, 6)]), (7, "x" * 3000, [(1000, 1030), (1024, 2048), (2048, 2049)]),
+    ]
+    frame = spark.createDataFrame(rows, "i int, text string, secrets array<struct<start:int,stop:int>>")
+    began = time.perf_counter()
+    got = {r.i: r.x for r in frame.select("i", s.redact(F.col("text"), F.col("secrets")).alias("x")).collect()}
+    assert time.perf_counter() - began < 20
+    assert got == {i: None if text is None else plain(text, spans) for i, text, spans in rows}
