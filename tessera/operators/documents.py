@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,21 +63,6 @@ def query_parts(cvs: DataFrame, style: str) -> DataFrame:
     return cvs.select("cv", F.lit(0).alias("part"), F.lit(style).alias("label"), text.alias("text"))
 
 
-def fake_vectors(texts: Column, dims: int = 64) -> Column:
-    """A boundary for tests: unit vectors from a seeded hash of each text, in place of an embedding model."""
-
-    @F.pandas_udf("array<float>")
-    def made(values: pd.Series) -> pd.Series:
-        def one(text: str | None) -> np.ndarray:
-            seed = int.from_bytes(hashlib.sha256((text or "").encode()).digest()[:8], "big")
-            v = np.random.default_rng(seed).standard_normal(dims)
-            return (v / np.linalg.norm(v)).astype(np.float32)
-
-        return values.map(one)
-
-    return made(texts)
-
-
 def cache_split(docs: DataFrame, cache: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
     """Documents with their ``vector_key`` and the vector the cache has for it, and the different texts that it misses (``key, document``)."""
     keyed = docs.withColumn("vector_key", vector_key(F.lit(model), F.col("document")))
@@ -87,8 +70,8 @@ def cache_split(docs: DataFrame, cache: DataFrame, model: str) -> tuple[DataFram
     return keyed.join(cache.select(F.col("key").alias("vector_key"), "vector"), "vector_key"), missing
 
 
-def with_vectors(docs: DataFrame, cache: DataFrame, model: str, embed=fake_vectors) -> tuple[DataFrame, DataFrame]:
-    """Documents with their vectors, and the cache entries that were missing; each different text is asked for once. ``cache``: key, vector."""
+def with_vectors(docs: DataFrame, cache: DataFrame, model: str, embed: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """Documents with their vectors, and the cache entries that were missing; each different text is asked for once. ``cache``: key, vector; ``embed``: vectors of texts by a model."""
     _, missing = cache_split(docs, cache, model)
     made = missing.select("key", embed(F.col("document")).alias("vector"))
     return cache_split(docs, cache.select("key", "vector").unionByName(made), model)[0], made

@@ -139,7 +139,7 @@ def per_cv_rows(ranking: DataFrame, grades: DataFrame, judged: DataFrame, k: int
     """
     both = F.struct("variant", F.col("query_id").alias("cv")).alias("query_id")
     variants = ranking.select("variant").distinct()
-    spread = lambda rows, *more: rows.crossJoin(F.broadcast(variants)).select(both, "doc_id", *more)  # noqa: E731  a few variants
+    spread = lambda rows, *more: rows.crossJoin(variants).select(both, "doc_id", *more)  # noqa: E731  variants are few; Spark broadcasts them if they are small
     order, graded = ranking.select(both, "doc_id", "rank"), spread(grades, "grade")
     found = retrieval(order, graded.filter("grade = 2").select("query_id", "doc_id"), k)
     rows = ndcg(order, graded, k).join(found, "query_id", "left").join(labelled_share(order, spread(judged), k), "query_id", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arith
 from tessera.functions import text as t
-from tessera.operators import gaps, metrics, preferences, reports, windows
+from tessera.operators import gaps, metrics, preferences, reports, views, windows
 from tessera.plans.registry import query
 from tessera.session import latest, table, written
 from tessera.sources import sinks
@@ -221,13 +221,15 @@ def list_scores(spark, folder):
 
 
 @query("""
-with d as (select distinct substr(text, 1, 12) as query from documents), e as (select substr(text, 1, 12) as query, min(item_id) as labelled from benchmark group by 1)
+with d as (select distinct md5(text) as query from documents where doc_id % 3 <> 0),
+e as (select query, min(id) as labelled from (select md5(text) as query, item_id as id from benchmark union all select md5(text), doc_id from documents where doc_id % 2 = 0) group by 1)
 select coalesce(d.query, e.query) as query, labelled::double as labelled, d.query is null as dropped from d full join e on d.query = e.query""")
 def merge_draft(spark, folder):
-    """Draft queries with the labels of those that exist, and those that the draft drops."""
-    draft = table(spark, folder, "documents").select(F.substring("text", 1, 12).alias("query")).distinct().withColumn("relevant", F.lit(None).cast("bigint"))
-    existing = table(spark, folder, "benchmark").groupBy(F.substring("text", 1, 12).alias("query")).agg(F.min("item_id").alias("relevant"))
-    kept, dropped = metrics.merge_draft(draft, existing)
+    """Draft queries, by the digest of the whole text, with the labels of those that exist, and those that the draft drops."""
+    docs, digest = table(spark, folder, "documents"), F.md5("text").alias("query")
+    draft = docs.filter("doc_id % 3 <> 0").select(digest).distinct().withColumn("relevant", F.lit(None).cast("bigint"))
+    existing = table(spark, folder, "benchmark").select(digest, F.col("item_id").alias("id")).unionByName(docs.filter("doc_id % 2 = 0").select(digest, F.col("doc_id").alias("id")))
+    kept, dropped = metrics.merge_draft(draft, existing.groupBy("query").agg(F.min("id").alias("relevant")))
     return kept.select("query", F.col("relevant").cast("double").alias("labelled"), F.lit(False).alias("dropped")).unionByName(dropped.select("query", F.col("relevant").cast("double").alias("labelled"), F.lit(True).alias("dropped")))
 
 
@@ -298,3 +300,38 @@ def nations_sorted(spark, folder):
     counts = s.groupBy("s_nationkey").agg(F.count("*").alias("s_count"))
     joined = n.join(r, n.n_regionkey == r.r_regionkey).join(counts, n.n_nationkey == counts.s_nationkey)
     return joined.select("n_name", "r_name", F.lower("n_name").alias("folded"), "s_count").orderBy(F.lower("n_name"), "n_name")
+
+
+@query("""
+with s as (select user_id % 12 as source, floor(value / 10)::bigint as listed, case when event_type = 'view' then event_id end as stored from events)
+select coalesce(sum(listed), 0)::bigint as listed, coalesce(sum(stored), 0)::bigint as stored, 0::bigint as kept from s""")
+def search_totals(spark, folder):
+    """A11, JS3: counters of all searches summed; one that no search has counts 0."""
+    rows = table(spark, folder, "events").select(F.floor(F.col("value") / 10).cast("bigint").alias("listed"), F.when(F.col("event_type") == "view", F.col("event_id")).alias("stored"), F.lit(None).cast("bigint").alias("kept"))
+    return reports.totals(rows, ("listed", "stored", "kept"))
+
+
+@query("""
+with f as (select distinct 'B' || l_suppkey % 40 || '-' || l_returnflag as board from lineitem), k as (select distinct lower('b' || s_suppkey || '-r') as board from supplier)
+select board from f where lower(board) not in (select board from k)""")
+def new_boards(spark, folder):
+    """Boards found in links that are not known under any spelling."""
+    found = table(spark, folder, "lineitem").select(F.concat(F.lit("B"), F.col("l_suppkey") % 40, F.lit("-"), "l_returnflag").alias("board")).distinct()
+    known = table(spark, folder, "supplier").select(F.concat(F.lit("b"), "s_suppkey", F.lit("-R")).alias("board"))
+    return reports.new_boards(found, known)
+
+
+@query("""
+with m as (select l_orderkey as key, case when l_linenumber % 3 = 0 then 'yes' when l_linenumber % 3 = 1 then 'maybe' else 'no' end as call, l_shipdate as seen, l_linenumber from lineitem),
+l as (select * from m qualify row_number() over (partition by key order by seen desc, l_linenumber desc) = 1)
+select o_orderkey as key, case o_orderstatus when 'F' then 'strong' when 'O' then 'possible' else 'weak' end as verdict, o_custkey as rank, call, o_orderdate < timestamp '1995-01-01' as before
+from orders left join l on o_orderkey = l.key""")
+def results_page(spark, folder):
+    """Judged rows with their rank and their latest mark; rows without a mark stay."""
+    o = table(spark, folder, "orders")
+    verdict = F.when(F.col("o_orderstatus") == "F", "strong").when(F.col("o_orderstatus") == "O", "possible").otherwise("weak")
+    run = o.select(F.col("o_orderkey").alias("key"), verdict.alias("verdict"), (F.col("o_totalprice") % 100).cast("int").alias("fit"))
+    order = o.select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("rank"), (F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz")).alias("before"), F.col("o_totalprice").alias("score"))
+    call = F.when(F.col("l_linenumber") % 3 == 0, "yes").when(F.col("l_linenumber") % 3 == 1, "maybe").otherwise("no")
+    marks = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("key"), call.alias("call"), F.lit("").alias("reason"), F.struct("l_shipdate", "l_linenumber").alias("at"))
+    return views.results(run, order, marks).select("key", "verdict", "rank", "call", "before")

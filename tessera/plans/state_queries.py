@@ -198,10 +198,15 @@ def newest_pair(spark, folder):
     return windows.newest_pair(runs).select("cv", F.col("at").alias("ts"), "id")
 
 
-@query("select timestamp '2026-03-29 05:00:00' as next")
+@query("""
+with e as (select event_id, ts + interval 70 day as t from events),
+r as (select *, date_trunc('day', t) + to_hours(case when t >= timestamp '2024-03-31' then 5 else 6 end) as first,
+  date_trunc('day', t) + interval 1 day + to_hours(case when t >= timestamp '2024-03-30' then 5 else 6 end) as second from e)
+select event_id, case when first > date_trunc('hour', t) then first else second end as next from r""")
 def schedule_next(spark, folder):
-    """ST11: the next run at seven in Amsterdam, across the change to summer time."""
-    return sightings.next_run(spark, "2026-03-28 06:30:00", 7).select(F.col("next").cast("timestamp_ntz").alias("next"))
+    """ST11: after every event, seventy days on, the next run at seven in Amsterdam, across the change to summer time."""
+    at = F.col("at") + F.expr("interval 70 days")
+    return _timed(spark, folder).select("event_id", sightings.next_run(at, 7).cast("timestamp_ntz").alias("next"))
 
 
 @query("select user_id, count(*) as open from events where event_type in ('view', 'click') group by 1 having count(*) > 1")

@@ -71,7 +71,7 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^{_WS}|{_WS}$', '', 'g')"
 
 
-_CHUNKS = f"""
+CHUNKS = f"""
 with recursive p as (select doc_id, string_split_regex({_strip("coalesce(text, '')")}, '\\n(?:{_WS})?\\n') as l from documents),
 cut as (
   select doc_id, i as paragraph, 0 as n, {_strip("l[i]")} as rest, null::varchar as part from p, unnest(range(1, len(l) + 1)) as u(i)
@@ -89,7 +89,7 @@ whole as (select doc_id, k, done as text from held where done is not null union
 select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int as chunk, text from whole"""
 
 
-@query(_CHUNKS)
+@query(CHUNKS)
 def chunks(spark, folder):
     """The chunks of every text."""
     return table(spark, folder, "documents").select("doc_id", F.posexplode(t.chunks(F.col("text"))).alias("chunk", "text"))

@@ -12,6 +12,7 @@ from tessera.functions import text as t
 from tessera.functions.arith import SAME_PLACE_KM
 from tessera.operators import access, dedupe, documents, gaps, metrics, preferences, ranking, reports, views, windows
 from tessera.plans.registry import query
+from tessera.plans.text_queries import CHUNKS
 from tessera.session import table
 from tessera.sources import postings, sinks
 from tessera.streaming import sightings
@@ -171,14 +172,20 @@ def query_parts(spark, folder):
     return documents.query_parts(c.join(o, "cv", "left"), "roles")
 
 
-@query("select doc_id, 'part ' || 1 as label, length(text) as n from documents where length(text) <= 900 and trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' and text not like chr(32) || '%' and text not like '%' || chr(32) and text not like '%' || chr(10) || '%'")
-def short_query_parts(spark, folder):
-    """Texts that fit one chunk ask as they are; a line end or outer space is left out of this query."""
-    d = table(spark, folder, "documents").filter("length(text) <= 900 and trim(regexp_replace(text, '\\\\s+', ' ')) <> '' and not startswith(text, ' ') and not endswith(text, ' ') and not contains(text, '\\n')")
-    parts = documents.query_parts(d.select(F.col("doc_id").alias("cv"), "text"), "chunks")
+@query(f"select doc_id, 'part ' || (chunk + 1) as label, length(text) as n from ({CHUNKS})")
+def chunk_query_parts(spark, folder):
+    """Every text's chunks as parts that ask by themselves."""
+    parts = documents.query_parts(table(spark, folder, "documents").select(F.col("doc_id").alias("cv"), "text"), "chunks")
     return parts.select(F.col("cv").alias("doc_id"), "label", F.length("text").cast("bigint").alias("n"))
 
 
+@query(f"select doc_id, count(*) as parts, sum(length(text))::bigint as n, count(*) = 1 as short from ({CHUNKS}) group by doc_id")
+def short_query_parts(spark, folder):
+    """How many parts each text asks with, and which texts are short enough to ask as a whole."""
+    parts = documents.query_parts(table(spark, folder, "documents").select(F.col("doc_id").alias("cv"), "text"), "chunks")
+    return parts.groupBy(F.col("cv").alias("doc_id")).agg(F.count("*").alias("parts"), F.sum(F.length("text")).alias("n"), (F.count("*") == 1).alias("short"))
+
+
 @query("""select doc_id, len(regexp_extract_all(x, '�')) as glyphs, least(len(regexp_extract_all(x, '�')), 1) as different, len(list_filter(string_split(x, chr(10)), lambda l: contains(l, '�'))) as lines,
   round(coalesce(len(regexp_extract_all(x, '�')) / nullif(length(x), 0), 0), 9) as share from (select doc_id, replace(text, 'q', '�') as x from documents)""")
 def damaged_texts(spark, folder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import latest
+from tessera.session import latest, ranked
 
 
 def append_new(rows: DataFrame, stored: DataFrame, key: str, path: str) -> None:
@@ -35,13 +35,13 @@ def patched(stored: DataFrame, patch: DataFrame, key: str) -> DataFrame:
 
 
 def suffixed(rows: DataFrame, stem: str, order: str, taken: DataFrame | None = None) -> DataFrame:
-    """K5, Q13: ``stem``, ``stem-2``, ... in order, going on after the names that are taken."""
-    n = F.row_number().over(Window.partitionBy(stem).orderBy(order))
+    """K5, Q13: ``stem``, ``stem-2``, ... in order, going on after the names that are taken; a stem may hold any share of the rows."""
+    placed, n = ranked(rows, [stem], [F.col(order)], "__n"), F.col("__n")
     if taken is not None:
         used = taken.groupBy(F.regexp_replace("name", "-\\d+$", "").alias("__s")).agg(F.count("*").alias("__used"))
-        rows = rows.join(used, rows[stem] == F.col("__s"), "left")
+        placed = placed.join(used, placed[stem] == F.col("__s"), "left")
         n = n + F.coalesce("__used", F.lit(0))
-    return rows.withColumn("__n", n).withColumn("name", F.when(F.col("__n") == 1, F.col(stem)).otherwise(F.concat_ws("-", stem, F.col("__n")))).drop("__n", "__s", "__used")
+    return placed.withColumn("__n", n).withColumn("name", F.when(F.col("__n") == 1, F.col(stem)).otherwise(F.concat_ws("-", stem, F.col("__n")))).drop("__n", "__s", "__used")
 
 
 def changed_files(local: DataFrame, remote: DataFrame, allowed: Column) -> DataFrame:

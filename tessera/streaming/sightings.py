@@ -124,11 +124,16 @@ def forgiven(sites: DataFrame, answered: DataFrame, refusals: DataFrame) -> Data
     return sites.join(clean, "site", "left_anti")
 
 
-def next_run(spark: SparkSession, now: str, hour: int, zone: str = "Europe/Amsterdam", weekdays: tuple[int, ...] = tuple(range(7))) -> DataFrame:
-    """ST11: the next whole UTC hour whose local hour and weekday (Monday 0) are in the schedule."""
-    hours = spark.range(1).select(F.explode(F.sequence(F.date_trunc("hour", F.lit(now).cast("timestamp")) + F.expr("interval 1 hour"), F.date_trunc("hour", F.lit(now).cast("timestamp")) + F.expr("interval 8 days"), F.expr("interval 1 hour"))).alias("at"))
-    local = F.from_utc_timestamp("at", zone)
-    return hours.filter((F.hour(local) == hour) & F.weekday(local).isin(*weekdays)).agg(F.min("at").alias("next"))
+def next_run(now: Column, hour: int, zone: str = "Europe/Amsterdam", weekdays: tuple[int, ...] = tuple(range(7))) -> Column:
+    """ST11: the first whole UTC hour after this one whose local hour and weekday (Monday 0) are in the schedule."""
+    this = F.date_trunc("hour", now)
+    hours = F.sequence(this + F.expr("interval 1 hour"), this + F.expr("interval 8 days"), F.expr("interval 1 hour"))
+
+    def fits(at: Column) -> Column:
+        local = F.from_utc_timestamp(at, zone)
+        return (F.hour(local) == hour) & F.weekday(local).isin(*weekdays)
+
+    return F.array_min(F.filter(hours, fits))
 
 
 def may_start(on: Column, due: Column, started: Column, now: Column) -> Column:

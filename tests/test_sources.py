@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from fakes import fake_vectors
 from pyspark.sql import functions as F
 
 from tessera.operators import documents
@@ -94,9 +95,9 @@ def test_scraped_rows(spark):
 def test_cached_vectors(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id int, document string")
     cache = spark.createDataFrame([], "key string, vector array<float>")
-    first, made = documents.with_vectors(docs, cache, "m")
+    first, made = documents.with_vectors(docs, cache, "m", fake_vectors)
     assert first.count() == 3 and made.count() == 2
-    again, none = documents.with_vectors(docs, made, "m")
+    again, none = documents.with_vectors(docs, made, "m", fake_vectors)
     assert again.count() == 3 and none.count() == 0
 
 
