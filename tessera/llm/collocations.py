@@ -20,15 +20,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import written
+from tessera.session import ranked
 
 #: Bits of a bitmap for each frequent phrase, and the fewest and most bits of one (128 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 18, 1 << 30
 #: Words that a task gathers, and different words that it tells apart, before it sends counts on.
-MOST_GATHERED, MOST_WORDS, MOST_WORD_BYTES = 1_500_000, 200_000, 32 << 20
+MOST_GATHERED, MOST_WORDS, MOST_WORD_BYTES = 1_500_000, 400_000, 32 << 20
 _ID_BITS = 20  # MOST_WORDS and the words of one more text have to fit; longer texts are taken in parts
 _PART = 1 << 19
 
@@ -53,13 +54,14 @@ class Vocabulary(dict):
 
     def __init__(self, lang: str, frequent: np.ndarray | None):
         super().__init__({b"": _SKIP, b"\n": _BREAK})
-        self.words, self.hashes, self.size, self.frequent = [], [], 0, frequent
+        self.words, self.hashes, self.size = [], [], 0
+        self.frequent, self.mask = (None, 0) if frequent is None else (frequent.tobytes(), len(frequent) * 8 - 1)
         self.seed, self.runs = xxhash.xxh64_intdigest(lang.encode(), 42), []
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, self.seed)
         self.size += len(word)
-        if self.frequent is not None and not _has(self.frequent, h):
+        if self.frequent is not None and not self.frequent[(h & self.mask) >> 3] >> (h & 7) & 1:
             number = _BREAK
         else:
             number = len(self.words)
@@ -75,8 +77,9 @@ class Vocabulary(dict):
         return len(ids)
 
     def counts(self, k: int, bitmaps: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
-        """The phrases of k words among what was gathered, and how often each stands there."""
-        ids = np.concatenate(self.runs).astype(np.int64)
+        """The phrases of k words among what was gathered, and how often each stands there. The words stay known, the texts are forgotten."""
+        ids = np.concatenate(self.runs).astype(np.int64) if self.runs else np.zeros(0, np.int64)
+        self.runs = []
         hashes = np.array(self.hashes, np.uint64)[ids] if self.hashes else np.zeros(len(ids), np.uint64)  # of no use at a break
         good, mixed = ids >= 0, hashes
         for length in range(2, k + 1):  # good[i]: the phrase of ``length`` words at i may be frequent
@@ -136,7 +139,6 @@ def phrase_counts(docs: DataFrame, k: int, bitmaps: list[np.ndarray]) -> DataFra
                 for at in range(0, len(seen), 100_000):
                     some = phrases[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(some)), some, pa.array(seen[at : at + 100_000], pa.int64())], ["lang", "phrase", "f"])
-            known.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column("lang"), batch.column("text")):
@@ -146,9 +148,12 @@ def phrase_counts(docs: DataFrame, k: int, bitmaps: list[np.ndarray]) -> DataFra
                         known[lang] = Vocabulary(lang, sent.value[0] if k > 1 else None)
                     mine = known[lang]
                     held += mine.gather(_part(words, at, _PART, k))
-                    if held > MOST_GATHERED or len(mine) > MOST_WORDS or mine.size > MOST_WORD_BYTES or len(known) > 1000:
+                    many = len(known) > 1000 or sum(map(len, known.values())) > MOST_WORDS or sum(v.size for v in known.values()) > MOST_WORD_BYTES
+                    if held > MOST_GATHERED or many:
                         yield from send()
                         held = 0
+                    if many:
+                        known.clear()
         yield from send()
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
@@ -204,7 +209,7 @@ def collocations(docs: DataFrame, *, max_words: int = 3, least: int = 10, part_o
         scored = scored.join(longer.groupBy("lang", "phrase").agg(F.max("longest").alias("longest")), ["lang", "phrase"], "left")
         scored = scored.filter(F.col("longest").isNull() | (100 * F.col("longest") < part_of * F.col("a")))
     found = scored.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
-    placed = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("bigint"))
+    placed = ranked(found, ["lang"], [F.desc("score"), F.desc("a"), F.col("phrase")])
     if top is not None:
         placed = placed.filter(F.col("rank") <= top)
     return placed.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

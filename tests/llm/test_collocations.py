@@ -48,7 +48,7 @@ def texts(rng, n):
 def test_like_brute_force(spark, monkeypatch, small):
     """Also with bitmaps so small that they prune little, texts in many parts, and counts sent on all the time."""
     if small:
-        for name, value in (("_PART", 3), ("MOST_GATHERED", 40), ("MOST_WORDS", 7)):
+        for name, value in (("_PART", 3), ("MOST_GATHERED", 40), ("MOST_WORDS", 30)):
             monkeypatch.setattr(collocations, name, value)
     rows = texts(random.Random(5), 150)
     assert mined(spark, rows, least=4) == brute(rows, 4)
