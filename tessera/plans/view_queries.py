@@ -319,6 +319,19 @@ def vector_cache(spark, folder):
     return both.select("key", "label", (F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 3) + 0.0).alias("total"))
 
 
+@query("""
+with s as (select doc_id as key, length(text) + case when doc_id % 5 = 0 then 1000000 else 0 end as size, doc_id % 5 = 0 as night from documents where doc_id % 2 = 0 or doc_id % 5 = 0)
+select s.key, size, night, round(list_sum(embedding::double[]), 3) + 0.0 as total from s join embeddings on s.key = vec_id""")
+def bucketed_cache(spark, folder):
+    """A store in buckets, merged with a night that replaces and adds rows, then asked with every vector's key; the store is never shuffled."""
+    d = table(spark, folder, "documents").select(F.col("doc_id").alias("key"), F.length("text").cast("bigint").alias("size"), F.lit(False).alias("night"))
+    night = d.filter("key % 5 = 0").select("key", (F.col("size") + 1_000_000).alias("size"), F.lit(True).alias("night"))
+    store = sinks.bucketed(sinks.merged(sinks.bucketed(d.filter("key % 2 = 0"), "store", 8), night, 8), "merged", 8)
+    e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    total = F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 3) + 0.0
+    return sinks.looked_up(store, e).join(e.hint("shuffle_merge"), "key").select("key", "size", "night", total.alias("total"))
+
+
 @query("select source, count(*) * 2 as n from documents group by 1")
 def compound_documents(spark, folder):
     """SO6: two sources of documents together, equal ones kept."""

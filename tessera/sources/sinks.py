@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import latest, ranked
+from tessera.session import latest, new_folder, ranked
 
 
 def append_new(rows: DataFrame, stored: DataFrame, key: str, path: str) -> None:
@@ -71,6 +73,29 @@ def cached(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return latest(stored.unionByName(batch), ["key"], [F.desc("at")])
 
 
+def bucketed(rows: DataFrame, name: str, buckets: int = 32) -> DataFrame:
+    """A store of ``key`` and more as a table in buckets by key, sorted in each, in the shared folder. What is dealt in that many
+    parts by key is written as it is."""
+    spark = rows.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, "key").sortBy("key").option("path", new_folder(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
+def merged(store: DataFrame, batch: DataFrame, buckets: int = 32) -> DataFrame:
+    """The store's rows, replaced or joined by those of a batch with the same columns. Only the batch is shuffled, to the store's buckets."""
+    fresh = batch.dropDuplicates(["key"]).repartition(buckets, "key")
+    theirs = fresh.select(F.col("key").alias("__key"), *[F.col(c).alias(f"__{c}") for c in batch.columns if c != "key"])
+    joined = store.hint("merge").join(theirs, store["key"] == F.col("__key"), "full_outer")
+    new = F.col("__key").isNotNull()
+    return joined.select(F.coalesce("key", "__key").alias("key"), *[F.when(new, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in store.columns if c != "key"])
+
+
+def looked_up(store: DataFrame, asked: DataFrame) -> DataFrame:
+    """The store's rows for some keys; the keys go to the buckets."""
+    return store.hint("merge").join(asked.select("key").distinct(), "key")
+
+
 def distinct_vectors(documents: DataFrame) -> DataFrame:
     """One row for each different document."""
     return documents.dropDuplicates(["key"])

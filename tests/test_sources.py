@@ -103,3 +103,33 @@ def test_cached_vectors(spark):
 
 def test_the_shared_folder(spark):
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_a_store_in_buckets_is_not_shuffled(spark):
+    rows = spark.range(1000).select(F.concat(F.lit("k"), "id").alias("key"), F.col("id").alias("v"))
+    store = sinks.bucketed(rows.filter("v % 2 = 0"), "store", 4)
+    night = rows.filter("v % 5 = 0").withColumn("v", F.col("v") + 5000)
+    merged = sinks.merged(store, night.unionByName(night), 4)
+
+    def exchanges(frame):
+        """Exchanges that have the store below them: none may stand between a scan of buckets and a join."""
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+        lines, found = plan.split("\n"), 0
+        for n, line in enumerate(lines):
+            if "FileScan parquet" in line and "Bucketed: true" in line:
+                above, at = depth(line), n
+                while at > 0 and "Join" not in lines[at]:
+                    at -= 1
+                    if depth(lines[at]) < above:
+                        above = depth(lines[at])
+                        found += "Exchange" in lines[at]
+        return found
+
+    assert "Bucketed: true" in merged._jdf.queryExecution().executedPlan().toString() and exchanges(merged) == 0
+    want = {f"k{i}": i for i in range(0, 1000, 2)} | {f"k{i}": i + 5000 for i in range(0, 1000, 5)}
+    again = sinks.bucketed(merged, "again", 4)
+    assert {r.key: r.v for r in again.collect()} == want
+    found = sinks.looked_up(again, rows.filter("v < 10").unionByName(rows.filter("v < 10")))
+    assert exchanges(found) == 0 and {r.key: r.v for r in found.collect()} == {f"k{i}": want[f"k{i}"] for i in range(10) if f"k{i}" in want}
+    assert sinks.merged(sinks.bucketed(rows.limit(0), "none", 4), night.limit(0), 4).count() == 0
