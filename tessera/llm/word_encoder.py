@@ -12,7 +12,6 @@ import os
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import regex
@@ -20,9 +19,9 @@ import regex
 from tessera.llm.pretoken import byte_letters, word_finder
 
 #: Words that a worker remembers in each of two generations, some 200 bytes each; longer ones are asked for each time.
-MOST_WORDS, LONGEST = 600_000, 64
-#: Texts whose new words are found together.
-TOGETHER = 128
+MOST_WORDS, LONGEST = 250_000, 64
+#: Texts whose new words are found together: so many, or fewer if they have so many characters; a longer text goes by itself.
+TOGETHER, CHARACTERS = 128, 1 << 20
 #: What a byte-level model takes for each byte.
 LETTERS = dict(enumerate(byte_letters()))
 
@@ -81,8 +80,7 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; a null text has none."""
-        texts = iter(texts)
-        while part := list(islice(texts, TOGETHER)):
+        for part in _parts(texts):
             if self.words is None:
                 for e in self.library.encode_batch_fast([t or "" for t in part], add_special_tokens=False):
                     yield np.array(e.ids, "<u4").tobytes()
@@ -90,6 +88,20 @@ class WordEncoder:
                 yield from self._together(part)
 
 
+def _parts(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts of a bounded size, since a text's words take some ten times its characters."""
+    part, chars = [], 0
+    for text in texts:
+        n = len(text or "")
+        if part and (len(part) == TOGETHER or chars + n > CHARACTERS):
+            yield part
+            part, chars = [], 0
+        part.append(text)
+        chars += n
+    if part:
+        yield part
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str, pattern: str | None) -> WordEncoder:
     return WordEncoder(path, pattern)

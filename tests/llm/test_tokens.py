@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe_codec, packing, token_counts, token_store
+from tessera.llm import bpe_codec, packing, token_counts, token_store, word_encoder
 from tessera.llm.common import new_path
 from tessera.llm.pretoken import word_finder
 from tessera.llm.word_encoder import WordEncoder
@@ -257,3 +257,13 @@ def test_fillings_are_undominated():
         every = {tuple(c) for k in range(len(flat) + 1) for c in itertools.combinations(flat, k) if sum(c) <= room}
         want = {f for f in every if not any(o != f and holds(sorted(o), list(f)) for o in every)}
         assert set(packing.fillings(room, counts, room)) == want
+
+
+def test_texts_are_encoded_in_runs_of_a_bounded_size(monkeypatch):
+    """Runs end at a number of texts or of characters; a text above the limit is a run by itself; nulls and empty texts count as one each."""
+    monkeypatch.setattr(word_encoder, "TOGETHER", 3)
+    monkeypatch.setattr(word_encoder, "CHARACTERS", 10)
+    texts = ["a" * 4, "b" * 6, "c", None, "", "d" * 30, "e", "f"]
+    runs = list(word_encoder._parts(iter(texts)))
+    assert runs == [["a" * 4, "b" * 6], ["c", None, ""], ["d" * 30], ["e", "f"]]
+    assert list(word_encoder._parts([])) == []
