@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import names_alternatives, names_term, searchable
+from tessera.operators import terms
 from tessera.session import latest, written
 
 
@@ -20,20 +21,39 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)[\\w+#]+"), F.lit(0))
 
 
-def term_for(gaps: DataFrame, vocab: DataFrame) -> DataFrame:
-    """The longest term that a gap's requirement names, else its quote; null if none, or if terms stand as a choice.
+def named_terms(gaps: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Of each gap that names a term its ``hay``, ``term``, the longest (the first in the vocabulary of equal ones), and ``all`` its terms.
 
-    ``gaps``: gap_id, requirement, quote. Gaps meet terms on a shared first token, so no gap is tried against every term;
-    the whole-token test follows. Terms without a token match nothing.
+    ``hay`` is the requirement if it names a term, else the quote. ``gaps``: gap_id, which tells gaps apart, requirement, quote;
+    ``vocab``: one row a term. Terms without a token match nothing. A vocabulary of checked size is one automaton that passes each text once.
     """
+    small = terms.small(vocab.select("term", "position"), F.length("term"))
+    if small is None:
+        return _named_by_join(gaps, vocab)
+    spark = gaps.sparkSession
+    asked = gaps.select("gap_id", searchable("requirement").alias("r"), searchable("quote").alias("q"))
+    found = asked.select("*", terms.whole_terms(F.col("r"), small, spark).alias("in_r"), terms.whole_terms(F.col("q"), small, spark).alias("in_q"))
+    first = F.size("in_r") > 0
+    picked = found.select("gap_id", F.when(first, F.col("r")).otherwise(F.col("q")).alias("hay"), F.when(first, F.col("in_r")).otherwise(F.col("in_q")).alias("all"))
+    return picked.filter(F.size("all") > 0).select("gap_id", "hay", F.get("all", F.lit(0)).alias("term"), "all")
+
+
+def _named_by_join(gaps: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Gaps meet terms on a shared first token, so no gap is tried against every term; the whole-token test follows."""
     asked = gaps.select("gap_id", F.explode(F.array(F.struct(F.lit(0).alias("source"), searchable("requirement").alias("hay")), F.struct(F.lit(1).alias("source"), searchable("quote").alias("hay")))).alias("s")).select("gap_id", "s.*")
     words = asked.withColumn("token", F.explode(F.array_distinct(tokens(F.col("hay")))))
-    first = vocab.select("term", F.col("position").alias("__p"), F.get(tokens(F.col("term")), 0).alias("token")).filter("token is not null")
+    first = vocab.select("term", F.col("position").alias("__p"), F.get(tokens(F.col("term")), F.lit(0)).alias("token")).filter("token is not null")
     hits = words.join(first, "token").filter(names_term(F.col("hay"), F.col("term")))
-    named = hits.groupBy("gap_id", "source", "hay").agg(F.min(F.struct((-F.length("term")).alias("l"), F.col("__p").alias("p"), F.col("term").alias("t")))["t"].alias("term"), F.collect_set("term").alias("all"))
-    best = latest(named, ["gap_id"], [F.col("source")])
+    rows = F.array_sort(F.collect_set(F.struct((-F.length("term")).alias("l"), F.col("__p").alias("p"), F.col("term").alias("t"))))
+    named = hits.groupBy("gap_id", "source", "hay").agg(rows["t"].alias("all"))
+    return latest(named, ["gap_id"], [F.col("source")]).select("gap_id", "hay", F.get("all", F.lit(0)).alias("term"), "all")
+
+
+def term_for(gaps: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The term of ``named_terms`` for each gap; null if there is none, or if the terms stand as a choice."""
+    named = named_terms(gaps, vocab)
     choice = names_alternatives(F.col("hay"), F.col("all"))
-    return gaps.join(best.select("gap_id", F.when(~choice, F.col("term")).alias("term")), "gap_id", "left")
+    return gaps.join(named.select("gap_id", F.when(~choice, F.col("term")).alias("term")), "gap_id", "left")
 
 
 def best_occurrences(found: DataFrame) -> DataFrame:
@@ -60,7 +80,7 @@ def grouped_share(found: DataFrame) -> DataFrame:
     return found.agg(F.coalesce(F.count("term") / F.nullif(F.count("*"), F.lit(0)), F.lit(1.0)).alias("grouped_share"))
 
 
-def merged_terms(terms: DataFrame) -> DataFrame:
+def merged_terms(listed: DataFrame) -> DataFrame:
     """A9, SO4: ``term, host``: terms fold, longest first, into the shortest term whose tokens are a strict subset of theirs.
 
     A host may fold further, so hosts are followed to the end: a term's host is the shortest strict subset among the terms,
@@ -68,7 +88,7 @@ def merged_terms(terms: DataFrame) -> DataFrame:
     A host is filed under its rarest token only, which every term that contains it has too; so terms that share a common token
     do not meet on it. The table has one row a term, however many gaps there are.
     """
-    named = terms.select("term").distinct().withColumn("set", F.array_distinct(F.split("term", " ")))
+    named = listed.select("term").distinct().withColumn("set", F.array_distinct(F.split("term", " ")))
     spread = written(named.select("term", "set", F.explode("set").alias("token")), "tokens")
     often = spread.groupBy("token").agg(F.count("*").alias("n"))
     rarest = F.min(F.struct("n", "token"))["token"].alias("token")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.arith import SAME_PLACE_KM, haversine_km
+from tessera.operators import terms
 from tessera.session import latest
 
 
@@ -97,18 +98,31 @@ def longest_matches(hits: Column) -> Column:
     return F.aggregate(order, begin, step)["out"]
 
 
-def places_in(rows: DataFrame, key: str, location: str, gazetteer: DataFrame) -> DataFrame:
+_PLACES = "array<struct<name:string,provinces:array<string>>>"
+
+
+def places_in(rows: DataFrame, key: str, location: str, gazetteer: DataFrame, most: int = 5) -> DataFrame:
     """Each row's places with their provinces; ``location`` is an array of cleaned parts. Rows without a hit have none.
 
-    The gazetteer joins on names; its size does not matter to the plan.
+    Names have up to ``most`` words. A null location or part names nothing; of repeated keys each row has the places of its own location.
+    A gazetteer (one row a name) of checked size is one automaton that passes each location once.
     """
-    grams = rows.select(key, F.explode(name_grams(F.col(location))).alias("g"))
+    small = terms.small(gazetteer.select("name", "provinces"), F.length("name") + F.length(F.array_join("provinces", "")))
+    if small is None:
+        return _places_by_join(rows, key, location, gazetteer, most)
+    return rows.select(*rows.columns, terms.whole_names(F.col(location), small, most, rows.sparkSession).alias("places"))
+
+
+def _places_by_join(rows: DataFrame, key: str, location: str, gazetteer: DataFrame, most: int) -> DataFrame:
+    """The candidate names of a location meet the gazetteer, whose size does not matter to the plan."""
+    asked = rows.select(F.col(key).alias("__k"), F.col(location).alias("__l")).distinct()
+    grams = asked.select("*", F.explode(name_grams(F.filter("__l", lambda p: p.isNotNull()), most)).alias("g"))
     hits = grams.join(gazetteer, grams["g.name"] == gazetteer.name)
-    chosen = hits.groupBy(key).agg(F.collect_list("g").alias("hits"), F.map_from_entries(F.array_distinct(F.collect_list(F.struct("name", "provinces")))).alias("provinces"))
-    found = chosen.select(F.col(key).alias("__k"), longest_matches(F.col("hits")).alias("found"), "provinces")
-    out = rows.join(found, rows[key].eqNullSafe(F.col("__k")), "left")
-    named = F.coalesce(F.transform("found", lambda h: F.struct(h["name"].alias("name"), F.element_at("provinces", h["name"]).alias("provinces"))), F.array().cast("array<struct<name:string,provinces:array<string>>>"))
-    return out.select(*rows.columns, named.alias("places"))
+    chosen = hits.groupBy("__k", "__l").agg(F.collect_list("g").alias("hits"), F.map_from_entries(F.array_distinct(F.collect_list(F.struct("name", "provinces")))).alias("provinces"))
+    found = chosen.select("__k", "__l", longest_matches(F.col("hits")).alias("found"), "provinces")
+    out = rows.join(found, rows[key].eqNullSafe(F.col("__k")) & rows[location].eqNullSafe(F.col("__l")), "left")
+    named = F.coalesce(F.transform("found", lambda h: F.struct(h["name"].alias("name"), F.element_at("provinces", h["name"]).alias("provinces"))), F.array().cast(_PLACES))
+    return out.select(*[rows[c] for c in rows.columns], named.alias("places"))
 
 
 def in_scope(places: Column, chosen: tuple[str, ...]) -> Column:

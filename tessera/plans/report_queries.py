@@ -335,3 +335,26 @@ def results_page(spark, folder):
     call = F.when(F.col("l_linenumber") % 3 == 0, "yes").when(F.col("l_linenumber") % 3 == 1, "maybe").otherwise("no")
     marks = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("key"), call.alias("call"), F.lit("").alias("reason"), F.struct("l_shipdate", "l_linenumber").alias("at"))
     return views.results(run, order, marks).select("key", "verdict", "rank", "call", "before")
+
+
+_PLAIN = r"""lower(trim(regexp_replace(translate(regexp_replace(translate({0}, '’‘“”–—', '''''""--'), '(^|[^\pL\pN\pM_])#+', '\1', 'g'), '*_`>|•·', ''), '[\s\x0b\x1c-\x1f\x85\xa0\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g')))"""
+
+
+@query(r"""
+with w as (select item_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') as w from benchmark),
+e as (select item_id * 100000 + i as position, w[i] as word, w[i] || ' ' || w[i + 1] as two from (select item_id, w, unnest(range(1, len(w) + 1)) as i from w)),
+v as materialized (select term, ' ' || replace(term, ' ', '   ') || ' ' as padded, min(position) as position from (select position, word as term from e where length(word) >= 8 union all select position, two from e where two is not null) group by 1),
+h as (select doc_id, 0 as source, """ + _PLAIN.format("string_split(text, chr(10))[1]") + " as hay from documents union all select doc_id, 1, " + _PLAIN.format("text") + r""" from documents),
+p as materialized (select doc_id, source, ' ' || regexp_replace(hay, '([^\pL\pN\pM_+#])', ' \1 ', 'g') || ' ' as hay from h),
+n as (select doc_id, source, term, position from p join v on contains(hay, padded)),
+g as (select doc_id, source, count(*) as terms, arg_min(term, (-length(term), position)) as term from n group by 1, 2)
+select doc_id, arg_min(term, source) as term, arg_min(terms, source) as terms from g group by 1""")
+def gap_terms(spark, folder):
+    """The longest of the benchmark's long words and pairs of words that each document names as whole tokens, in its first line, else anywhere."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    each = table(spark, folder, "benchmark").select("item_id", words.alias("w")).select("item_id", "w", F.posexplode("w").alias("at", "word"))
+    each = each.select((F.col("item_id") * 100_000 + F.col("at") + 1).alias("position"), "word", F.get("w", F.col("at") + 1).alias("next"))
+    skills = each.filter("length(word) >= 8").select("position", F.col("word").alias("skill")).unionByName(each.filter("next is not null").select("position", F.concat_ws(" ", "word", "next").alias("skill")))
+    asked = table(spark, folder, "documents").select(F.col("doc_id").alias("gap_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("requirement"), F.col("text").alias("quote"))
+    named = gaps.named_terms(asked, gaps.vocabulary(skills))
+    return named.select(F.col("gap_id").alias("doc_id"), "term", F.size("all").cast("bigint").alias("terms"))
