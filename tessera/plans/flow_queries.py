@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as t
 from tessera.operators import documents, ranking
 from tessera.plans.registry import query
-from tessera.session import latest, table, written
+from tessera.session import latest, narrowed, table, written
 from tessera.sources import sinks
 
 
@@ -65,20 +65,23 @@ def indexed_corpus(spark, folder):
 def quoted_passages(spark, folder):
     """Benchmark passages of which any eight words in a row stand in documents as whole words; shorter passages whole.
 
-    Quotes and texts meet on hashes of five words in a row (fewer if a quote has fewer), read in each of T4's ways, so no quote
-    is tried on every text. A passage without a letter or digit is quoted nowhere.
+    Quotes and texts meet on the smallest hash of five words in a row of each quote, read in each of T4's ways; a text files the smallest of
+    every four, so no quote is tried on every text. Hashes, then texts, are narrowed to those that may meet a quote before they travel. A
+    passage without a letter or digit is quoted nowhere.
     """
     word = F.split(t.squeeze(F.col("text")), " ")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("word") - 7))
     quotes = table(spark, folder, "benchmark").select("item_id", word.alias("word"))
     quotes = quotes.select("item_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("word", i, 8), " "))).alias("quote")).distinct()
-    read = F.explode(F.array(*[t.first_words(F.col("quote"), w, 5) for w in t.LINE_ENDS]))
+    read = F.explode(F.array(*[t.quote_key(F.col("quote"), w) for w in t.LINE_ENDS]))
     keyed = written(quotes.select("item_id", "quote", read.alias("k")).select("item_id", "quote", "k.n", "k.key").filter("n > 0").distinct(), "quotes")
-    sizes = [r.n for r in keyed.select("n").distinct().collect()]  # five at most
+    sizes = sorted(r.n for r in keyed.select("n").distinct().collect())  # t.QUOTE at most
     texts = table(spark, folder, "documents").select("doc_id", "text")
-    found = texts.select("doc_id", F.explode(t.word_runs(F.col("text"), sizes or [5])).alias("key"))
-    pairs = found.join(keyed, "key").groupBy("doc_id", "item_id").agg(F.collect_set("quote").alias("quotes"))
-    return pairs.join(texts, "doc_id").filter(F.exists("quotes", lambda q: t.quoted(q, F.col("text")))).select("item_id", "doc_id")
+    filed = texts.select("doc_id", F.explode(t.winnowed(F.col("text"), sizes or [t.QUOTE])).alias("key"))
+    met = narrowed(filed, F.col("key"), keyed, "key").join(keyed, "key").groupBy("doc_id", "item_id").agg(F.collect_set("quote").alias("quotes"))
+    pairs = written(met, "quoted")
+    asked = narrowed(texts, F.col("doc_id"), pairs, "doc_id")
+    return pairs.join(asked, "doc_id").filter(F.exists("quotes", lambda q: t.quoted(q, F.col("text")))).select("item_id", "doc_id")
 
 
 @query("""

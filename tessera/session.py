@@ -80,6 +80,17 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str,
     return rows.join(firsts, on).select(*[rows[c] for c in df.columns], (F.col("__first") + F.col("__inside")).alias(name))
 
 
+def narrowed(df: DataFrame, value: Column, keys: DataFrame, key: str, most_bits: int = 20) -> DataFrame:
+    """The rows whose value may be among the keys, before they are shuffled: all that are, and by chance a few others.
+
+    Keys are told apart by up to ``most_bits`` bits of a hash, 32 times as many as there are keys, so no more than ``2**most_bits`` numbers are broadcast
+    however many keys there are; of some millions of keys on most rows pass, and the join that follows decides as it does anyway.
+    """
+    space = F.lit(1 << min(most_bits, keys.count().bit_length() + 5)).cast("bigint")
+    may = keys.select(F.pmod(F.xxhash64(key), space).alias("__may")).distinct()
+    return df.withColumn("__may", F.pmod(F.xxhash64(value), space)).join(F.broadcast(may), "__may", "left_semi").drop("__may")
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row of each key: the first by ``order`` (W1). Spark keeps one row a key and task before the shuffle."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")
