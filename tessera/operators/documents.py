@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.arith import range_text
 from tessera.functions.text import chunks, vector_key
-from tessera.operators.ranking import full_ranks, pooled_scores, scores
+from tessera.operators.ranking import pooled_scores, whole_ranks
 from tessera.operators.shortlist import fused_prefix, whole_order
 from tessera.session import ranked
 
@@ -104,5 +104,5 @@ def fused_for_cv(styles: list[DataFrame], docs: DataFrame, top: int | None = Non
 
 def search(queries: DataFrame, docs: DataFrame, top: int) -> DataFrame:
     """The full order cut at ``top`` for each of a few queries; 0 means all."""
-    order = full_ranks(scores(queries, docs))
+    order = whole_ranks(queries, docs)
     return order.filter(F.col("rank") <= top) if top else order

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import RRF_K, Block, few_queries, full_ranks, fuse, list_scores, meet, places, pooled_lists
+from tessera.operators.ranking import FEW_LISTS, RRF_K, Block, few_queries, full_ranks, fuse, fused_whole, list_scores, meet, places, pooled_lists
 from tessera.session import written
 
 #: Documents whose positions are counted at once; points are rounded to 12 digits, so bounds keep twice that away.
@@ -54,10 +54,13 @@ def fused_prefix(queries: DataFrame, documents: DataFrame, k: int, depth: int |
     """The first documents of the fused order, ``doc_id, points, best_list, rank``: k and those whose points equal the k-th's, or all there are.
 
     ``queries``: query_id, list_no, vector; a list ranks documents by their best score over its queries. Also returns the depth
-    that was ranked. Where no depth decides, whole orders are fused as ``ranking.fuse`` does.
+    that was ranked. Where no depth decides, whole orders are fused as ``ranking.fuse`` does; so they are at once for over ``FEW_LISTS`` lists, whose
+    points come from one pass without an order that is shuffled.
     """
     few, n = few_queries(queries.select("query_id", "list_no", "vector")), documents.count()
     lists = queries.select("list_no").distinct().count() if few is None else len(np.unique(few.more["list_no"]))
+    if lists > FEW_LISTS:
+        return whole_order(queries, documents), n
     vectors, depth, bar = documents.select("doc_id", "vector"), depth or max(k, RRF_K), None
     while lists and depth < n:
         met = prefixes(queries, documents, depth, few).groupBy("doc_id").agg(F.sum(1 / (RRF_K + F.col("pos"))).alias("least"), F.count("*").alias("met"))
@@ -81,7 +84,11 @@ def fused_prefix(queries: DataFrame, documents: DataFrame, k: int, depth: int |
 
 
 def whole_order(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """All documents fused: ``doc_id, points, best_list, rank``."""
+    """All documents fused: ``doc_id, points, best_list, rank``. Many lists are ordered and added up where their scores are made."""
+    many = queries.select("list_no").distinct().limit(FEW_LISTS + 1).count() > FEW_LISTS
+    fused = fused_whole(queries, documents) if many else None
+    if fused is not None:
+        return fused.withColumnRenamed("item", "doc_id")
     ranks = full_ranks(list_scores(queries, documents), "list_no")
     return fuse(ranks.select("list_no", F.col("rank").alias("pos"), F.col("doc_id").alias("item"))).withColumnRenamed("item", "doc_id")
 

@@ -1,9 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import ranking
+from tessera.operators import ranking, shortlist
 from tessera.session import ranked
 
 
@@ -51,3 +52,61 @@ def test_scores_keep_queries_off_the_driver(spark, monkeypatch):
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
     assert len(got) == 1600
     assert all(abs(got[q, d] - dot(rows[q], rows[d]) / math.sqrt(dot(rows[q], rows[q]) * dot(rows[d], rows[d]))) < 2e-6 for q, d in got)
+
+
+def _vectors(spark, n=90):
+    rng = random.Random(11)
+    return spark.createDataFrame([(i * 7 % 97, [float(rng.randrange(-1, 2)) + 0.5 for _ in range(3)]) for i in range(n)], "doc_id bigint, vector array<double>")
+
+
+def test_whole_orders_are_made_where_scores_are(spark, monkeypatch):
+    """Ties by equal vectors; small blocks; like the orders by range, without shuffling a pair."""
+    monkeypatch.setattr(ranking, "BLOCK", 16)
+    docs = _vectors(spark)
+    asked = docs.filter("doc_id % 3 = 0").withColumnRenamed("doc_id", "query_id")
+    want = ranking.full_ranks(ranking.scores(asked, docs)).select("query_id", "doc_id", "score", "rank").collect()
+    monkeypatch.setattr(ranking, "ranked", lambda *a: pytest.fail("pairs were ranked by range"))
+    assert sorted(map(tuple, ranking.whole_ranks(asked, docs).collect())) == sorted(map(tuple, want))
+    assert ranking.whole_ranks(asked.limit(0), docs).isEmpty() and ranking.whole_ranks(asked, docs.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_many_lists_are_fused_without_rows_of_pairs(spark, monkeypatch, parts):
+    monkeypatch.setattr(ranking, "BLOCK", 16)
+    docs = _vectors(spark)
+    asked = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("query_id"), F.floor(F.col("doc_id") / (3 * parts)).cast("bigint").alias("list_no"), "vector")
+    want = sorted(map(tuple, shortlist.whole_order(asked, docs).select("doc_id", "points", "best_list", "rank").collect()))
+    monkeypatch.setattr(shortlist, "FEW_LISTS", 4)
+    monkeypatch.setattr(shortlist, "full_ranks", lambda *a: pytest.fail("lists were ranked by range"))
+    assert sorted(map(tuple, shortlist.whole_order(asked, docs).select("doc_id", "points", "best_list", "rank").collect())) == want
+    got, depth = shortlist.fused_prefix(asked, docs, 5, depth=6)
+    assert depth == 90 and sorted(map(tuple, got.select("doc_id", "points", "best_list", "rank").collect())) == want
+
+
+@pytest.mark.parametrize("hot", [0, 40])
+def test_owners_in_one_block_need_no_exchange(spark, monkeypatch, hot):
+    docs = _vectors(spark).withColumn("owner", F.when(F.col("doc_id") < hot, 1000).otherwise(F.floor(F.col("doc_id") / 4)).cast("bigint"))
+    asked = docs.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    want = sorted(map(tuple, ranking.owner_scores(asked, docs).select("query_id", "owner", "score").collect()))
+    monkeypatch.setattr(ranking, "BLOCK", 16)
+    monkeypatch.setattr(ranking, "SMALL", 1)
+    got = ranking.owner_scores(asked, docs)
+    assert sorted(map(tuple, got.select("query_id", "owner", "score").collect())) == want
+    assert hot or "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("top", [None, 7])
+def test_a_long_list_is_cut_into_blocks(spark, monkeypatch, top):
+    docs = _vectors(spark)
+    asked = docs.select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") > 20, 1).otherwise(0).alias("list_no"), "vector")
+    want = sorted(map(tuple, ranking.list_scores(asked, docs).collect()))
+    monkeypatch.setattr(ranking, "BLOCK", 16)
+    monkeypatch.setattr(ranking, "SMALL", 1)
+    blocks = ranking._blocks
+    monkeypatch.setattr(ranking, "_blocks", lambda v, key, whole=None, size=None: pytest.fail("a list is one block") if whole == "list_no" else blocks(v, key, whole, size))
+    got = sorted(map(tuple, ranking.list_scores(asked, docs, top).collect()))
+    assert got == want if top is None else set(got) <= set(want)
+    if top:
+        for n in (0, 1):
+            best = sorted((-s, d) for no, d, s in want if no == n)[:top]
+            assert set(best) <= {(-s, d) for no, d, s in got if no == n}
