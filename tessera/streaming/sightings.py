@@ -125,15 +125,26 @@ def forgiven(sites: DataFrame, answered: DataFrame, refusals: DataFrame) -> Data
 
 
 def next_run(now: Column, hour: int, zone: str = "Europe/Amsterdam", weekdays: tuple[int, ...] = tuple(range(7))) -> Column:
-    """ST11: the first whole UTC hour after this one whose local hour and weekday (Monday 0) are in the schedule."""
+    """ST11: the first whole UTC hour after this one whose local hour and weekday (Monday 0) are in the schedule.
+
+    That hour follows from the offset of the next hour, unless the offset has changed by then; then the hours beside it are tried, and at last all hours of eight days.
+    """
     this = F.date_trunc("hour", now)
+    soon = this + F.expr("interval 1 hour")
+    after = lambda at, hours_: at + F.make_dt_interval(hours=hours_.cast("int"))
+    guess = after(soon, F.pmod(F.lit(hour) - F.hour(F.from_utc_timestamp(soon, zone)), F.lit(24)))
+    some = bool(set(range(7)) - set(weekdays))
+    if some:
+        days = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda d: after(guess, d * 24))
+        guess = F.array_min(F.filter(days, lambda at: F.weekday(F.from_utc_timestamp(at, zone)).isin(*weekdays)))
     hours = F.sequence(this + F.expr("interval 1 hour"), this + F.expr("interval 8 days"), F.expr("interval 1 hour"))
 
     def fits(at: Column) -> Column:
         local = F.from_utc_timestamp(at, zone)
-        return (F.hour(local) == hour) & F.weekday(local).isin(*weekdays)
+        return (F.hour(local) == hour) & (F.weekday(local).isin(*weekdays) if some else F.lit(True))
 
-    return F.array_min(F.filter(hours, fits))
+    near = [guess] if some else [guess, guess - F.expr("interval 1 hour"), guess + F.expr("interval 1 hour")]
+    return F.coalesce(*[F.when(fits(at), at) for at in near], F.array_min(F.filter(hours, fits)))
 
 
 def may_start(on: Column, due: Column, started: Column, now: Column) -> Column:

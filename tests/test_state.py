@@ -1,5 +1,8 @@
 import datetime as dt
+import time
+from zoneinfo import ZoneInfo
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.streaming import sightings
@@ -67,3 +70,18 @@ def test_stream_equals_batches(spark, tmp_path):
         sightings.follow(rows, tmp_path.name, str(tmp_path / "state")).awaitTermination()
     got = {r.key: r.last_seen.day for r in sightings.newest(spark, tmp_path.name).collect()}
     assert got == {"greenhouse:1": 1, "greenhouse:2": 1, "greenhouse:3": 2}
+
+
+@pytest.mark.parametrize("zone, hour, weekdays", [("Europe/Amsterdam", 7, tuple(range(7))), ("Europe/Amsterdam", 2, tuple(range(7))), ("Europe/Amsterdam", 0, (0, 3)), ("Asia/Kolkata", 7, (5,))])
+def test_next_run_of_a_year(spark, zone, hour, weekdays):
+    """Every hour of a year with both changes against the hours one after another; few rows need eight days of hours tried."""
+    local = [dt.datetime.fromtimestamp(1704067200 + 3600 * i, ZoneInfo(zone)) for i in range(24 * 375)]
+    want, last = {}, None
+    for i in reversed(range(len(local))):
+        want[i] = last
+        if local[i].hour == hour and local[i].weekday() in weekdays:
+            last = i
+    at = F.timestamp_seconds(F.lit(1704067200 + 59) + F.col("id") * 3600)
+    began = time.monotonic()
+    got = spark.range(24 * 366).select("id", ((F.unix_timestamp(sightings.next_run(at, hour, zone, weekdays)) - 1704067200) / 3600).cast("int").alias("n")).collect()
+    assert {r.id: r.n for r in got} == {i: want[i] for i in range(24 * 366)} and time.monotonic() - began < 60
