@@ -29,8 +29,8 @@ def redact_contacts(spark, folder):
 @query()
 def redaction_counts(spark, folder):
     """Removals by kind for every text."""
-    redacted, counts = t.redact(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", F.length(redacted).alias("left"), *[v.alias(k.replace(" ", "_")) for k, v in counts.items()])
+    redacted, counts = t.redacted(F.col("made"))
+    return table(spark, folder, "documents").select("doc_id", t.redaction(F.col("text")).alias("made")).select("doc_id", F.length(redacted).alias("left"), *[v.alias(k.replace(" ", "_")) for k, v in counts.items()])
 
 
 _HTML = """
