@@ -11,6 +11,7 @@ processor of its own.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,17 +50,27 @@ class Sightings(StatefulProcessor):
         source = key[0]
         batch = sorted((r for pdf in rows for r in pdf.to_dict("records")), key=lambda r: (r["at_us"], _ORDER[r["kind"]]))
         known: dict[str, dict] = {}
+        concerned: dict[tuple, set[str]] = defaultdict(set)  # the keys that a report is about, so that it does not try all
         if any(r["key"] is None for r in batch):
             known = {k[0]: dict(zip(_NAMES, v)) for k, v in self.entries.iterator()}
+            for k, entry in known.items():
+                concerned["board", entry["board"]].add(k)
+                if entry["stored"]:
+                    concerned["source", None].add(k)
         changed: dict[str, dict] = {}
         for r in batch:
             now = r["at_us"]
             if r["key"] is not None:
                 entry = known.get(r["key"]) or self._entry(r["key"])
+                concerned["board", entry["board"]].discard(r["key"])
                 self._listed(entry, r, now)
+                concerned["board", entry["board"]].add(r["key"])
+                if entry["stored"]:
+                    concerned["source", None].add(r["key"])
                 known[r["key"]] = changed[r["key"]] = entry
             elif r["ok"] and r["complete"] and r["listed"]:
-                for k, entry in known.items():
+                for k in concerned.get(("board", r["board"]) if r["kind"] == "board" else ("source", None), ()):
+                    entry = known[k]
                     if self._missing(entry, r, now):
                         entry["closed_at"] = now
                         entry["first_seen"], entry["last_seen"] = (now if entry[c] is None else entry[c] for c in ("first_seen", "last_seen"))

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.streaming import nightly, sightings
@@ -92,3 +93,17 @@ def test_passed_over_is_forgotten(spark, tmp_path):
 
     assert asked("long", 30) == {("a", "p1"): True, ("b", "p2"): False, ("c", "p1"): False}
     assert asked("short", 0.001 / 86_400) == {("a", "p1"): False, ("b", "p2"): False, ("c", "p1"): False}
+
+
+def test_a_report_looks_at_its_own_board_only(monkeypatch):
+    """Two hundred boards of one advert each that all report: as many looks as reports, not their square."""
+    looks, missing = [], nightly.Sightings._missing
+    monkeypatch.setattr(nightly.Sightings, "_missing", staticmethod(lambda *a: looks.append(1) or missing(*a)))
+    monkeypatch.setattr(nightly.Sightings, "_keep", lambda self, source, key, entry: entry.update(open=entry["closed_at"] is None))
+    state = nightly.Sightings()
+    state.entries = type("Entries", (), {"iterator": lambda self: iter(()), "containsKey": lambda self, k: False})()
+    blank = dict.fromkeys(["key", "board", "posted_us", "ok", "complete", "listed"])
+    rows = [blank | {"kind": "listed", "key": f"k{i}", "board": f"b{i}", "at_us": 1} for i in range(200)]
+    rows += [blank | {"kind": "board", "board": f"b{i}", "at_us": 2, "ok": True, "complete": True, "listed": 1} for i in range(200)]
+    out = next(state.handleInputRows(("greenhouse",), iter([pd.DataFrame(rows, dtype=object)]), None))
+    assert len(looks) == 200 and len(out) == 200 and (out["closed_at"] == 2).all()
