@@ -47,34 +47,40 @@ def place_keys(city: Column) -> tuple[Column, Column]:
     return F.when(missing, F.array(F.lit("*"), F.lit("?"))).otherwise(F.array_compact(found)), F.when(missing, F.array(F.lit("*"))).otherwise(F.array_compact(asked))
 
 
+def _digest(value: Column) -> Column:
+    """132 bits of a print's SHA-256 in 22 characters: titles may be as long as texts, and no print is asked for anything but equality. Nulls are like nulls."""
+    return F.coalesce(F.substring(F.base64(F.unhex(F.sha2(value, 256))), 1, 22), F.lit(""))
+
+
 def keep_first(rows: DataFrame) -> DataFrame:
     """``rows`` has ``position, label, content, city``; adds ``kept`` and ``twin``, the position of the kept copy.
 
     Rows equal in all three prints fold into their first. A round needs two numbers of each label, and of each content and
-    place key: the first kept and the first not dropped position. No pairs are made, and no list of a content's cities.
+    place key: the first kept and the first not dropped position. No pairs are made, and no list of a content's cities. Prints travel as digests,
+    and rows whose prints nobody shares take no part in the rounds.
     """
-    first = written(rows.groupBy("label", "content", "city").agg(F.min("position").alias("position")), "dedupe")
-    many = lambda key: first.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(key).alias("__k"), F.lit(True).alias(f"many_{key}"))
-    doubt = first
-    for key in ("label", "content"):
-        m = many(key)
-        doubt = doubt.join(m, doubt[key].eqNullSafe(m["__k"]), "left").drop("__k")
+    prints = [_digest(F.col("label")).alias("label"), _digest(F.col("content")).alias("content"), "city"]
+    first = written(rows.select("position", *prints).groupBy("label", "content", "city").agg(F.min("position").alias("position")), "dedupe")
+    many = lambda key: first.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key, F.lit(True).alias(f"many_{key}"))
+    doubt = first.join(many("label"), "label", "left").join(many("content"), "content", "left")
     kept = F.when(F.coalesce("many_label", "many_content").isNull(), True)
-    state = written(doubt.withColumn("kept", kept.cast("boolean")).drop("many_label", "many_content"), "state")
+    told = written(doubt.select("label", "content", "city", "position", kept.cast("boolean").alias("kept")), "state")
+    sure, state = told.filter("kept"), told.filter("kept is null")
     while not state.filter("kept is null").isEmpty():
         state = written(_settled(state), "state")
     dropped = _asked(state.filter("not kept"), state).select("position", F.coalesce("lk", "ck").alias("__twin"))
-    fate = state.join(dropped, "position", "left").select(F.col("label").alias("__l"), F.col("content").alias("__c"), F.col("city").alias("__y"), F.col("position").alias("__first"), F.col("kept").alias("__kept"), "__twin")
-    on = rows.label.eqNullSafe(fate["__l"]) & rows.content.eqNullSafe(fate["__c"]) & rows.city.eqNullSafe(fate["__y"])
+    settled = sure.withColumn("__twin", F.lit(None).cast(state.schema["position"].dataType)).unionByName(state.join(dropped, "position", "left"))
+    fate = settled.select(F.col("label").alias("__l"), F.col("content").alias("__c"), F.col("city").alias("__y"), F.col("position").alias("__first"), F.col("kept").alias("__kept"), "__twin")
+    asked = rows.withColumns({"__label": _digest(F.col("label")), "__content": _digest(F.col("content"))})
+    on = (F.col("__label") == F.col("__l")) & (F.col("__content") == F.col("__c")) & asked["city"].eqNullSafe(F.col("__y"))
     is_first = F.col("position") == F.col("__first")
     twin = F.when(F.col("__kept"), F.when(~is_first, F.col("__first"))).otherwise(F.col("__twin"))
-    return rows.join(fate, on).select(*rows.columns, (F.col("__kept") & is_first).alias("kept"), twin.alias("twin"))
+    return asked.join(fate, on).select(*rows.columns, (F.col("__kept") & is_first).alias("kept"), twin.alias("twin"))
 
 
 def _keys(places: Column) -> Column:
-    """A row's label and its content at places, as one list of keys; nulls are like nulls."""
-    label = F.coalesce(F.concat(F.lit("L:"), "label"), F.lit("L"))
-    content = F.coalesce(F.concat(F.lit("C:"), "content"), F.lit("C"))
+    """A row's label and its content at places, digests both, as one list of keys."""
+    label, content = F.concat(F.lit("L:"), "label"), F.concat(F.lit("C:"), "content")
     return F.concat(F.array(label), F.transform(places, lambda p: F.concat(content, F.lit("|"), p)))
 
 

@@ -59,3 +59,22 @@ def test_added(spark):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_prints_travel_as_digests(spark, monkeypatch):
+    """Prints as long as texts: no table between holds one, only rows that share a print take part in rounds, and the outcome is that of short prints."""
+    tables, rounds = [], []
+    write, settle = dedupe.written, dedupe._settled
+    monkeypatch.setattr(dedupe, "written", lambda df, name: tables.append(write(df, name)) or tables[-1])
+    monkeypatch.setattr(dedupe, "_settled", lambda state: rounds.append(state.count()) or settle(state))
+    rng = random.Random(8)
+    rows = [one(rng.choice([None, *"abcd"]), rng.choice([None, *"uvwxyz"]), rng.choice([None, "Utrecht", "ut"])) for _ in range(30)]
+    alone = [one(f"alone {i}", f"alone {i}") for i in range(20)]
+    long = lambda x: x and x * 3000
+    short = run(spark, rows + alone)
+    tables.clear()
+    rounds.clear()
+    got = run(spark, [one(long(label), long(content), city) for label, content, city in rows + alone])
+    assert {i: (r.kept, r.twin) for i, r in got.items()} == {i: (r.kept, r.twin) for i, r in short.items()}
+    assert all(len(r[c] or "") < 40 for t in tables for r in t.collect() for c in ("label", "content"))
+    assert rounds and max(rounds) <= 30
