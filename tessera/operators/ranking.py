@@ -206,24 +206,28 @@ def scores(queries: DataFrame, documents: DataFrame, top: int | None = None) ->
     return meet(queries.select("query_id", "vector"), documents.select("doc_id", "vector"), work, schema)
 
 
-def pooled_scores(queries: DataFrame, documents: DataFrame, others_only: bool = False) -> DataFrame:
+def pooled_scores(queries: DataFrame, documents: DataFrame, others_only: bool = False, order: Callable | None = None) -> DataFrame:
     """V3, V6: ``doc_id, score, query_id``: each document's best score over the queries and the first query that has it.
 
     A task pools its block of queries, so that a row leaves it for a document and block, not for a pair. ``others_only``: a document is
-    no query's answer to itself.
+    no query's answer to itself. ``order(scores, query ids)``, if given, names the query instead: that of the smallest number, the first of equals.
     """
 
     def work(q: Block, d: Block) -> pd.DataFrame:
-        order = np.argsort(q.ids, kind="stable")
-        got = products(q, d)[:, order]
+        at = np.argsort(q.ids, kind="stable")
+        ids, got = q.ids[at], products(q, d)[:, at]
         if others_only:
-            got = np.where(d.ids[:, None] == q.ids[order][None, :], -np.inf, got)
-        best = got.argmax(axis=1)
-        found = pd.DataFrame({"doc_id": d.ids, "score": got[np.arange(len(best)), best], "query_id": q.ids[order][best]})
+            got = np.where(d.ids[:, None] == ids[None, :], -np.inf, got)
+        by = -got if order is None else order(got, ids)
+        best, rows = by.argmin(axis=1), np.arange(len(d.ids))
+        found = pd.DataFrame({"doc_id": d.ids, "score": got.max(axis=1), "query_id": ids[best], "by": by[rows, best]})
         return found[np.isfinite(found["score"])]
 
-    schema = f"doc_id {_type(documents, 'doc_id')}, score double, query_id {_type(queries, 'query_id')}"
-    return pooled(meet(queries.select("query_id", "vector"), documents.select("doc_id", "vector"), work, schema))
+    schema = f"doc_id {_type(documents, 'doc_id')}, score double, query_id {_type(queries, 'query_id')}, by double"
+    found = meet(queries.select("query_id", "vector"), documents.select("doc_id", "vector"), work, schema)
+    if order is None:
+        return pooled(found)
+    return found.groupBy("doc_id").agg(F.max("score").alias("score"), F.min(F.struct("by", "query_id"))["query_id"].alias("query_id"))
 
 
 def owner_scores(queries: DataFrame, documents: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import ranking, shortlist
-from tessera.plans.catalogue import QUERIES
+from tessera.plans.catalogue import ORACLES, QUERIES
 from tessera.session import ranked
 
 
@@ -123,3 +124,21 @@ def test_equal_rows_have_one_order(spark, tmp_path):
     conflicts = sorted((-price, (quantity > 40) + (tax < 0.01)) for _, _, price, quantity, _, tax in rows)
     ranks = sorted(range(1, 41), key=lambda before: (conflicts[before - 1][1], before))
     assert got[0] == got[1] == [(before, ranks.index(before) + 1) for before in range(1, 41)]
+
+
+@pytest.mark.parametrize("small", [1, 1024])
+def test_pooled_query_of_far_ids_is_that_of_the_statement(spark, tmp_path, monkeypatch, small):
+    """Scores a few millionths apart and ids over 100,000 apart: one number orders both in the statement."""
+    monkeypatch.setattr(ranking, "SMALL", small)
+    monkeypatch.setattr(ranking, "BLOCK", 4)
+    at = lambda cosine: [cosine, math.sqrt(1 - cosine**2)]
+    asked = {0: 0.5, 20: 0.499999, 100040: 0.500001, 100060: 0.500001, 300020: 0.500002}
+    rows = [(k, at(c)) for k, c in asked.items()] + [(k, at(1 - k / 1000)) for k in range(1, 9)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    base = duckdb.connect()
+    base.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(base.execute(ORACLES["rank_pooled"]).fetchall())
+    names = ["doc_id", "score", "query_id"]
+    assert sorted(map(tuple, QUERIES["rank_pooled"](spark, str(tmp_path)).select(*names).collect())) == want
+    best = ranking.pooled_scores(*[spark.createDataFrame(rows, f"{k} bigint, vector array<double>").filter("query_id % 20 = 0" if k == "query_id" else "true") for k in ("query_id", "doc_id")])
+    assert sorted(map(tuple, best.select(*names).collect())) != want  # the operator by itself keeps the first of the best score
