@@ -23,14 +23,19 @@ def _timed(spark, folder) -> DataFrame:
     return table(spark, folder, "events").withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def _nights(spark, folder) -> list[DataFrame]:
-    """Three nights: days 1-10, 11-20 and from 21 of the month, each a listing with its time."""
+def _listings(spark, folder) -> DataFrame:
+    """What three nights list: days 1-10, 11-20 and from 21 of the month; ``night`` from 0."""
     e = _timed(spark, folder).filter("event_type <> 'error'")
     key = F.concat_ws(":", F.when(F.col("user_id") % 2 == 0, "greenhouse").otherwise("indeed"), "user_id")
     day = F.dayofmonth("at")
     rows = e.select(key.alias("key"), F.substring_index(key, ":", 1).alias("source"), F.concat(F.lit("b"), F.col("user_id") % 5).alias("board"), F.lit(False).alias("elsewhere"), "event_type", F.when(day <= 10, 0).when(day <= 20, 1).otherwise(2).alias("night"))
-    keep = {0: F.lit(True), 1: F.col("event_type") == "purchase", 2: F.col("event_type") == "view"}
-    return [rows.filter((F.col("night") == n) & k).drop("night", "event_type") for n, k in keep.items()]
+    return rows.filter("night = 0 or night = 1 and event_type = 'purchase' or night = 2 and event_type = 'view'").drop("event_type")
+
+
+def _nights(spark, folder) -> list[DataFrame]:
+    """The three nights, each a listing with its time."""
+    rows = _listings(spark, folder)
+    return [rows.filter(F.col("night") == n).drop("night") for n in range(3)]
 
 
 _NIGHTS = """
@@ -100,9 +105,10 @@ def _replayed(spark, name: str, nights: list[DataFrame], late: str) -> DataFrame
 def sightings_stream(spark, folder):
     """ST1, ST3, ST13 as a stateful processor: the three nights of ``sightings_state`` replayed as a stream that is stopped and started again."""
     nights, start = [], 86_400  # a stream's time begins at 0, and what is not after it counts as late
-    for number, rows in enumerate(_nights(spark, folder)):
+    listings = written(_listings(spark, folder).select("night", "key", "source", "board").distinct(), "listings")
+    for number in range(3):
         at = F.timestamp_seconds(F.lit(start + number))
-        listed = rows.select("key", "source", "board").distinct().withColumns({"kind": F.lit("listed"), "at": at})
+        listed = listings.filter(F.col("night") == number).drop("night").withColumns({"kind": F.lit("listed"), "at": at})
         boards = listed.groupBy("source", "board").agg(F.count("*").alias("listed")).withColumns({"kind": F.lit("board"), "at": at, "ok": F.lit(True), "complete": F.lit(True)})
         nights.append(_as_events(listed).unionByName(_as_events(boards)))
     state = _replayed(spark, "sightings", nights, "2 days")

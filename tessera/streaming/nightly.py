@@ -23,6 +23,8 @@ from tessera.session import latest, shared_dir
 from tessera.streaming.sightings import AGE_DAYS, BOARD_SOURCES, SEEN_DAYS
 
 SHARDS = 16
+#: Keys in one value of what is due at a time.
+PART = 1000
 #: ``kind``: posted, stored, listed, elsewhere (one key); board, source (a report of how a listing went). A posted row only names board and time.
 EVENTS = "source string, kind string, key string, board string, at timestamp, posted_at timestamp, ok boolean, complete boolean, listed bigint"
 _ENTRY = "board string, first_seen bigint, last_seen bigint, listed_at bigint, closed_at bigint, posted_at bigint, stored boolean, open boolean"
@@ -36,23 +38,28 @@ _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 class Sightings(StatefulProcessor):
     """Entries of one shard of a source. All times are microseconds."""
 
+    def __init__(self) -> None:
+        self.waiting: dict[int, list[str]] = defaultdict(list)  # what a batch adds to ``due``
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.entries = handle.getMapState("entries", "key string", _ENTRY)
-        self.due = handle.getMapState("due", "at bigint", "keys array<string>")
+        self.due = handle.getMapState("due", "at bigint, part int", "keys array<string>, parts int")  # part 0 says how many there are
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         for r in initialState.to_dict("records"):
             entry = dict.fromkeys(_NAMES) | {n: _number(r[n]) for n in ("first_seen", "last_seen", "closed_at")} | {"board": r["board"], "stored": False}
             self._keep(key[0], r["key"], entry)
+        self._wait()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         source = key[0]
         batch = sorted((r for pdf in rows for r in pdf.to_dict("records")), key=lambda r: (r["at_us"], _ORDER[r["kind"]]))
         known: dict[str, dict] = {}
         concerned: dict[tuple, set[str]] = defaultdict(set)  # the keys that a report is about, so that it does not try all
-        if any(r["key"] is None for r in batch):
-            known = {k[0]: dict(zip(_NAMES, v)) for k, v in self.entries.iterator()}
+        all_known = any(r["key"] is None for r in batch)
+        if all_known:
+            known = {k[0]: self._stored(v) for k, v in self.entries.iterator()}
             for k, entry in known.items():
                 concerned["board", entry["board"]].add(k)
                 if entry["stored"]:
@@ -61,7 +68,7 @@ class Sightings(StatefulProcessor):
         for r in batch:
             now = r["at_us"]
             if r["key"] is not None:
-                entry = known.get(r["key"]) or self._entry(r["key"])
+                entry = known.get(r["key"]) or (self._new() if all_known else self._entry(r["key"]))
                 concerned["board", entry["board"]].discard(r["key"])
                 self._listed(entry, r, now)
                 concerned["board", entry["board"]].add(r["key"])
@@ -77,23 +84,36 @@ class Sightings(StatefulProcessor):
                         changed[k] = entry
         for k, entry in changed.items():
             self._keep(source, k, entry)
+        self._wait()
         yield _rows(source, changed, 0)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Closes what is due and has not been listed since."""
         at, changed = expiredTimerInfo.getExpiryTimeInMs(), {}
-        for k in (self.due.getValue((at,)) or ([],))[0]:
-            entry = self._entry(k)
-            if entry["open"] and self._ends(entry) == at:
-                entry["open"] = False
-                self.entries.updateValue((k,), tuple(entry[n] for n in _NAMES))
-                changed[k] = entry
-        self.due.removeKey((at,))
+        parts = self.due.getValue((at, 0))[1] if self.due.containsKey((at, 0)) else 0
+        for part in range(parts):
+            for k in self.due.getValue((at, part))[0]:
+                entry = self._entry(k)
+                if entry["open"] and self._ends(entry) == at:
+                    entry["open"] = False
+                    self.entries.updateValue((k,), tuple(entry[n] for n in _NAMES))
+                    changed[k] = entry
+            self.due.removeKey((at, part))
         yield _rows(key[0], changed, 1)
 
     def _entry(self, key: str) -> dict:
         found = self.entries.getValue((key,)) if self.entries.containsKey((key,)) else None
-        return dict(zip(_NAMES, found)) if found else dict.fromkeys(_NAMES) | {"stored": False}
+        return self._stored(found) if found else self._new()
+
+    @staticmethod
+    def _new() -> dict:
+        return dict.fromkeys(_NAMES) | {"stored": False, "due": None}
+
+    @classmethod
+    def _stored(cls, value: tuple) -> dict:
+        """An entry of the state; ``due`` is when it is waited for already."""
+        entry = dict(zip(_NAMES, value))
+        return entry | {"due": cls._ends(entry) if entry["open"] else None}
 
     @staticmethod
     def _listed(entry: dict, row: dict, now: int) -> None:
@@ -124,13 +144,21 @@ class Sightings(StatefulProcessor):
         if source not in BOARD_SOURCES:
             ends = self._ends(entry)
             entry["open"] = ends is not None
-            if ends is not None:
-                waiting = (self.due.getValue((ends,)) or ([],))[0] if self.due.containsKey((ends,)) else []
-                if key not in waiting:
-                    self.due.updateValue((ends,), ([*waiting, key],))
-                self.handle.registerTimer(ends)
+            if ends is not None and ends != entry.get("due"):
+                self.waiting[ends].append(key)
         self.entries.updateValue((key,), tuple(entry[n] for n in _NAMES))
 
+    def _wait(self) -> None:
+        """Adds what ``_keep`` found to be waited for: once a time, in parts beside those that are there, so that no list is written again and again."""
+        for at, keys in self.waiting.items():
+            lists = [keys[i : i + PART] for i in range(0, len(keys), PART)]
+            first, parts = self.due.getValue((at, 0)) if self.due.containsKey((at, 0)) else (lists.pop(0), 1)
+            for part, more in enumerate(lists, parts):
+                self.due.updateValue((at, part), (more, 0))
+            self.due.updateValue((at, 0), (first, parts + len(lists)))
+            self.handle.registerTimer(at)
+        self.waiting.clear()
+
 
 def _number(value) -> int | None:
     return None if value is None or value != value else int(value)

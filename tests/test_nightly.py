@@ -107,3 +107,42 @@ def test_a_report_looks_at_its_own_board_only(monkeypatch):
     rows += [blank | {"kind": "board", "board": f"b{i}", "at_us": 2, "ok": True, "complete": True, "listed": 1} for i in range(200)]
     out = next(state.handleInputRows(("greenhouse",), iter([pd.DataFrame(rows, dtype=object)]), None))
     assert len(looks) == 200 and len(out) == 200 and (out["closed_at"] == 2).all()
+
+
+class _Map(dict):
+    """A map state in memory that counts what is written to it."""
+
+    written = 0
+
+    def containsKey(self, key):
+        return key in self
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.written += sum(len(v) if isinstance(v, list) else 1 for v in value)
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+def test_what_is_due_at_one_time_is_not_written_for_every_key(monkeypatch):
+    """Two thousand adverts listed at one time in two batches: each is written once or twice, and all close when it is time, also those listed again."""
+    monkeypatch.setattr(nightly, "PART", 100, raising=False)
+    state, timers = nightly.Sightings(), set()
+    handle = type("Handle", (), {"getMapState": lambda self, *a: _Map(), "registerTimer": lambda self, at: timers.add(at)})()
+    state.init(handle)
+    blank = dict.fromkeys(["key", "board", "posted_us", "ok", "complete", "listed"])
+    for names in (range(1000), range(500, 2000)):
+        rows = [blank | {"kind": "listed", "key": f"k{i}", "at_us": 1} for i in names]
+        list(state.handleInputRows(("indeed",), iter([pd.DataFrame(rows, dtype=object)]), None))
+    assert len(timers) == 1 and state.due.written < 4000 and max(len(keys) for keys, *_ in state.due.values()) <= 100
+    (at,) = timers
+    expired = type("Expired", (), {"getExpiryTimeInMs": lambda self: at})()
+    (out,) = state.handleExpiredTimer(("indeed",), None, expired)
+    assert sorted(out["key"]) == sorted(f"k{i}" for i in range(2000)) and not out["open"].any() and not state.due
