@@ -142,3 +142,18 @@ def test_pooled_query_of_far_ids_is_that_of_the_statement(spark, tmp_path, monke
     assert sorted(map(tuple, QUERIES["rank_pooled"](spark, str(tmp_path)).select(*names).collect())) == want
     best = ranking.pooled_scores(*[spark.createDataFrame(rows, f"{k} bigint, vector array<double>").filter("query_id % 20 = 0" if k == "query_id" else "true") for k in ("query_id", "doc_id")])
     assert sorted(map(tuple, best.select(*names).collect())) != want  # the operator by itself keeps the first of the best score
+
+
+def test_whole_orders_come_document_by_document(spark, monkeypatch):
+    """Rows in the order in which they are small on disk: documents ascend, but where a task goes on to its next block of queries."""
+    docs = [r.doc_id for r in QUERIES["rank_all"](spark, "/root/testdata/sf0.001").collect()]
+    assert len(docs) == 12_500 and sum(a > b for a, b in zip(docs, docs[1:])) < 25
+    monkeypatch.setattr(ranking, "BLOCK", 16)
+    monkeypatch.setattr(ranking, "ROWS", 50)
+    few = _vectors(spark)
+    asked = few.filter("doc_id % 3 = 0").withColumnRenamed("doc_id", "query_id")
+    want = sorted(map(tuple, ranking.whole_ranks(asked, few).select("query_id", "doc_id", "rank").collect()))
+    assert sorted(map(tuple, ranking.whole_ranks(asked, few, scored=False).collect())) == want
+    monkeypatch.setattr(ranking, "MOST_HELD", 10)
+    got = ranking.whole_ranks(asked, few, scored=False)
+    assert got.columns == ["query_id", "doc_id", "rank"] and sorted(map(tuple, got.collect())) == want
